@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KB = 1024
@@ -18,6 +18,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once per row and then only read.
+
+    A projected expression is copied by the optimiser into every later filter and projection that uses it;
+    a costly one (a JSON parse, a long rule chain) would then run many times per row. A one-element
+    generator keeps it in its own step, still inside generated code.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def div(a: Column, b) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("long"))
 

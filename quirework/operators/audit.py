@@ -182,9 +182,8 @@ def phrase_hits(texts: DataFrame, key: str, phrases: DataFrame, fits: bool | Non
 
 
 def hit_rollup(hits: DataFrame, key: str, named: int = 4) -> DataFrame:
-    """Pages per phrase and the first four of them by key. The four fold in the aggregate; no group is gathered."""
-    top = hits.groupBy("phrase_id", F.floor(F.col(key) / ordered.CHUNK).alias("_c")).agg(F.count("*").alias("_n"), F.min(key).alias("_m1"))
-    per = top.groupBy("phrase_id").agg(F.sum("_n").alias("pages"))
+    """Pages per phrase and the first four of them by key. Only those four are gathered."""
+    per = hits.groupBy("phrase_id").agg(F.count("*").alias("pages"))
     first = first_n(hits, ["phrase_id"], key, named)
     names = first.groupBy("phrase_id").agg(F.array_join(F.array_sort(F.collect_list(F.col(key))), ",").alias("named"))
     return per.join(names, "phrase_id")
@@ -334,3 +333,10 @@ def implications(pages: DataFrame, text: str, rules: list[tuple[str, str]]) -> D
     d = pages.select(F.explode(facts).alias("f")).select("f.*")
     return d.groupBy("carrier", "needs").agg(F.count_if("has").alias("carriers"), F.bool_and(F.when(F.col("has"), F.col("ok"))).alias("_ok")).select(
         "carrier", "needs", "carriers", F.coalesce("_ok", F.lit(False)).alias("holds"))
+
+
+def expected_phrases(pages: DataFrame, text: Column, expected: list[tuple[str, bool]]) -> DataFrame:
+    """Each named phrase, whether it should be somewhere, and whether it is anywhere."""
+    d = pages.select(text.alias("_t")).agg(*[F.bool_or(F.contains("_t", F.lit(p))).alias(f"p{i}") for i, (p, _) in enumerate(expected)])
+    rows = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("expected"), F.coalesce(f"p{i}", F.lit(False)).alias("found")) for i, (p, w) in enumerate(expected)])
+    return d.select(F.explode(rows).alias("r")).select("r.*")

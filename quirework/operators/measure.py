@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ordered
 from .rules import is_third_party, url_parts
 
 USABLE_MS = 30_000
@@ -96,7 +97,7 @@ def quantity(rungs: DataFrame) -> DataFrame:
     e = ends(rungs.where("recompressed is not null")).where("n >= 2")
     return e.select("run", F.col("lo.mb").alias("from_mb"), F.col("hi.mb").alias("to_mb"), F.col("lo.recompressed").alias("first_count"),
                     F.col("hi.recompressed").alias("last_count"),
-                    ~((F.col("hi.mb") >= F.col("lo.mb") * 2) & (F.col("hi.recompressed") <= F.col("lo.recompressed"))).alias("grew"))
+                    (~((F.col("hi.mb") >= F.col("lo.mb") * 2) & (F.col("hi.recompressed") <= F.col("lo.recompressed")))).alias("grew"))
 
 
 def row_problems(rungs: DataFrame) -> DataFrame:
@@ -134,3 +135,13 @@ def validate(rungs: DataFrame, images: DataFrame | None = None) -> DataFrame:
     if images is not None:
         tables.append(source_problems(images, rungs))
     return reduce(DataFrame.unionByName, tables)
+
+
+def progress(done: DataFrame, key: str, order: str, micros: str) -> DataFrame:
+    """After each finished item: how many are done, time per item so far, and time left at that rate."""
+    d = ordered.number(done, [key], [order], ordered.chunk_of(order), "done")
+    totals = done.groupBy(key).agg(F.count("*").alias("total"), F.min(micros).alias("_from"))
+    d = d.join(totals, key)
+    rate = S.div(F.col(micros) - F.col("_from"), F.col("done"))
+    return d.select(order, key, "done", (F.col("total") - F.col("done")).alias("remaining"), rate.alias("rate_us"),
+                    (rate * (F.col("total") - F.col("done"))).alias("eta_us"))

@@ -19,7 +19,7 @@ BLOCK = 64
 
 def parse_events(deliveries: DataFrame, raw: str = "raw") -> DataFrame:
     """Nested event per delivery. A body that does not parse is kept and marked, not fatal."""
-    d = deliveries.withColumn("e", F.from_json(raw, EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    d = S.once(deliveries, "e", F.from_json(raw, EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     return d.withColumn("parsed", F.col("e").isNotNull() & F.col("e._corrupt_record").isNull())
 
 
@@ -92,13 +92,14 @@ def decide(parsed: DataFrame, price_id: str) -> DataFrame:
         ((action == "chargeback_reverse") & (status == "rejected"), say("ignore", "chargeback-reverse-rejected")),
         (action == "chargeback_reverse", say("grant", "chargeback-reversed"))],
         say("ignore", "adjustment-", F.coalesce(action, F.lit("unknown"))))
-    d = parsed.withColumn("_v", verdict)
-    owner = sale & (F.col("_v.action") == "grant")
-    return d.select(
-        *[c for c in parsed.columns if c not in ("e", "parsed", "raw")], F.col("_v.action").alias("action"), txn.alias("txn"),
-        F.when(owner, S.text_or_null(data["custom_data"]["uid"])).alias("uid"),
-        F.when(owner, S.email_key(data["custom_data"]["email"])).alias("email"),
-        at.alias("occurred_at"), F.col("_v.reason").alias("reason"))
+    carried = [c for c in parsed.columns if c not in ("e", "parsed", "raw")]
+    facts = F.struct(verdict.alias("v"), sale.alias("sale"), txn.alias("txn"), at.alias("at"),
+                     S.text_or_null(data["custom_data"]["uid"]).alias("uid"), S.email_key(data["custom_data"]["email"]).alias("email"))
+    d = S.once(parsed, "_f", facts)
+    owner = F.col("_f.sale") & (F.col("_f.v.action") == "grant")
+    return d.select(*carried, F.col("_f.v.action").alias("action"), F.col("_f.txn").alias("txn"),
+                    F.when(owner, F.col("_f.uid")).alias("uid"), F.when(owner, F.col("_f.email")).alias("email"),
+                    F.col("_f.at").alias("occurred_at"), F.col("_f.v.reason").alias("reason"))
 
 
 def purchase_state(decisions: DataFrame) -> DataFrame:

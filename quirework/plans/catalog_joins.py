@@ -228,8 +228,8 @@ def _(t):
 
 
 @query("q_c19_named_root", """WITH RECURSIVE f AS (SELECT o.doc_id, o.node_id, CASE WHEN p.title LIKE '%e%' THEN o.parent_id END AS up FROM outline o LEFT JOIN outline p ON o.doc_id = p.doc_id AND o.parent_id = p.node_id),
-    climb AS (SELECT doc_id, node_id, node_id AS at, up FROM f UNION ALL SELECT c.doc_id, c.node_id, f.node_id, f.up FROM climb c JOIN f ON c.doc_id = f.doc_id AND c.up = f.node_id)
-    SELECT doc_id, node_id, at AS root_id FROM climb WHERE up IS NULL""")
+    climb AS (SELECT doc_id, node_id, node_id AS spot, up FROM f UNION ALL SELECT c.doc_id, c.node_id, f.node_id, f.up FROM climb c JOIN f ON c.doc_id = f.doc_id AND c.up = f.node_id)
+    SELECT doc_id, node_id, spot AS root_id FROM climb WHERE up IS NULL""")
 def _(t):
     return graphs.named_root(t.outline.withColumn("is_field", F.col("title").contains("e")))
 

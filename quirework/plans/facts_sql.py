@@ -103,7 +103,7 @@ FACTS = {
         min_by(uid, arrival_seq) FILTER (uid IS NOT NULL) AS uid, min_by(email, arrival_seq) FILTER (email IS NOT NULL) AS email,
         max(ts) AS changed_at, max_by(event_id, (ts, arrival_seq)) AS last_event
         FROM decisions WHERE action <> 'ignore' GROUP BY txn""",
-    "survey": f"""SELECT event_id, ts AS at, ' U' || user_id || CASE WHEN event_id % 33 = 0 THEN '@bad ' ELSE '@Example.com ' END AS email,
+    "survey": f"""SELECT event_id, ts AS moment, ' U' || user_id || CASE WHEN event_id % 33 = 0 THEN '@bad ' ELSE '@Example.com ' END AS email,
         {choose('k % 6', [" ", "lawyer", "accountant", "architect", "teacher", "nurse "])} AS profession,
         CASE WHEN k % 4 <> 0 THEN 'task ' || k END AS spends_too_long,
         CASE WHEN k % 7 = 0 THEN repeat('x', 201) WHEN k % 3 = 0 THEN 'weekly' END AS cadence,
@@ -114,7 +114,7 @@ FACTS = {
         WHEN trim(profession) = '' OR length(trim(profession)) > 200 THEN 'bad-profession'
         WHEN length(trim(coalesce(spends_too_long, ''))) > 1200 THEN 'bad-spends-too-long'
         WHEN length(trim(coalesce(cadence, ''))) > 200 THEN 'bad-cadence' ELSE 'recorded' END AS verdict FROM survey""",
-    "requests": f"""SELECT event_id, user_id AS session, ts AS at, {choose('event_id % 3', ["arrival", "open", "pay"])} AS phase, url,
+    "requests": f"""SELECT event_id, user_id AS session, ts AS moment, {choose('event_id % 3', ["arrival", "open", "pay"])} AS phase, url,
         event_type AS rtype, cast(CASE WHEN event_id % 50 = 0 THEN -1 ELSE floor(value * 100) END AS bigint) AS bytes,
         CASE WHEN event_type = 'error' THEN 'policy' END AS blocked,
         split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) AS host
@@ -132,7 +132,7 @@ FACTS = {
         unnest([p_size::bigint * 3 + 1, p_partkey % 50 + 1, p_size::bigint * 20 + 7, p_partkey % 90 + 2]) AS ms FROM part""",
     "edges": """SELECT src, dst FROM (SELECT page_id AS src, page_id * 2 + 1 AS dst FROM pages UNION ALL SELECT page_id, page_id * 2 + 2 FROM pages
         UNION ALL SELECT page_id, page_id + 7 FROM pages WHERE page_id % 25 = 0) WHERE dst IN (SELECT page_id FROM pages)""",
-    "stash_events": """SELECT event_id, user_id AS owner, ts AS at, CASE event_type WHEN 'view' THEN 'stash' WHEN 'click' THEN 'claim'
+    "stash_events": """SELECT event_id, user_id AS owner, ts AS moment, CASE event_type WHEN 'view' THEN 'stash' WHEN 'click' THEN 'claim'
         WHEN 'purchase' THEN 'pending' WHEN 'error' THEN 'confirm' ELSE 'other' END AS what FROM events""",
 }
 
