@@ -1 +1,8 @@
 """Document-corpus and event analytics as Spark DataFrames and streams."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

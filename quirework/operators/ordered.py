@@ -22,26 +22,26 @@ def chunk_of(order: str | Column, size: int = CHUNK) -> Column:
 
 
 def _prefix(df: DataFrame, keys: list[str], summary: Column, fold, before: str) -> DataFrame:
-    per_chunk = df.groupBy(*keys, "_chunk").agg(summary.alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return per_chunk.select(*keys, "_chunk", fold(F.col("_v")).over(w).alias(before))
+    per_chunk = df.groupBy(*keys, "__chunk").agg(summary.alias("__v"))
+    w = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return per_chunk.select(*keys, "__chunk", fold(F.col("__v")).over(w).alias(before))
 
 
 def running(df: DataFrame, keys: list[str], order: list, chunk: Column, value: Column, out: str,
             kind: str = "sum", inclusive: bool = True) -> DataFrame:
     """Running sum / max / count of ``value`` along ``order`` within ``keys``."""
     fold = {"sum": F.sum, "max": F.max}[kind]
-    d = df.withColumn("_chunk", chunk).withColumn("_x", value)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
+    d = df.withColumn("__chunk", chunk).withColumn("__x", value)
+    w = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    local = d.withColumn("_local", fold("_x").over(w))
-    offsets = _prefix(d, keys, fold("_x"), fold, "_before")
-    joined = local.join(offsets, [*keys, "_chunk"])
+    local = d.withColumn("__local", fold("__x").over(w))
+    offsets = _prefix(d, keys, fold("__x"), fold, "__before")
+    joined = local.join(offsets, [*keys, "__chunk"])
     if kind == "sum":
-        total = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0))
+        total = F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__before"), F.lit(0))
     else:
-        total = F.greatest("_local", "_before")
-    return joined.withColumn(out, total).drop("_chunk", "_x", "_local", "_before")
+        total = F.greatest("__local", "__before")
+    return joined.withColumn(out, total).drop("__chunk", "__x", "__local", "__before")
 
 
 def number(df: DataFrame, keys: list[str], order: list, chunk: Column, out: str) -> DataFrame:
@@ -56,15 +56,15 @@ def neighbour(df: DataFrame, keys: list[str], order: list, chunk: Column, value:
     ``out`` is NULL where there is no neighbour, else a struct ``{v}``.
     """
     order_key = F.struct(*order)
-    d = df.withColumn("_chunk", chunk).withColumn("_x", F.struct(value.alias("v")))
+    d = df.withColumn("__chunk", chunk).withColumn("__x", F.struct(value.alias("v")))
     step = F.lead if ahead else F.lag
-    local = d.withColumn("_local", step("_x").over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
-    edge = (F.min_by if ahead else F.max_by)("_x", order_key)
-    edges = d.groupBy(*keys, "_chunk").agg(edge.alias("_e"))
-    edges = edges.select(*keys, "_chunk",
-                         step("_e").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_edge"))
-    return (local.join(edges, [*keys, "_chunk"])
-            .withColumn(out, F.coalesce("_local", "_edge")).drop("_chunk", "_x", "_local", "_edge"))
+    local = d.withColumn("__local", step("__x").over(Window.partitionBy(*keys, "__chunk").orderBy(*order)))
+    edge = (F.min_by if ahead else F.max_by)("__x", order_key)
+    edges = d.groupBy(*keys, "__chunk").agg(edge.alias("__e"))
+    edges = edges.select(*keys, "__chunk",
+                         step("__e").over(Window.partitionBy(*keys).orderBy("__chunk")).alias("__edge"))
+    return (local.join(edges, [*keys, "__chunk"])
+            .withColumn(out, F.coalesce("__local", "__edge")).drop("__chunk", "__x", "__local", "__edge"))
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str, bin_width: float = 16.0) -> DataFrame:
@@ -73,8 +73,8 @@ def upper_median(df: DataFrame, keys: list[str], value: str, out: str, bin_width
     Exact and skew-safe: equal values are counted before any shuffle, a histogram of bins finds the bin
     that holds the wanted rank, and only that bin's distinct values are ordered.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-              .agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("_v") / F.lit(bin_width))))
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v"))
+              .agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("__v") / F.lit(bin_width))))
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (bins.withColumn("_upto", F.sum("_n").over(upto))
@@ -83,7 +83,7 @@ def upper_median(df: DataFrame, keys: list[str], value: str, out: str, bin_width
             .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
             .select(*keys, "_bin", (F.col("_want") - (F.col("_upto") - F.col("_n"))).alias("_rank")))
     inside = counts.join(bins, [*keys, "_bin"])
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     return (inside.withColumn("_upto", F.sum("_n").over(w))
             .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-            .select(*keys, F.col("_v").alias(out)))
+            .select(*keys, F.col("__v").alias(out)))

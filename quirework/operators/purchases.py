@@ -123,20 +123,21 @@ def purchase_state(decisions: DataFrame) -> DataFrame:
 def delivery_reasons(decisions: DataFrame) -> DataFrame:
     """What each acted-on delivery did to its purchase when it arrived, by running facts over arrival order.
 
-    Event ids are unique here; drop repeats of the last event first where a source may resend.
+    The row that last set the status is the running maximum of (occurred, arrival): an event not older
+    than it overwrites it, and the same event again changes nothing.
     """
     acted = decisions.where("action <> 'ignore'")
-    when = F.unix_micros("occurred_at")
-    chunk = ordered.chunk_of("arrival_seq")
-    args = (["txn"], ["arrival_seq"], chunk)
-    d = ordered.running(acted, *args, when, "_newest", kind="max", inclusive=False)
+    args = (["txn"], ["arrival_seq"], ordered.chunk_of("arrival_seq"))
+    setter = F.struct(F.unix_micros("occurred_at").alias("us"), "arrival_seq", "event_id")
+    d = ordered.running(acted, *args, setter, "_set", kind="max", inclusive=False)
     d = ordered.running(d, *args, F.col("uid").isNotNull().cast("long"), "_uids", inclusive=False)
     d = ordered.running(d, *args, F.col("email").isNotNull().cast("long"), "_emails", inclusive=False)
     status = F.when(F.col("action") == "grant", F.lit("granted")).otherwise(F.lit("revoked"))
     fills = (F.col("uid").isNotNull() & (F.col("_uids") == 0)) | (F.col("email").isNotNull() & (F.col("_emails") == 0))
-    outcome = first_match([(F.col("_newest").isNull(), F.concat(status, F.lit("-new"))), (when >= F.col("_newest"), status),
-                           (fills, "bound-older-event")], "older-than-current-status")
-    return d.withColumn("outcome", outcome).drop("_newest", "_uids", "_emails")
+    outcome = first_match([
+        (F.col("_set").isNull(), F.concat(status, F.lit("-new"))), (F.col("_set.event_id") == F.col("event_id"), "duplicate-event"),
+        (F.unix_micros("occurred_at") >= F.col("_set.us"), status), (fills, "bound-older-event")], "older-than-current-status")
+    return d.withColumn("outcome", outcome).drop("_set", "_uids", "_emails")
 
 
 def entitlements(people: DataFrame, purchases: DataFrame) -> DataFrame:
