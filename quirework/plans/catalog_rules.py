@@ -7,6 +7,7 @@ import hmac
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import audit, images, ocr, purchases, rules, survey
@@ -72,7 +73,7 @@ def _(t):
 SECRET = "fixture-secret"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _sign(ts: pd.Series, body: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([hmac.new(k.encode(), f"{a}:{b}".encode(), hashlib.sha256).hexdigest() for a, b, k in zip(ts, body, key)])
 
