@@ -156,23 +156,25 @@ def folded(text: str | Column) -> Column:
 def phrase_hits(texts: DataFrame, key: str, phrases: DataFrame, fits: bool | None = None) -> DataFrame:
     """(key, phrase_id) where the text holds the phrase. ``texts`` has key, text; ``phrases`` phrase_id, phrase.
 
-    A rule list measured to be small is broadcast and tested by ``contains``. A larger one is joined on a
-    word: any word strictly inside a phrase must stand whole in the text, so the longest such word is an
-    equality key, and ``contains`` then decides. Phrases of one or two words have no inner word; those are
+    A word strictly inside a phrase must stand whole in any text that holds the phrase, so the longest such
+    word is an equality key, and ``contains`` decides among the few candidates. A phrase list measured to be
+    small is broadcast: the texts are read once, in place, with nothing shuffled. A larger one is shuffled
+    with the words. Phrases of one or two words have no inner word; those are tested by ``contains`` alone,
     broadcast in measured slices.
     """
     if fits is None:
         fits = fits_broadcast(phrases, ["phrase"])
-    if fits:
-        return (texts.join(F.broadcast(phrases), F.contains(F.col("text"), F.col("phrase"))).select(key, "phrase_id"))
     inner = F.slice(F.split("phrase", " "), 2, F.greatest(F.size(F.split("phrase", " ")) - 2, F.lit(0)))
     anchor = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     anchored = phrases.withColumn("anchor", anchor)
-    long = anchored.where("anchor <> ''")
-    tokens = texts.select(key, F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
-    pairs = tokens.join(long, "anchor").select(key, "phrase_id", "phrase")
-    hits = pairs.join(texts, key).where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
+    long = anchored.where("anchor <> ''").select("phrase_id", "phrase", "anchor")
     short = anchored.where("anchor = ''").select("phrase_id", "phrase")
+    words = F.explode(F.array_distinct(F.split("text", " "))).alias("anchor")
+    if fits:
+        hits = texts.select(key, "text", words).join(F.broadcast(long), "anchor").where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
+        return hits.unionByName(texts.join(F.broadcast(short), F.contains(F.col("text"), F.col("phrase"))).select(key, "phrase_id"))
+    pairs = texts.select(key, words).join(long, "anchor").select(key, "phrase_id", "phrase")
+    hits = pairs.join(texts, key).where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
     numbered = ordered.number(short, [], ["phrase_id"], ordered.chunk_of("phrase_id"), "_n").withColumn("_slice", F.floor((F.col("_n") - 1) / BROADCAST_ROWS))
     last = numbered.agg(F.max("_slice")).first()[0]
     for s in range(0 if last is None else int(last) + 1):
@@ -291,8 +293,7 @@ def marker_problems(markers: DataFrame, key: str) -> DataFrame:
     """
     mark = F.struct(F.col("close"), F.col("kind"))
     chunk = ordered.chunk_of("n")
-    d = ordered.neighbour(markers, [key], ["n"], chunk, mark, "_prev", ahead=False)
-    d = ordered.neighbour(d, [key], ["n"], chunk, mark, "_next", ahead=True)
+    d = ordered.neighbours(markers, [key], ["n"], chunk, mark, prev="_prev", nxt="_next")
     prev, nxt = F.col("_prev.v"), F.col("_next.v")
     opened = prev.isNotNull() & ~F.coalesce(prev["close"], F.lit(True))
     problem = first_match([

@@ -115,11 +115,14 @@ def document_rollup(judged_images: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(ok, F.col("encoded_bytes"))), F.lit(0)).alias("actionable_bytes"),
         F.coalesce(F.sum(F.when(~ok, F.col("encoded_bytes"))), F.lit(0)).alias("skipped_bytes"),
         F.coalesce(F.bool_and(F.when(ok, F.array_contains("filters", "DCTDecode"))), F.lit(False)).alias("all_jpeg"))
-    usable = judged_images.where(ok)
-    jpeg = usable.where(F.array_contains("filters", "DCTDecode") & (F.size("filters") == 1))
-    dpi = ordered.upper_median(usable, ["doc_id"], "dpi", "median_dpi")
-    quality = ordered.upper_median(jpeg, ["doc_id"], "quality", "median_quality")
-    return base.join(dpi, "doc_id", "left").join(quality, "doc_id", "left")
+    return base.join(medians(judged_images, ["doc_id"]), "doc_id", "left")
+
+
+def medians(judged_images: DataFrame, keys: list[str]) -> DataFrame:
+    """Upper medians of drawn dpi and of JPEG quality over the images that can be re-encoded."""
+    jpeg = F.array_contains("filters", "DCTDecode") & (F.size("filters") == 1)
+    m = ordered.upper_medians(judged_images.where("recompressible"), keys, {"median_dpi": F.col("dpi"), "median_quality": F.when(jpeg, F.col("quality"))})
+    return m.withColumn("median_quality", F.col("median_quality").cast("long"))
 
 
 def skip_histogram(judged_images: DataFrame) -> DataFrame:
@@ -173,19 +176,25 @@ def size_search(measurements: DataFrame) -> DataFrame:
                     F.when(reached, F.col("first_fit")).alias("step"), F.when(reached, F.col("fit_size")).alias("size"))
 
 
-def estimate_quality(table: Column, base: list[int]) -> Column:
-    """Quality that explains a 64-entry quantisation table, NULL when one scale does not explain it."""
+def estimate_quality(df: DataFrame, table: str, base: list[int], out: str = "quality") -> DataFrame:
+    """Quality that explains a 64-entry quantisation table, NULL when one scale does not explain it.
+
+    Entries of 1 and 255 have lost their information. The upper median of the remaining scales is the
+    table's scale; a residual of more than a step (or 15 %) anywhere means the table is hand-made.
+    """
     luma = F.array(*[F.lit(v) for v in base])
-    pairs = F.filter(F.zip_with(table, luma, lambda q, b: F.struct(q.alias("q"), b.alias("b"))),
-                     lambda p: (p["q"] > 1) & (p["q"] < 255))
-    scales = F.array_sort(F.transform(pairs, lambda p: (p["q"] * 100 - 50) / p["b"]))
-    median = F.try_element_at(scales, (F.floor(F.size(scales) / 2) + 1).cast("int"))
+    pairs = F.filter(F.zip_with(table, luma, lambda q, b: F.struct(q.alias("q"), b.alias("b"))), lambda p: (p["q"] > 1) & (p["q"] < 255))
+    d = S.once(df, "_pairs", pairs)
+    scales = F.array_sort(F.transform("_pairs", lambda p: (p["q"] * 100 - 50) / p["b"]))
+    d = S.once(d, "_scale", F.try_element_at(scales, (F.floor(F.size("_pairs") / 2) + 1).cast("int")))
 
     def residual(p):
-        predicted = F.greatest(F.lit(1), F.least(F.lit(255), F.floor((p["b"] * median + 50) / 100)))
+        predicted = F.greatest(F.lit(1), F.least(F.lit(255), F.floor((p["b"] * F.col("_scale") + 50) / 100)))
         return F.abs(predicted - p["q"]) / F.greatest(F.lit(1.0), p["q"] * F.lit(0.15))
 
-    worst = F.array_max(F.transform(pairs, residual))
-    quality = F.when(median >= 100, F.lit(5000.0) / median).otherwise((F.lit(200.0) - median) / 2)
-    usable = (F.size(pairs) >= 8) & (median > 0) & (worst <= 1)
-    return F.when(usable, F.greatest(F.lit(1), F.least(F.lit(100), S.js_round(quality))).cast("long"))
+    d = S.once(d, "_worst", F.array_max(F.transform("_pairs", residual)))
+    scale = F.col("_scale")
+    quality = F.when(scale >= 100, F.lit(5000.0) / scale).otherwise((F.lit(200.0) - scale) / 2)
+    usable = (F.size("_pairs") >= 8) & (scale > 0) & (F.col("_worst") <= 1)
+    d = d.withColumn(out, F.when(usable, F.greatest(F.lit(1), F.least(F.lit(100), S.js_round(quality))).cast("long")))
+    return d.drop("_pairs", "_scale", "_worst")

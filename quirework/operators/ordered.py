@@ -2,9 +2,12 @@
 
 A plain window over ``partitionBy(key)`` sends the whole of a hot key to one task. Here every group
 is cut into chunks along its order: a chunk is a monotone coarsening of the order columns (say
-``page_index div 4096``), so rows of an earlier chunk always come first. The window runs inside a
+``page_index div 65536``), so rows of an earlier chunk always come first. The window runs inside a
 chunk, one aggregated row per chunk carries what later chunks need, and a join on ``(key, chunk)``
 puts the two together. The second-level window sees chunk summaries only.
+
+Each call reads its input twice (rows and chunk summaries, the latter combined before the shuffle);
+ask for several results in one call rather than chaining calls, and cut the lineage of a costly input.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 65_536
+FOLDS = {"sum": F.sum, "max": F.max}
 
 
 def chunk_of(order: str | Column, size: int = CHUNK) -> Column:
@@ -21,27 +25,24 @@ def chunk_of(order: str | Column, size: int = CHUNK) -> Column:
     return F.floor(c / F.lit(size))
 
 
-def _prefix(df: DataFrame, keys: list[str], summary: Column, fold, before: str) -> DataFrame:
-    per_chunk = df.groupBy(*keys, "__chunk").agg(summary.alias("__v"))
-    w = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return per_chunk.select(*keys, "__chunk", fold(F.col("__v")).over(w).alias(before))
+def running_many(df: DataFrame, keys: list[str], order: list, chunk: Column, wanted: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+    """Running folds along ``order`` within ``keys``: ``wanted`` maps an output to ("sum" | "max", value)."""
+    d = df.withColumn("__chunk", chunk).withColumns({f"__x_{o}": v for o, (_, v) in wanted.items()})
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = d.withColumns({f"__l_{o}": FOLDS[k](f"__x_{o}").over(inside) for o, (k, _) in wanted.items()})
+    ahead = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    summary = d.groupBy(*keys, "__chunk").agg(*[FOLDS[k](f"__x_{o}").alias(f"__s_{o}") for o, (k, _) in wanted.items()])
+    before = summary.select(*keys, "__chunk", *[FOLDS[k](f"__s_{o}").over(ahead).alias(f"__b_{o}") for o, (k, _) in wanted.items()])
+    out = {}
+    for o, (kind, _) in wanted.items():
+        here, earlier = F.col(f"__l_{o}"), F.col(f"__b_{o}")
+        out[o] = F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0)) if kind == "sum" else F.greatest(here, earlier)
+    drop = ["__chunk"] + [f"__{p}_{o}" for p in "xlb" for o in wanted]
+    return local.join(before, [*keys, "__chunk"]).withColumns(out).drop(*drop)
 
 
-def running(df: DataFrame, keys: list[str], order: list, chunk: Column, value: Column, out: str,
-            kind: str = "sum", inclusive: bool = True) -> DataFrame:
-    """Running sum / max / count of ``value`` along ``order`` within ``keys``."""
-    fold = {"sum": F.sum, "max": F.max}[kind]
-    d = df.withColumn("__chunk", chunk).withColumn("__x", value)
-    w = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    local = d.withColumn("__local", fold("__x").over(w))
-    offsets = _prefix(d, keys, fold("__x"), fold, "__before")
-    joined = local.join(offsets, [*keys, "__chunk"])
-    if kind == "sum":
-        total = F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__before"), F.lit(0))
-    else:
-        total = F.greatest("__local", "__before")
-    return joined.withColumn(out, total).drop("__chunk", "__x", "__local", "__before")
+def running(df: DataFrame, keys: list[str], order: list, chunk: Column, value: Column, out: str, kind: str = "sum", inclusive: bool = True) -> DataFrame:
+    return running_many(df, keys, order, chunk, {out: (kind, value)}, inclusive)
 
 
 def number(df: DataFrame, keys: list[str], order: list, chunk: Column, out: str) -> DataFrame:
@@ -49,41 +50,38 @@ def number(df: DataFrame, keys: list[str], order: list, chunk: Column, out: str)
     return running(df, keys, order, chunk, F.lit(1).cast("long"), out)
 
 
-def neighbour(df: DataFrame, keys: list[str], order: list, chunk: Column, value: Column, out: str,
-              ahead: bool = True) -> DataFrame:
-    """``value`` of the next (or previous) row, wrapped so that a NULL value is still a row.
+def neighbours(df: DataFrame, keys: list[str], order: list, chunk: Column, value: Column, prev: str | None = None, nxt: str | None = None) -> DataFrame:
+    """``value`` of the row before and after, each as a struct ``{v}`` so that a NULL value is still a row.
 
-    ``out`` is NULL where there is no neighbour, else a struct ``{v}``.
+    The struct itself is NULL where there is no such row.
     """
-    order_key = F.struct(*order)
+    key = F.struct(*order)
     d = df.withColumn("__chunk", chunk).withColumn("__x", F.struct(value.alias("v")))
-    step = F.lead if ahead else F.lag
-    local = d.withColumn("__local", step("__x").over(Window.partitionBy(*keys, "__chunk").orderBy(*order)))
-    edge = (F.min_by if ahead else F.max_by)("__x", order_key)
-    edges = d.groupBy(*keys, "__chunk").agg(edge.alias("__e"))
-    edges = edges.select(*keys, "__chunk",
-                         step("__e").over(Window.partitionBy(*keys).orderBy("__chunk")).alias("__edge"))
-    return (local.join(edges, [*keys, "__chunk"])
-            .withColumn(out, F.coalesce("__local", "__edge")).drop("__chunk", "__x", "__local", "__edge"))
+    inside, across = Window.partitionBy(*keys, "__chunk").orderBy(*order), Window.partitionBy(*keys).orderBy("__chunk")
+    sides = [(o, step, edge) for o, step, edge in ((prev, F.lag, F.max_by), (nxt, F.lead, F.min_by)) if o]
+    local = d.withColumns({f"__l_{o}": step("__x").over(inside) for o, step, _ in sides})
+    edges = d.groupBy(*keys, "__chunk").agg(*[edge("__x", key).alias(f"__e_{o}") for o, _, edge in sides])
+    edges = edges.select(*keys, "__chunk", *[step(f"__e_{o}").over(across).alias(f"__b_{o}") for o, step, _ in sides])
+    out = {o: F.coalesce(f"__l_{o}", f"__b_{o}") for o, _, _ in sides}
+    return local.join(edges, [*keys, "__chunk"]).withColumns(out).drop("__chunk", "__x", *[f"__{p}_{o}" for p in "lb" for o in out])
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, out: str, bin_width: float = 16.0) -> DataFrame:
-    """The element at index ``n >> 1`` of the sorted values (the upper one of an even count).
+def upper_medians(df: DataFrame, keys: list[str], wanted: dict[str, Column], bin_width: float = 16.0) -> DataFrame:
+    """Per output column, the element at index ``n >> 1`` of the sorted values (the upper one of an even count).
 
     Exact and skew-safe: equal values are counted before any shuffle, a histogram of bins finds the bin
-    that holds the wanted rank, and only that bin's distinct values are ordered.
+    that holds the wanted rank, and only that bin's distinct values are ordered. NULL values do not count.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v"))
-              .agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("__v") / F.lit(bin_width))))
-    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (bins.withColumn("_upto", F.sum("_n").over(upto))
-            .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-            .withColumn("_want", F.floor(F.col("_all") / 2) + 1)
-            .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
-            .select(*keys, "_bin", (F.col("_want") - (F.col("_upto") - F.col("_n"))).alias("_rank")))
-    inside = counts.join(bins, [*keys, "_bin"])
-    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    return (inside.withColumn("_upto", F.sum("_n").over(w))
-            .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-            .select(*keys, F.col("__v").alias(out)))
+    values = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(o).alias("o"), v.cast("double").alias("v"))) for o, v in wanted.items()]))
+    rows = df.select(*keys, F.explode(values).alias("__r")).select(*keys, F.col("__r.o").alias("__o"), F.col("__r.v").alias("__v"))
+    by = [*keys, "__o"]
+    counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__n")).withColumn("__bin", F.floor(F.col("__v") / F.lit(bin_width)))
+    upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = counts.groupBy(*by, "__bin").agg(F.sum("__n").alias("__n"))
+    bins = bins.select("*", F.sum("__n").over(upto).alias("__upto"), (F.floor(F.sum("__n").over(Window.partitionBy(*by)) / 2) + 1).alias("__want"))
+    first = F.col("__upto") - F.col("__n")
+    bins = bins.where((F.col("__upto") >= F.col("__want")) & (first < F.col("__want"))).select(*by, "__bin", (F.col("__want") - first).alias("__rank"))
+    inside = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = counts.join(bins, [*by, "__bin"]).withColumn("__upto", F.sum("__n").over(inside))
+    hit = hit.where((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__n") < F.col("__rank")))
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__o") == o, F.col("__v"))).alias(o) for o in wanted])

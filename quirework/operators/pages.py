@@ -82,7 +82,7 @@ def bookmark_parts(outline: DataFrame, docs: DataFrame) -> DataFrame:
     front = (starts.groupBy("doc_id").agg(F.min("part_start").alias("_first")).where("_first > 0")
              .select("doc_id", F.lit(0).cast("long").alias("part_start"), F.lit("front").alias("title")))
     all_starts = starts.unionByName(front)
-    nxt = ordered.neighbour(all_starts, ["doc_id"], ["part_start"], ordered.chunk_of("part_start"), F.col("part_start"), "_next")
+    nxt = ordered.neighbours(all_starts, ["doc_id"], ["part_start"], ordered.chunk_of("part_start"), F.col("part_start"), nxt="_next")
     return (nxt.join(docs.select("doc_id", "page_count"), "doc_id")
             .withColumn("part_end", F.coalesce(F.col("_next.v"), F.col("page_count")))
             .where("part_end > part_start").select("doc_id", "part_start", "part_end", "title"))

@@ -127,11 +127,9 @@ def delivery_reasons(decisions: DataFrame) -> DataFrame:
     than it overwrites it, and the same event again changes nothing.
     """
     acted = decisions.where("action <> 'ignore'")
-    args = (["txn"], ["arrival_seq"], ordered.chunk_of("arrival_seq"))
-    setter = F.struct(F.unix_micros("occurred_at").alias("us"), "arrival_seq", "event_id")
-    d = ordered.running(acted, *args, setter, "_set", kind="max", inclusive=False)
-    d = ordered.running(d, *args, F.col("uid").isNotNull().cast("long"), "_uids", inclusive=False)
-    d = ordered.running(d, *args, F.col("email").isNotNull().cast("long"), "_emails", inclusive=False)
+    d = ordered.running_many(acted, ["txn"], ["arrival_seq"], ordered.chunk_of("arrival_seq"), {
+        "_set": ("max", F.struct(F.unix_micros("occurred_at").alias("us"), "arrival_seq", "event_id")),
+        "_uids": ("sum", F.col("uid").isNotNull().cast("long")), "_emails": ("sum", F.col("email").isNotNull().cast("long"))}, inclusive=False)
     status = F.when(F.col("action") == "grant", F.lit("granted")).otherwise(F.lit("revoked"))
     fills = (F.col("uid").isNotNull() & (F.col("_uids") == 0)) | (F.col("email").isNotNull() & (F.col("_emails") == 0))
     outcome = first_match([

@@ -42,7 +42,7 @@ def _(t):
 
 @query("q_d03_upper_median", "SELECT l_suppkey, v[len(v) // 2 + 1] AS median_price FROM (SELECT l_suppkey, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1)")
 def _(t):
-    return ordered.upper_median(t.lineitem, ["l_suppkey"], "l_extendedprice", "median_price", bin_width=1024.0)
+    return ordered.upper_medians(t.lineitem, ["l_suppkey"], {"median_price": F.col("l_extendedprice")}, bin_width=1024.0)
 
 
 HIST = f"""{ROLLED}, hist AS (SELECT doc_id, skip_reason, count(*) AS n, min((ordinal, image_key)) AS first_seen FROM j WHERE NOT recompressible GROUP BY 1, 2)"""
@@ -304,7 +304,7 @@ ESTIMATE = f"""pr AS (SELECT vec_id, origin, made_at, list_filter(list_transform
 
 @query("q_d29_quality_estimate", f"WITH {ESTIMATE} SELECT origin, quality, count(*) AS tables, count(*) FILTER (quality = made_at) AS exact FROM est GROUP BY 1, 2")
 def _(t):
-    d = t.quant_tables.select("origin", "made_at", images.estimate_quality(F.col("tbl"), BASE_LUMA).alias("quality"))
+    d = images.estimate_quality(t.quant_tables, "tbl", BASE_LUMA)
     return d.groupBy("origin", "quality").agg(F.count("*").alias("tables"), F.count_if(F.col("quality") == F.col("made_at")).alias("exact"))
 
 

@@ -166,14 +166,10 @@ def _(t):
     SELECT doc_id, slice, CASE WHEN (q IS NULL OR q > 42) AND (d IS NULL OR d > 72) THEN 'both' WHEN q IS NULL OR q > 42 THEN 'quality' WHEN d IS NULL OR d > 72 THEN 'dpi' ELSE 'none' END AS lever
     FROM (SELECT doc_id, slice, ds[len(ds) // 2 + 1] AS d, qs[len(qs) // 2 + 1] AS q FROM m)""")
 def _(t):
-    from ..operators import ordered
-    d = judged(t).withColumn("slice", F.col("image_key") % 8)
-    ok = d.where("recompressible")
     keys = ["doc_id", "slice"]
-    jpeg = ok.where(F.array_contains("filters", "DCTDecode") & (F.size("filters") == 1))
-    m = (d.select(*keys).distinct().join(ordered.upper_median(ok, keys, "dpi", "d"), keys, "left")
-         .join(ordered.upper_median(jpeg, keys, "quality", "q"), keys, "left"))
-    return m.select(*keys, images.harder_lever(F.col("q"), F.col("d")).alias("lever"))
+    slices = t.images.select("doc_id", (F.col("image_key") % 8).alias("slice")).distinct()
+    m = slices.join(images.medians(judged(t).withColumn("slice", F.col("image_key") % 8), keys), keys, "left")
+    return m.select(*keys, images.harder_lever(F.col("median_quality"), F.col("median_dpi")).alias("lever"))
 
 
 @query("q_b15_usable_words", "SELECT doc_id, count(*) AS words FROM words WHERE trim(word) <> '' AND x1 > x0 AND y1 > y0 GROUP BY 1")

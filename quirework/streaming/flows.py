@@ -172,7 +172,7 @@ def stash_outcomes(events: DataFrame) -> DataFrame:
     swept = F.when(~F.col("what").isin("stash", "claim"), F.col("us"))
     e = ordered.running(e, ["owner"], order, chunk, swept, "swept", kind="max")
     acts = e.where(F.col("what").isin("stash", "claim"))
-    acts = ordered.neighbour(acts, ["owner"], order, chunk, F.struct("what", "us", "event_id"), "prev", ahead=False)
+    acts = ordered.neighbours(acts, ["owner"], order, chunk, F.struct("what", "us", "event_id"), prev="prev")
     p = F.col("prev.v")
     outcome = (F.when(F.coalesce(p["what"] != "stash", F.lit(True)), "nothing").when(F.col("us") - p["us"] <= STASH_US, "taken")
                .when(F.col("swept") - p["us"] > STASH_US, "nothing").otherwise("expired"))
@@ -196,7 +196,7 @@ def pending_outcomes(events: DataFrame, now: Column) -> DataFrame:
     A note with no later event and less than a day old at ``now`` is still open: its outcome is NULL.
     """
     e = events.where(F.col("what").isin("pending", "confirm")).withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
-    e = ordered.neighbour(e, ["owner"], ["us", "event_id"], ordered.chunk_of("us", CHUNK_US), F.struct("what", "us"), "next")
+    e = ordered.neighbours(e, ["owner"], ["us", "event_id"], ordered.chunk_of("us", CHUNK_US), F.struct("what", "us"), nxt="next")
     n = F.col("next.v")
     late = F.coalesce(n["us"], now) - F.col("us") >= PENDING_US
     outcome = F.when(late, "expired").when(n["what"] == "confirm", "confirmed").when(n["what"] == "pending", "replaced")

@@ -42,13 +42,13 @@ def test_running_and_number(skewed, size):
 def test_neighbour(skewed, ahead):
     w = Window.partitionBy("k").orderBy("o")
     want = skewed.select("k", "o", F.coalesce((F.lead if ahead else F.lag)(F.coalesce("v", F.lit(-5).cast("long"))).over(w), F.lit(-9)))
-    got = ordered.neighbour(skewed, ["k"], ["o"], ordered.chunk_of("o", 97), F.col("v"), "x", ahead)
+    got = ordered.neighbours(skewed, ["k"], ["o"], ordered.chunk_of("o", 97), F.col("v"), **({"nxt": "x"} if ahead else {"prev": "x"}))
     got = got.select("k", "o", F.when(F.col("x").isNull(), -9).otherwise(F.coalesce("x.v", F.lit(-5).cast("long"))))
     assert same(got, want)
 
 
 def test_upper_median(skewed):
-    got = {r["k"]: r["m"] for r in ordered.upper_median(skewed, ["k"], "v", "m").collect()}
+    got = {r["k"]: r["m"] for r in ordered.upper_medians(skewed, ["k"], {"m": F.col("v")}).collect()}
     rows = {}
     for k, v in skewed.where("v is not null").select("k", "v").collect():
         rows.setdefault(k, []).append(v)

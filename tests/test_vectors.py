@@ -258,13 +258,13 @@ def test_quality_of_generated_tables(spark):
     for q in range(1, 100):
         s = 5000 // q if q < 50 else 200 - 2 * q
         tables.append((q, [max(1, min(255, (b * s + 50) // 100)) for b in BASE_LUMA]))
-    d = spark.createDataFrame(tables, "q int, t array<int>").select("q", images.estimate_quality(F.col("t"), BASE_LUMA).alias("e"))
+    d = images.estimate_quality(spark.createDataFrame(tables, "q int, t array<int>"), "t", BASE_LUMA, "e")
     got = {r["q"]: r["e"] for r in d.collect()}
     for q in range(15, 96):
         assert got[q] is None or abs(got[q] - q) <= 1
     assert sum(got[q] is not None for q in range(25, 93)) > 60
     odd = spark.createDataFrame([([7, 200] * 32,)], "t array<int>")
-    assert odd.select(images.estimate_quality(F.col("t"), BASE_LUMA)).first()[0] is None
+    assert images.estimate_quality(odd, "t", BASE_LUMA, "e").first()["e"] is None
 
 
 def test_size_search_order_of_answers(spark):
