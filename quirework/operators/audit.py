@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -191,14 +191,11 @@ def hit_rollup(hits: DataFrame, key: str, named: int = 4) -> DataFrame:
     return per.join(names, "phrase_id")
 
 
-def first_n(df: DataFrame, keys: list[str], order: str, n: int, salt: int = 64) -> DataFrame:
-    """First n rows of each group by ``order``: cut to n inside salted parts, then once more over the survivors."""
-    from pyspark.sql import Window
-    part = F.pmod(F.xxhash64(F.col(order)), F.lit(salt))
-    w1 = Window.partitionBy(*keys, "_part").orderBy(order)
-    cut = df.withColumn("_part", part).withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= n)
-    w2 = Window.partitionBy(*keys).orderBy(order)
-    return cut.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= n).drop("_part", "_rn")
+def first_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """First n rows of each group by ``order``. Spark pushes the limit below the shuffle (WindowGroupLimit),
+    so every task sends at most n rows of a group."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def mention_offsets(texts: DataFrame, key: str, text: str, phrase: str) -> DataFrame:

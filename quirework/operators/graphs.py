@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, run_path
 
 OUTLINE_LEVELS = 12
 SIBLING_CEILING = 5000
@@ -48,21 +48,28 @@ def named_root(fields: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes reachable from ``start`` (column ``node``), each once.
+    """Nodes reachable from ``start`` (column ``node``), each once, with the fewest hops to it.
 
-    Breadth first. Every round joins only the new frontier and drops what was seen, so a dense graph
-    costs its edges once, not its paths.
+    Breadth first over a table in the shared folder with one partition per hop. A round joins only the
+    last hop with the edges and drops what the table holds, so a dense graph costs its edges once, not
+    its paths; the count that ends the loop comes with the write.
     """
-    frontier = cut_lineage(start.select("node").distinct().withColumn("hop", F.lit(0).cast("long")))
-    seen = frontier
-    hop = 0
-    while not frontier.isEmpty():
+    spark = edges.sparkSession
+    table = run_path(spark, "reach")
+
+    def put(nodes: DataFrame, hop: int) -> int:
+        seen = Observation()
+        nodes.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{table}/hop={hop}")
+        return seen.get["n"]
+
+    hop, found = 0, put(start.select("node").distinct(), 0)
+    while found:
+        held = spark.read.parquet(table)
+        frontier = held.where(F.col("hop") == hop).select(F.col("node").alias("src"))
+        step = edges.join(frontier, "src").select(F.col("dst").alias("node")).distinct().join(held.select("node"), "node", "left_anti")
         hop += 1
-        found = (edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-                 .join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long")))
-        frontier = cut_lineage(found)
-        seen = seen.unionByName(frontier)
-    return seen
+        found = put(step, hop)
+    return spark.read.parquet(table).select("node", F.col("hop").cast("long").alias("hop"))
 
 
 def keep_with_survivors(outline: DataFrame, valid: str) -> DataFrame:

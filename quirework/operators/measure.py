@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -81,13 +81,13 @@ def growth(rungs: DataFrame) -> DataFrame:
 def flat_suffix(rungs: DataFrame) -> DataFrame:
     """First suffix of three or more rungs that doubles in size and stays within 10 % in time.
 
-    A ladder is a handful of sizes per run, one rung each, so its window is small by construction.
+    A suffix in size order is a prefix from the largest rung down, so running folds give every suffix at once.
     """
-    w = Window.partitionBy("run").orderBy("mb")
-    tail = w.rowsBetween(0, Window.unboundedFollowing)
     ms = F.coalesce("pipe_ms", F.lit(0).cast("long"))
-    d = _survived(rungs).select("run", "mb", F.count("*").over(tail).alias("rungs"), F.min(ms).over(tail).alias("lo"),
-                                F.max(ms).over(tail).alias("hi"), F.max("mb").over(tail).alias("to_mb"))
+    down = _survived(rungs).select("run", "mb", (-F.col("mb")).alias("_down"), ms.alias("_ms"))
+    d = ordered.running_many(down, ["run"], ["_down"], ordered.chunk_of("_down"), {
+        "rungs": ("sum", F.lit(1).cast("long")), "_lo": ("max", -F.col("_ms")), "hi": ("max", F.col("_ms")), "to_mb": ("max", F.col("mb"))})
+    d = d.withColumn("lo", -F.col("_lo"))
     hit = d.where((F.col("rungs") >= 3) & (F.col("to_mb") / F.col("mb") >= 2) & (F.col("hi") <= F.col("lo") * FLAT_RATIO))
     return hit.groupBy("run").agg(F.min_by(F.struct(F.col("mb").alias("from_mb"), "to_mb", "rungs", "lo", "hi"), "mb").alias("_f")).select("run", "_f.*")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ordered
 from .rules import whole_word
 
 CONFIDENCE_FLOOR = 55
@@ -88,13 +89,9 @@ def page_text(c: str | Column) -> Column:
 
 
 def joined_text(pages: DataFrame, text: str) -> DataFrame:
-    """One text per document, pages in order under a marker line.
-
-    A document's text is one value by definition; only its own pages meet here.
-    """
+    """One text per document, pages in order under a marker line."""
     marked = F.concat(F.lit("--- page "), (F.col("page_index") + 1).cast("string"), F.lit(" ---\n"), F.col(text))
-    parts = F.array_sort(F.collect_list(F.struct("page_index", marked.alias("t"))))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("text"))
+    return ordered.text_in_order(pages, ["doc_id"], "page_index", marked, "\n\n", "text")
 
 
 def word_count(text: str | Column) -> Column:

@@ -85,3 +85,16 @@ def upper_medians(df: DataFrame, keys: list[str], wanted: dict[str, Column], bin
     hit = counts.join(bins, [*by, "__bin"]).withColumn("__upto", F.sum("__n").over(inside))
     hit = hit.where((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__n") < F.col("__rank")))
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__o") == o, F.col("__v"))).alias(o) for o in wanted])
+
+
+def text_in_order(df: DataFrame, keys: list[str], order: str, piece: Column, sep: str, out: str) -> DataFrame:
+    """One text per group, pieces in order.
+
+    Pieces meet inside their chunk first; the group then gathers one text per chunk, so what a task holds
+    is a chunk's pieces or the finished text, never a group's rows.
+    """
+    def gather(position: str, value: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, value))), lambda x: x[value]), sep)
+    d = df.select(*keys, F.col(order).alias("__o"), piece.alias("__t")).withColumn("__chunk", chunk_of("__o"))
+    parts = d.groupBy(*keys, "__chunk").agg(gather("__o", "__t").alias("__t"))
+    return parts.groupBy(*keys).agg(gather("__chunk", "__t").alias(out))

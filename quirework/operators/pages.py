@@ -30,10 +30,8 @@ def range_label(first: Column, last: Column) -> Column:
 
 
 def describe_ranges(pages: DataFrame, keys: list[str], page: str, out: str = "ranges") -> DataFrame:
-    """"1-3, 5" per group. Only the runs, already folded from pages, are gathered into the text."""
-    runs = islands(pages, keys, page)
-    parts = F.array_sort(F.collect_list(F.struct("first", range_label(F.col("first"), F.col("last")).alias("t"))))
-    return runs.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["t"]), ", ").alias(out))
+    """"1-3, 5" per group, from the runs already folded from pages."""
+    return ordered.text_in_order(islands(pages, keys, page), keys, "first", range_label(F.col("first"), F.col("last")), ", ", out)
 
 
 def parse_ranges(requests: DataFrame, key: str, text: str, page_count: str) -> tuple[DataFrame, DataFrame]:

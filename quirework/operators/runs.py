@@ -101,9 +101,9 @@ def allocate_names(done: DataFrame, run: str = "run_id", source: str = "source",
     Otherwise the parent owns that name and the child starts at its own ``(2)``. So each level needs one
     count per distinct child name, not per file, and files are numbered by the chunked counter.
     """
-    d = done.withColumn("_clean", S.safe_name(source))
+    d = S.once(done, "_clean", S.safe_name(source))
     base, ext = _split_name(F.col("_clean"), extension)
-    d = d.withColumn("_base", base).withColumn("_ext", ext)
+    d = S.once(d, "_n", F.struct(base.alias("b"), ext.alias("e"))).select("*", F.col("_n.b").alias("_base"), F.col("_n.e").alias("_ext")).drop("_n")
     group = [run, "_base", "_ext"]
     d = cut_lineage(ordered.number(d, group, [order], ordered.chunk_of(order), "_rank"))
     names = d.groupBy(*group).agg(F.min(order).alias("_first"))

@@ -36,7 +36,7 @@ DOCS = """docs AS (SELECT doc_id, count(*) AS images, count(*) FILTER (recompres
 
 @query("q_d02_document_rollup", f"WITH {ROLLED}, {DOCS} SELECT doc_id, images, recompressible, actionable_bytes, skipped_bytes, all_jpeg, {r6('ds[len(ds) // 2 + 1]')} AS median_dpi, qs[len(qs) // 2 + 1] AS median_quality FROM docs")
 def _(t):
-    d = images.document_rollup(judged(t))
+    d = images.document_rollup(judged(t, reread=True))
     return d.select("doc_id", "images", "recompressible", "actionable_bytes", "skipped_bytes", "all_jpeg", micro("median_dpi"), "median_quality")
 
 
@@ -107,7 +107,8 @@ def _(t):
 
 @query("q_d10_resolution_results", f"WITH {ROLLED} SELECT doc_id, count(*) FILTER (o = 'replaced') AS downscaled, count(*) FILTER (o <> 'replaced') AS stayed_above FROM (SELECT *, {OUTCOME} AS o FROM j WHERE recompressible AND dpi > 150) GROUP BY 1")
 def _(t):
-    return images.resolution_results(judged(t), with_outcomes(t), 150)
+    j = judged(t, reread=True)
+    return images.resolution_results(j, with_outcomes(j), 150)
 
 
 @query("q_d11_licence_counts", "SELECT licence, count(*) AS packages FROM packages GROUP BY 1 ORDER BY 2 DESC, 1")
@@ -231,11 +232,12 @@ MERGE = f"""per AS (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM or
 
 
 def merge_summary(t):
-    """One row per file before anything is gathered; a run's text names each of its files by definition."""
+    """Counts fold per file; a run's text names each of its files by definition."""
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     files = t.orders.select("o_custkey", "o_orderkey").join(lines, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "n"))), lambda x: x["n"].cast("string")), " + ")
-    g = files.groupBy("o_custkey").agg(F.count("*").alias("files"), F.sum("n").alias("pages"), text.alias("pages_text"), F.count_if(F.col("n") > 2).alias("bookmarks"))
+    text = ordered.text_in_order(files, ["o_custkey"], "o_orderkey", F.col("n").cast("string"), " + ", "pages_text")
+    g = files.groupBy("o_custkey").agg(F.count("*").alias("files"), F.sum("n").alias("pages"), F.count_if(F.col("n") > 2).alias("bookmarks"))
+    g = g.join(text, "o_custkey").select("o_custkey", "files", "pages", "pages_text", "bookmarks")
     labels = t.file_pages.select(F.col("doc_id").alias("o_orderkey"), S.page_size_name("width_pt", "height_pt").alias("label")).distinct()
     labels = labels.join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_custkey", "label").distinct()
     z = labels.groupBy("o_custkey").agg(F.count("*").alias("n_sizes"), F.array_join(F.array_sort(F.collect_list("label")), " and ").alias("sizes_text"))
@@ -252,8 +254,8 @@ SPLIT = "part AS (SELECT doc_id, page_index // 3 + 1 AS no, count(*) AS n FROM d
 
 def split_summary(t):
     part = pages.split_every(t.doc_page_index, 3).groupBy("doc_id", "part").agg(F.count("*").alias("n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n"))), lambda x: x["n"].cast("string")), " + ")
-    return part.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n").alias("pages"), text.alias("pages_text"))
+    text = ordered.text_in_order(part, ["doc_id"], "part", F.col("n").cast("string"), " + ", "pages_text")
+    return part.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n").alias("pages")).join(text, "doc_id")
 
 
 @query("q_d26_split_summary", f"WITH {SPLIT} SELECT * FROM sp")
@@ -388,7 +390,7 @@ def _(t):
     SELECT doc_id, CASE WHEN parts = '' THEN 'No images to change.' ELSE parts || '.' END || ' Text, vectors and form fields copied byte-for-byte. ' || CASE WHEN doc_id % 2 = 0 THEN 'Author and timestamps removed.' ELSE 'Metadata kept as it was.' END AS said FROM p""")
 def _(t):
     o, c = F.col("outcome"), F.col
-    g = with_outcomes(t).groupBy("doc_id").agg(
+    g = with_outcomes(judged(t)).groupBy("doc_id").agg(
         F.count_if(o == "replaced").alias("r"), F.count_if(o.isin("kept", "not-smaller")).alias("k"), F.count_if(o == "undecodable").alias("u"),
         F.count_if((o == "replaced") & (c("image_key") % 2 == 0)).alias("ds"))
     return g.select("doc_id", sentences.compressed(c("r"), F.lit(72), c("ds"), F.lit(150), c("k"), c("u"), c("doc_id") % 2 == 0).alias("said"))
@@ -414,9 +416,9 @@ def _(t):
     SELECT doc_id, concat_ws('; ', {plural('ds', 'image')} || ' brought down to 150 dpi', CASE WHEN lo > 0 THEN lo || ' already at or below it left as ' || CASE WHEN lo = 1 THEN 'it was' ELSE 'they were' END END, CASE WHEN un > 0 THEN un || ' with no measurable resolution left alone' END,
       CASE WHEN ca > 0 THEN ca || ' in a form this cannot re-encode left alone' END) || '.' || CASE WHEN st > 0 THEN ' ' || {plural('st', 'image')} || ' stayed above 150 dpi, because resizing ' || CASE WHEN st = 1 THEN 'it' ELSE 'them' END || ' would not have made the file smaller.' ELSE '' END AS said FROM c""")
 def _(t):
-    j = judged(t)
+    j = judged(t, reread=True)
     zero, c = F.lit(0).cast("long"), F.col
-    d = images.resolution_buckets(j, 150, ["doc_id"]).join(images.resolution_results(j, with_outcomes(t), 150), "doc_id", "left")
+    d = images.resolution_buckets(j, 150, ["doc_id"]).join(images.resolution_results(j, with_outcomes(j), 150), "doc_id", "left")
     return d.select("doc_id", sentences.resolution(150, F.coalesce("downscaled", zero), c("at_or_below"), c("unknown"), c("cannot"), F.coalesce("stayed_above", zero)).alias("said"))
 
 
@@ -444,7 +446,7 @@ FONT = f"(' ' || {fmt_bytes('fonts')} || ' of its ' || {fmt_bytes('total')} || '
     CASE WHEN fonts > actionable_bytes THEN {FONT} WHEN skipped_bytes > actionable_bytes THEN ' Most of its image data is in images this tool leaves alone.' ELSE '' END || {LEVER} END AS said FROM x""")
 def _(t):
     c = F.col
-    j = judged(t)
+    j = judged(t, reread=True)
     d = images.document_rollup(j).join(images.top_skip_reason(images.skip_histogram(j)).select("doc_id", "top_reason"), "doc_id", "left")
     d = d.join(images.shared_bytes(t.fonts, "doc_id", "font_ref", "font_bytes").withColumnRenamed("bytes", "fonts"), "doc_id")
     lever = images.harder_lever(c("median_quality"), c("median_dpi"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import audit, images, ocr, purchases, rules, survey
+from ..session import cut_lineage
 from .catalog_sources import OWN
 from .facts import choose
 from .registry import query
@@ -111,8 +112,10 @@ ROLLED = """rolled AS (SELECT doc_id, image_key, max(sqrt(a * a + b * b)) AS wid
  j AS (SELECT *, skip_reason IS NULL AS recompressible FROM judged)"""
 
 
-def judged(t):
-    return images.judged(t.images, t.placements, t.masks)
+def judged(t, reread: bool = False):
+    """Images with their verdict; written once where several parts of a query read it."""
+    j = images.judged(t.images, t.placements, t.masks)
+    return cut_lineage(j) if reread else j
 
 
 @query("q_b09_image_eligibility", f"WITH {ROLLED} SELECT doc_id, image_key, recompressible, skip_reason FROM j")
@@ -140,8 +143,8 @@ NEW_BYTES = "CASE WHEN image_key % 17 = 0 THEN NULL ELSE cast(floor(encoded_byte
 OUTCOME = f"CASE WHEN {PLAN} IS NULL THEN 'kept' WHEN {NEW_BYTES} IS NULL THEN 'undecodable' WHEN {NEW_BYTES} >= encoded_bytes THEN 'not-smaller' ELSE 'replaced' END"
 
 
-def with_outcomes(t):
-    d = images.apply_plan(judged(t).where("recompressible"), images.resolution_plan(150))
+def with_outcomes(j):
+    d = images.apply_plan(j.where("recompressible"), images.resolution_plan(150))
     k = F.col("image_key")
     new = F.when(k % 17 != 0, F.floor(F.col("encoded_bytes") * (F.lit(40) + k % 70) / 100.0).cast("long"))
     return d.withColumn("new_bytes", new).withColumn("outcome", images.outcome(F.col("plan").isNotNull(), F.col("new_bytes"), F.col("encoded_bytes")))
@@ -149,7 +152,7 @@ def with_outcomes(t):
 
 @query("q_b12_keep_improvements", f"WITH {ROLLED} SELECT doc_id, image_key, {OUTCOME} AS outcome FROM j WHERE recompressible")
 def _(t):
-    return with_outcomes(t).select("doc_id", "image_key", "outcome")
+    return with_outcomes(judged(t)).select("doc_id", "image_key", "outcome")
 
 
 @query("q_b13_worth_it", """SELECT o_orderkey, before - after > 0 AND (before - after) / before::double >= 0.03 AS worth_showing,
@@ -167,8 +170,8 @@ def _(t):
     FROM (SELECT doc_id, slice, ds[len(ds) // 2 + 1] AS d, qs[len(qs) // 2 + 1] AS q FROM m)""")
 def _(t):
     keys = ["doc_id", "slice"]
-    slices = t.images.select("doc_id", (F.col("image_key") % 8).alias("slice")).distinct()
-    m = slices.join(images.medians(judged(t).withColumn("slice", F.col("image_key") % 8), keys), keys, "left")
+    j = judged(t, reread=True).withColumn("slice", F.col("image_key") % 8)
+    m = j.select(*keys).distinct().join(images.medians(j, keys), keys, "left")
     return m.select(*keys, images.harder_lever(F.col("median_quality"), F.col("median_dpi")).alias("lever"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit, graphs, images, measure, ocr, ordered, pages, purchases, rules, runs, survey
+from ..session import cut_lineage
 from .catalog_aggs import ENDS, FLAT, GROWTH, HIST, MARKS, RECOGNISED, ROLLED, STORED, SURVIVED, recognised, results
 from .catalog_joins import KEPT, STARTS, USED, decisions, links, outline_page_map, styled_elements, used_elements
 from .catalog_rules import PLAN, judged
@@ -49,7 +50,12 @@ def _(t):
 @query("q_e05_describe_ranges", """SELECT doc_id, string_agg(CASE WHEN lo = hi THEN (lo + 1)::varchar ELSE (lo + 1) || '-' || (hi + 1) END, ', ' ORDER BY lo) AS ranges FROM (
     SELECT doc_id, min(page_index) AS lo, max(page_index) AS hi FROM (SELECT doc_id, page_index, page_index - row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS g FROM file_pages WHERE rotation <> 0) GROUP BY doc_id, g) GROUP BY 1""")
 def _(t):
-    return pages.describe_ranges(t.file_pages.where("rotation <> 0"), ["doc_id"], "page_index")
+    return pages.describe_ranges(cut_lineage(t.file_pages.where("rotation <> 0")), ["doc_id"], "page_index")
+
+
+@query("q_e05_islands", """SELECT doc_id, min(page_index) AS first, max(page_index) AS last FROM (SELECT doc_id, page_index, page_index - row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS g FROM file_pages WHERE rotation <> 0) GROUP BY doc_id, g""")
+def _(t):
+    return pages.islands(cut_lineage(t.file_pages.where("rotation <> 0")), ["doc_id"], "page_index")
 
 
 OFFSETS = "f AS (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2), off AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS \"offset\" FROM f)"

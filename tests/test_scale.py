@@ -135,3 +135,25 @@ def test_claims_and_notes_over_several_batches(spark, folder, tmp_path):
     want = flows.pending_outcomes(whole, now).where("outcome is not null").select("owner", "event_id", "outcome")
     got = spark.read.option("basePath", str(tmp_path / "o2")).parquet(str(tmp_path / "o2"))
     assert same(got.select("owner", "event_id", "outcome"), want)
+
+
+def test_limit_is_pushed_below_the_shuffle(skewed):
+    from quirework.operators import audit
+    d = audit.first_n(skewed, ["k"], "o", 4)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    w = Window.partitionBy("k").orderBy("o")
+    assert same(d.select("k", "o"), skewed.withColumn("n", F.row_number().over(w)).where("n <= 4").select("k", "o"))
+
+
+def test_plans_prune_and_push_down(spark, folder):
+    t = Tables(spark, folder)
+    plan = t.placements.select("doc_id", "a")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_returnflag:string>" in plan
+    assert "PushedFilters: [IsNotNull(l_returnflag)" in plan
+
+
+def test_parse_runs_once_per_row(spark, folder):
+    """The JSON parse and the rule chain stay in their own steps, however many columns read them."""
+    p = purchases.purchase_state(decisions(Tables(spark, folder)))
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
