@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import BROADCAST_ROWS, fits_broadcast
+from ..session import BROADCAST_ROWS, cut_lineage, fits_broadcast
 from . import ordered
 from .rules import first_match, whole_word
 
@@ -185,6 +185,7 @@ def phrase_hits(texts: DataFrame, key: str, phrases: DataFrame, fits: bool | Non
 
 def hit_rollup(hits: DataFrame, key: str, named: int = 4) -> DataFrame:
     """Pages per phrase and the first four of them by key. Only those four are gathered."""
+    hits = cut_lineage(hits)  # few rows, found once by reading all texts
     per = hits.groupBy("phrase_id").agg(F.count("*").alias("pages"))
     first = first_n(hits, ["phrase_id"], key, named)
     names = first.groupBy("phrase_id").agg(F.array_join(F.array_sort(F.collect_list(F.col(key))), ",").alias("named"))
@@ -198,13 +199,12 @@ def first_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def mention_offsets(texts: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
+def mention_starts(text: Column, phrase: str) -> Column:
     """Where each mention starts: the text is cut at the phrase and the piece lengths are summed."""
-    pieces = F.split(S.col(text), _quote(phrase))
+    pieces = F.split(text, _quote(phrase))
     step = len(phrase)
-    starts = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.array().cast("array<long>"),
-                         lambda acc, p: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)) + step, F.lit(0)) + F.length(p)).cast("long"))))
-    return texts.select(key, F.col(text).alias("text"), F.explode(starts).alias("at"))
+    return F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.array().cast("array<long>"),
+                       lambda acc, p: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)) + step, F.lit(0)) + F.length(p)).cast("long"))))
 
 
 def _quote(phrase: str) -> str:
@@ -213,8 +213,8 @@ def _quote(phrase: str) -> str:
 
 
 def unknown_phrasings(texts: DataFrame, key: str, text: str, phrase: str, known: list[str], before: int = 60, after: int = 30) -> DataFrame:
-    """Mentions whose surroundings match no known phrasing."""
-    m = mention_offsets(texts, key, text, phrase)
+    """Mentions whose surroundings match no known phrasing. Row by row: nothing is shuffled."""
+    m = texts.select(key, F.col(text).alias("text"), F.explode(mention_starts(F.col(text), phrase)).alias("at"))
     start = F.greatest(F.col("at") - before, F.lit(0).cast("long"))
     around = F.substring(F.col("text"), (start + 1).cast("int"), (F.col("at") + after - start).cast("int"))
     m = m.select(key, "at", around.alias("around"))
@@ -222,17 +222,16 @@ def unknown_phrasings(texts: DataFrame, key: str, text: str, phrase: str, known:
 
 
 def nearest_gap(pages: DataFrame, key: str, text: str, marks: list[str], line: str) -> DataFrame:
-    """Pages that carry every mark: distance from the span of marks to the nearest mention of ``line``; 0 inside."""
+    """Pages that carry every mark: distance from the span of marks to the nearest mention of ``line``.
+
+    0 inside the span, NULL when the line is nowhere. Worked out inside each row.
+    """
     at = [F.instr(S.col(text), m) - 1 for m in marks]
-    d = pages.select(key, F.col(text).alias("text"), F.least(*at).alias("lo"),
-                     F.greatest(*at).alias("_last"), F.greatest(*[F.when(a == F.greatest(*at), a + len(m)) for a, m in zip(at, marks)]).alias("hi"))
-    d = d.where("lo >= 0")
-    m = mention_offsets(d, key, "text", line).select(key, "at")
-    spans = d.select(key, "lo", "hi")
-    i = F.col("at")
-    gap = F.when(i.between(F.col("lo"), F.col("hi")), 0).when(i < F.col("lo"), F.col("lo") - i).otherwise(i - F.col("hi"))
-    near = m.join(spans, key).groupBy(key).agg(F.min(gap).cast("long").alias("gap"))
-    return spans.select(key).join(near, key, "left")
+    last = F.greatest(*at)
+    ends = F.greatest(*[F.when(a == last, a + len(m)) for a, m in zip(at, marks)])
+    d = pages.select(key, F.least(*at).alias("lo"), ends.alias("hi"), mention_starts(S.col(text), line).alias("starts")).where("lo >= 0")
+    gap = F.transform("starts", lambda i: F.when(i.between(F.col("lo"), F.col("hi")), 0).when(i < F.col("lo"), F.col("lo") - i).otherwise(i - F.col("hi")))
+    return d.select(key, F.array_min(gap).cast("long").alias("gap"))
 
 
 # -- definitions, reconciliation ---------------------------------------------------------------
@@ -240,7 +239,7 @@ def nearest_gap(pages: DataFrame, key: str, text: str, marks: list[str], line: s
 
 def missing_definitions(used: DataFrame, defined: DataFrame, named: int = 4) -> DataFrame:
     """Names used and never defined, on how many pages, and the first few of them."""
-    gone = used.distinct().join(defined.select("name").distinct(), "name", "left_anti")
+    gone = cut_lineage(used.distinct().join(defined.select("name").distinct(), "name", "left_anti"))
     counts = gone.groupBy("name").agg(F.count("*").alias("pages"))
     first = first_n(gone, ["name"], "page_id", named)
     text = first.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("page_id")), ",").alias("first_pages"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -41,11 +41,11 @@ def egress(requests: DataFrame, own_origin: str, keys: list[str]) -> DataFrame:
 
 
 def stage_shares(stages: DataFrame) -> DataFrame:
-    """Each stage's part of its run's time. Totals fold to one row per run and come back by a join."""
+    """Each stage's part of its run's time. The total runs over folded rows: one per stage name of a run."""
     rows = stages.select("run", F.explode("stages").alias("stage", "ms"))
     per = rows.groupBy("run", "stage").agg(F.sum("ms").alias("ms"))
-    total = per.groupBy("run").agg(F.sum("ms").alias("total"))
-    return per.join(total, "run").select("run", "stage", "ms", "total", S.percent(F.col("ms") / F.col("total"), 1).alias("share"))
+    per = per.withColumn("total", F.sum("ms").over(Window.partitionBy("run")))
+    return per.select("run", "stage", "ms", "total", S.percent(F.col("ms") / F.col("total"), 1).alias("share"))
 
 
 def verdict(rungs: DataFrame) -> DataFrame:

@@ -24,14 +24,14 @@ def _(t):
     return d.select("doc_id", "node_id", F.col("page_index").alias("old_index"), "new_index")
 
 
-@query("q_c02_destinations", """SELECT o.doc_id, node_id, CASE node_id % 4 WHEN 0 THEN CASE WHEN node_id % 3 <> 0 THEN node_id END
+@query("q_c02_destinations", """SELECT o.doc_id, node_id, CASE node_id % 4 WHEN 0 THEN CASE WHEN o.role <> 'system' THEN node_id END
     WHEN 1 THEN CASE WHEN node_id + 1 < page_count THEN node_id + 1 END WHEN 2 THEN CASE WHEN node_id * 3 - 4 BETWEEN 0 AND page_count - 1 THEN node_id * 3 - 4 END END AS page_index
     FROM outline o JOIN outline_docs d ON o.doc_id = d.doc_id""")
 def _(t):
     n = F.col("node_id")
     dests = t.outline.select("doc_id", "node_id", F.when(n % 4 == 0, F.concat(F.lit("dest-"), n)).alias("dest_name"),
                              F.when(n % 4 == 1, F.concat(F.lit("ref-"), n + 1)).alias("dest_ref"), F.when(n % 4 == 2, n * 3 - 4).alias("dest_number"))
-    named = t.outline.where(n % 3 != 0).select("doc_id", F.concat(F.lit("dest-"), n).alias("name"), n.alias("page_index"))
+    named = t.outline.where("role <> 'system'").select("doc_id", F.concat(F.lit("dest-"), n).alias("name"), n.alias("page_index"))
     refs = t.outline_pages.select("doc_id", "page_index", F.concat(F.lit("ref-"), "page_index").alias("page_ref"))
     return pages.resolve_destinations(dests, named, refs, t.outline_docs).select("doc_id", "node_id", "page_index")
 
@@ -50,11 +50,11 @@ def _(t):
 def routes(t):
     """Declared routes: the pages a plan knew of, some with an older title, and some never built."""
     k = F.col("page_id")
-    known = t.pages.where(k % 10 != 9).select(F.concat(F.lit("/p"), k).alias("route"), F.when(k % 7 == 0, F.lit("Old title")).otherwise(audit.title_of("html")).alias("want_title"))
+    known = t.pages.where(~F.contains("url", F.lit("#"))).select(F.concat(F.lit("/p"), k).alias("route"), F.when(k % 7 == 0, F.lit("Old title")).otherwise(audit.title_of("html")).alias("want_title"))
     return known.unionByName(t.nation.select(F.concat(F.lit("/n"), "n_nationkey").alias("route"), F.col("n_name").alias("want_title")))
 
 
-@query("q_c05_routes_reconcile", f"""WITH r AS (SELECT '/p' || page_id AS route, CASE WHEN page_id % 7 = 0 THEN 'Old title' ELSE {TITLE} END AS want FROM pages WHERE page_id % 10 <> 9 UNION ALL SELECT '/n' || n_nationkey, n_name FROM nation),
+@query("q_c05_routes_reconcile", f"""WITH r AS (SELECT '/p' || page_id AS route, CASE WHEN page_id % 7 = 0 THEN 'Old title' ELSE {TITLE} END AS want FROM pages WHERE NOT contains(url, '#') UNION ALL SELECT '/n' || n_nationkey, n_name FROM nation),
     s AS (SELECT '/p' || page_id AS route, {TITLE} AS got, contains(html, 'noindex') AS noindex FROM pages)
     SELECT coalesce(r.route, s.route) AS route, concat_ws('; ', CASE WHEN s.route IS NULL THEN 'not served' END, CASE WHEN r.route IS NULL THEN 'not declared' END, CASE WHEN want <> got THEN 'title differs' END,
       CASE WHEN noindex THEN 'noindex' END) AS problems FROM r FULL JOIN s ON r.route = s.route""")
@@ -205,9 +205,9 @@ def _(t):
     return audit.claim_vs_count(claims, links(t), "page_id")
 
 
-@query("q_c16_run_reconcile", "SELECT run_id, count(*) FILTER (kind = 'done') AS done, count(*) FILTER (kind = 'done' AND ordinal % 97 <> 0) AS entries, count(*) FILTER (kind = 'done') = count(*) FILTER (kind = 'done' AND ordinal % 97 <> 0) AS reconciles FROM run_results GROUP BY 1")
+@query("q_c16_run_reconcile", "SELECT run_id, count(*) FILTER (kind = 'done') AS done, count(*) FILTER (kind = 'done' AND bytes // 1000 <> 33) AS entries, count(*) FILTER (kind = 'done') = count(*) FILTER (kind = 'done' AND bytes // 1000 <> 33) AS reconciles FROM run_results GROUP BY 1")
 def _(t):
-    manifest = t.run_results.where((F.col("kind") == "done") & (F.col("ordinal") % 97 != 0))  # entries lost on the way
+    manifest = t.run_results.where((F.col("kind") == "done") & (F.floor(F.col("bytes") / 1000) != 33))  # entries lost on the way
     return runs.reconcile(t.run_results, manifest)
 
 
@@ -245,11 +245,11 @@ def _(t):
     return audit.carries_all(carried, five, "page_id").unionByName(audit.carries_all(carried, four, "page_id"))
 
 
-@query("q_c21_either_orphan", """WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), w AS (SELECT href FROM a WHERE length(href) % 5 <> 0 UNION SELECT '/extra-' || n_nationkey FROM nation)
+@query("q_c21_either_orphan", """WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), w AS (SELECT href FROM a WHERE NOT ends_with(href, '.') UNION SELECT '/extra-' || n_nationkey FROM nation)
     SELECT href, 'advertised-only' AS side FROM a WHERE href NOT IN (SELECT href FROM w) UNION ALL SELECT href, 'written-only' FROM w WHERE href NOT IN (SELECT href FROM a)""")
 def _(t):
     advertised = links(t).select("href")
-    written = advertised.where(F.length("href") % 5 != 0).unionByName(t.nation.select(F.concat(F.lit("/extra-"), "n_nationkey").alias("href")))
+    written = advertised.where(~F.col("href").endswith(".")).unionByName(t.nation.select(F.concat(F.lit("/extra-"), "n_nationkey").alias("href")))
     return audit.either_orphan(advertised, written, "href")
 
 

@@ -149,9 +149,9 @@ def _(t):
     return audit.numbering_problems(heads, "conv_id", "number", "turn")
 
 
-@query("q_e12_anchor_clashes", r"""SELECT conv_id, slug, count(*) AS times FROM (SELECT conv_id, regexp_replace(trim(regexp_replace(lower(substr(text, 1, 4)), '[^\w\s-]', '', 'g')), '\s', '-', 'g') AS slug FROM conversations) GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("q_e12_anchor_clashes", r"""SELECT conv_id, slug, count(*) AS times FROM (SELECT conv_id, regexp_replace(trim(regexp_replace(lower(split_part(text, ' ', 1)), '[^\w\s-]', '', 'g')), '\s', '-', 'g') AS slug FROM conversations) GROUP BY 1, 2 HAVING count(*) > 1""")
 def _(t):
-    d = t.conversations.select("conv_id", S.slug(F.substring("text", 1, 4)).alias("slug"))
+    d = t.conversations.select("conv_id", S.slug(F.substring_index("text", " ", 1)).alias("slug"))
     return d.groupBy("conv_id", "slug").agg(F.count("*").alias("times")).where("times > 1")
 
 

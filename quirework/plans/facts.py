@@ -187,7 +187,7 @@ class Tables:
         parent = F.when(F.col("role") == "assistant", t - 1).when((F.col("role") == "user") & (t % 4 == 2), t - 2)
         return self.conversations.select(
             F.col("conv_id").alias("doc_id"), t.alias("node_id"), parent.alias("parent_id"), t.alias("ordinal"),
-            F.substring("text", 1, 30).alias("title"), F.when(t % 5 != 4, t * 2).alias("page_index"), "role")
+            F.substring_index("text", "\n", 1).alias("title"), F.when(t % 5 != 4, t * 2).alias("page_index"), "role")
 
     @cached_property
     def outline_docs(self) -> DataFrame:

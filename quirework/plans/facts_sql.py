@@ -63,7 +63,7 @@ FACTS = {
         FROM (SELECT p_partkey AS file_id, p_retailprice AS price, unnest(range(0, 9)) AS step FROM part)""",
     "outline": """SELECT conv_id AS doc_id, turn AS node_id,
         CASE WHEN role = 'assistant' THEN turn - 1 WHEN role = 'user' AND turn % 4 = 2 THEN turn - 2 END AS parent_id,
-        turn AS ordinal, substr(text, 1, 30) AS title, CASE WHEN turn % 5 <> 4 THEN turn * 2 END AS page_index, role FROM conversations""",
+        turn AS ordinal, split_part(text, chr(10), 1) AS title, CASE WHEN turn % 5 <> 4 THEN turn * 2 END AS page_index, role FROM conversations""",
     "outline_docs": "SELECT conv_id AS doc_id, count(*) * 2 - 2 AS page_count FROM conversations GROUP BY 1",
     "outline_pages": "SELECT doc_id, page_count, unnest(range(0, page_count)) AS page_index FROM outline_docs WHERE page_count > 0",
     "run_results": """SELECT user_id AS run_id, event_id AS ordinal, event_type || CASE WHEN event_id % 37 = 0 THEN ' (2).pdf' ELSE '.pdf' END AS source,

@@ -49,6 +49,6 @@ def package_licences(metadata: DataFrame, text: str) -> DataFrame:
     return d.where("_p.name is not null").select("_p.name", "_p.version", rules.licence_text(plain, kind, many).alias("licence"))
 
 
-def event_files(spark: SparkSession, folder: str, glob: str, schema: T.StructType) -> DataFrame:
-    """A stream of the parquet files that land in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def event_files(spark: SparkSession, folder: str, glob: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of the parquet files that land in a folder, a bounded number per micro-batch."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
