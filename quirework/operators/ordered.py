@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 CHUNK = 65_536
 FOLDS = {"sum": F.sum, "max": F.max}
 
@@ -69,22 +71,31 @@ def neighbours(df: DataFrame, keys: list[str], order: list, chunk: Column, value
 def upper_medians(df: DataFrame, keys: list[str], wanted: dict[str, Column], bin_width: float = 16.0) -> DataFrame:
     """Per output column, the element at index ``n >> 1`` of the sorted values (the upper one of an even count).
 
-    Exact and skew-safe: equal values are counted before any shuffle, a histogram of bins finds the bin
-    that holds the wanted rank, and only that bin's distinct values are ordered. NULL values do not count.
+    Exact and skew-safe. Equal values are counted before any shuffle and the counts are written once. A
+    histogram finds the bin that holds the wanted rank; while any group still has more distinct values in
+    its bin than one chunk, that bin is cut finer. Only the last bin is put in order. NULLs do not count.
     """
     values = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(o).alias("o"), v.cast("double").alias("v"))) for o, v in wanted.items()]))
     rows = df.select(*keys, F.explode(values).alias("__r")).select(*keys, F.col("__r.o").alias("__o"), F.col("__r.v").alias("__v"))
     by = [*keys, "__o"]
-    counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__n")).withColumn("__bin", F.floor(F.col("__v") / F.lit(bin_width)))
-    upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = counts.groupBy(*by, "__bin").agg(F.sum("__n").alias("__n"))
-    bins = bins.select("*", F.sum("__n").over(upto).alias("__upto"), (F.floor(F.sum("__n").over(Window.partitionBy(*by)) / 2) + 1).alias("__want"))
+    inside = cut_lineage(rows.groupBy(*by, "__v").agg(F.count("*").alias("__n")))
+    rank = inside.groupBy(*by).agg((F.floor(F.sum("__n") / 2) + 1).alias("__rank"))
     first = F.col("__upto") - F.col("__n")
-    bins = bins.where((F.col("__upto") >= F.col("__want")) & (first < F.col("__want"))).select(*by, "__bin", (F.col("__want") - first).alias("__rank"))
-    inside = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = counts.join(bins, [*by, "__bin"]).withColumn("__upto", F.sum("__n").over(inside))
-    hit = hit.where((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__n") < F.col("__rank")))
-    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__o") == o, F.col("__v"))).alias(o) for o in wanted])
+    hit = (F.col("__upto") >= F.col("__rank")) & (first < F.col("__rank"))
+    while True:
+        binned = inside.withColumn("__bin", F.floor(F.col("__v") / F.lit(bin_width)))
+        upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = binned.groupBy(*by, "__bin").agg(F.sum("__n").alias("__n"), F.count("*").alias("__c")).withColumn("__upto", F.sum("__n").over(upto))
+        # One row per group: its bin, the rank inside it, and how many distinct values it holds.
+        picked = cut_lineage(bins.join(rank, by).where(hit).select(*by, "__bin", (F.col("__rank") - first).alias("__rank"), "__c"))
+        inside, rank = binned.join(picked.select(*by, "__bin"), [*by, "__bin"], "left_semi").drop("__bin"), picked.select(*by, "__rank")
+        widest = picked.agg(F.max("__c")).first()[0]
+        if widest is None or widest <= CHUNK:
+            break
+        inside, bin_width = cut_lineage(inside), bin_width / 1024
+    upto = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    found = inside.withColumn("__upto", F.sum("__n").over(upto)).join(rank, by).where(hit)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__o") == o, F.col("__v"))).alias(o) for o in wanted])
 
 
 def text_in_order(df: DataFrame, keys: list[str], order: str, piece: Column, sep: str, out: str) -> DataFrame:

@@ -47,7 +47,10 @@ def test_neighbour(skewed, ahead):
     assert same(got, want)
 
 
-def test_upper_median(skewed):
+@pytest.mark.parametrize("chunk", [ordered.CHUNK, 3])
+def test_upper_median(skewed, monkeypatch, chunk):
+    """Also with bins so small that they have to be cut finer several times."""
+    monkeypatch.setattr(ordered, "CHUNK", chunk)
     got = {r["k"]: r["m"] for r in ordered.upper_medians(skewed, ["k"], {"m": F.col("v")}).collect()}
     rows = {}
     for k, v in skewed.where("v is not null").select("k", "v").collect():
