@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut_lineage, narrow, small_side
+from .common import cut_lineage, narrow
 
 WINDOW = 20
 START = 5
@@ -151,10 +151,10 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, start: int = START) -
     sums = keyed.where("text is not null").select("doc", "ver", F.xxhash64(F.lit(7), "text").alias("also"))
     first = sums.groupBy("ver", "also").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = cut_lineage(sums.join(first, ["ver", "also"]).where("doc > first").select("doc", "ver").distinct())
-    lone = keyed.join(small_side(copies), ["doc", "ver"], "left_anti").select("doc", "ver", "text")
+    lone = keyed.join(copies, ["doc", "ver"], "left_anti").select("doc", "ver", "text")
     at, before = None, None
     for k in levels(window, start):
-        source = lone if at is None else lone.join(small_side(at, ("at",)), "doc")
+        source = lone if at is None else lone.join(at, "doc")
         at, before = _kept(source, k, before, window), k
     return keyed, copies, at
 
@@ -167,7 +167,7 @@ def report(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFra
 def clean(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
     """doc_id, n_words, n_removed, and the kept words joined by one space."""
     keyed, copies, at = removed_windows(docs, window, start)
-    marked = keyed.join(small_side(copies.withColumn("copy", F.lit(True))), ["doc", "ver"], "left").join(small_side(at, ("at",)), ["doc", "ver"], "left")
+    marked = keyed.join(copies.withColumn("copy", F.lit(True)), ["doc", "ver"], "left").join(at, ["doc", "ver"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
