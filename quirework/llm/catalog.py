@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, repeats
+from . import bpe, decontaminate, langid, near, quality, repeats
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +18,31 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.report(table(spark, folder, "documents"), size=4)
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.report(table(spark, folder, "documents"))
 
 
+@query
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.report(table(spark, folder, "documents"))
+
+
+@query
+def op8_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.report(table(spark, folder, "documents"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
