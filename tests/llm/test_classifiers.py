@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quirework.llm import langid, quality
+from quirework.llm import langid, quality, toxicity
 
 EDGE = [(10_001, None, None), (10_002, "", "en"), (10_003, " 12 ## ", None), (None, "the that with", "en"), (10_004, "x" * 300_000, "en")]
 
@@ -67,3 +67,35 @@ def test_quality_without_labels(frame):
     none = frame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in quality.report(frame([(1, "a b")]), none).collect()] == [0.5]
     assert quality.report(frame([]), none).count() == 0
+
+
+def test_toxicity(spark, docs, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([x[:2] for x in EDGE], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in toxicity.report(rows, labels).collect()}
+    assert len(got) == docs.count() + len(EDGE) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
+    held = [(r["toxic"], got[r["doc_id"]]["predicted"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert held and np.mean([a == b for a, b in held]) > 0.85
+    assert toxicity.clean(docs, labels).columns == docs.columns
+
+
+def test_nearest_examples_are_exact():
+    rng = np.random.default_rng(4)
+    m, n = 40, 700
+    dense = rng.random((n, m)) * (rng.random((n, m)) < 0.1)
+    dense[50:60] = dense[50]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    index = toxicity.Index(np.arange(m, dtype=np.uint64), np.ones(m), list(range(n)), (rng.random(n) < 0.3).astype(int), (1.0, 1.0))
+    index.fill([(np.flatnonzero(v), v[v > 0]) for v in dense])
+    for v in dense[:200]:
+        if v.any():
+            cos = np.round(dense @ v, 12)
+            want = [i for i in np.lexsort((np.arange(n), -cos))[: toxicity.NEAREST] if cos[i] > 0]
+            ids, got = index.nearest(np.flatnonzero(v), v[v > 0])
+            assert ids.tolist() == want and np.allclose(got, cos[want])
+
+
+def test_toxicity_without_labels(frame):
+    none = frame([], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in toxicity.report(frame([(1, "a b")]), none).collect()] == [0.0]
+    assert toxicity.report(frame([]), none).count() == 0
