@@ -39,30 +39,43 @@ def groups(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(shared, "key").distinct())
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame | None:
+def lone_items(sets: DataFrame) -> DataFrame:
+    """(id, n, u) of the sets (id, items): their size, and how many of their items no other of these sets has."""
+    owned = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return sets.select("id", F.size("items").alias("n")).join(owned.groupBy("id").agg(F.count("*").alias("u")), "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], strength: Callable[[DataFrame], DataFrame], similar: int, rounds: int = ROUNDS) -> DataFrame | None:
     """Components over every verified pair of ids that share a key; None if no pair verifies.
 
-    ``members`` has (key, id); ``verify`` keeps the pairs (a, b) that are links. Each round compares all members of a
-    group with one of them, then joins components, and only groups that still hold several components go on. What is
-    left after the rounds is compared in full, but only across components, so no link is lost and a large group of
-    near copies, which the first rounds join, never becomes all its pairs.
+    ``members`` has (key, id); ``verify`` keeps the pairs (a, b) of at least ``similar`` per cent Jaccard similarity;
+    ``strength`` gives (id, n, u) for ids: set size, and items that no other of these ids has. Each round compares all
+    members of a group with one of them, then joins components, and only groups that still hold several go on.
+
+    What no link can reach drops out exactly, before it is paired: a and b have at most min(n_a - u_a, n_b - u_b) items
+    in common and at least n_a + u_b in their union. So a member goes when even the least u of the group's other
+    components is too large for it, as most of those do that share a group by one common passage. What is left after
+    the rounds is compared in full, but only across components, so no link is lost, and a large group of near
+    copies, which the first rounds join, never becomes all its pairs.
     """
-    live, links, tested, labels = members, None, None, None
+    live, links, tested, labels = members.withColumn("comp", F.col("id")), None, None, None
+    fits = f"100 * least(n - u, pn - pu) >= {similar} * (n + pn - least(n - u, pn - pu))"
     for turn in range(rounds + 1):
-        if labels is None:
-            live = live.withColumn("comp", F.col("id"))
-        else:
-            named = live.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-            mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            live = cut_lineage(named.join(mixed, "key"))
-        if live.isEmpty():
-            break
-        if turn < rounds:
-            first = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("p"))
+        if turn == 0:
+            first = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "comp")).alias("p"))
             pairs = live.join(first, "key").where(F.col("comp") != F.col("p.comp")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))
         else:
-            other = live.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = live.join(other, "key").where("comp < comp_b").select(F.col("id").alias("a"), "b")
+            live = _open(live.drop("comp"), labels, similar, strength if turn == 1 else None)
+            if live.isEmpty():
+                break
+            if turn < rounds:
+                rank = F.struct(F.floor(20 * F.col("u") / F.col("n")).alias("g"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp", "n", "u")
+                other = live.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.id").alias("b"), F.col("p.comp").alias("comp_b"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"))
+                across = "comp <> comp_b"
+            else:
+                other = live.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("pn"), F.col("u").alias("pu"))
+                across = "comp < comp_b"
+            pairs = live.join(other, "key").where(f"{across} and {fits}").select(F.col("id").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -74,3 +87,25 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds:
         links = good if links is None else links.union(good)
         labels = components(links)
     return labels
+
+
+def _open(live: DataFrame, labels: DataFrame | None, similar: int, strength: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(key, id, n, u, comp) of members that may still have a link to another component of their group."""
+    comp = F.col("id").alias("comp")
+    if labels is not None:
+        live, comp = live.join(labels, "id", "left"), F.coalesce("component", "id").alias("comp")
+    live = live.select(*[c for c in live.columns if c != "component"], comp)
+    if strength is not None:
+        live = cut_lineage(_mixed(live))
+        own = cut_lineage(strength(live.select("id").distinct()).where(f"100 * (n - u) >= {similar} * n"))
+        live = live.join(own, "id")
+    live = cut_lineage(_mixed(live))
+    best = live.groupBy("key").agg(F.min(F.struct("u", "comp")).alias("f")).select("key", F.col("f.u").alias("u1"), F.col("f.comp").alias("c1"))
+    second = live.join(best, "key").where("comp <> c1").groupBy("key").agg(F.min("u").alias("u2"))
+    bounds = cut_lineage(best.join(second, "key"))
+    return cut_lineage(live.join(bounds, "key").where(f"100 * (n - u) >= {similar} * (n + if(comp = c1, u2, u1))").drop("u1", "c1", "u2"))
+
+
+def _mixed(live: DataFrame) -> DataFrame:
+    """The rows of keys that hold several components."""
+    return live.join(live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key")

@@ -158,7 +158,11 @@ def near_components(docs: DataFrame, size: int, similar: int = SIMILAR) -> tuple
         full = full.where("size(x) = n_a and size(y) = n_b").withColumn("common", F.size(F.array_intersect("x", "y")))
         return full.where(f"100 * common >= {similar} * (n_a + n_b - common)").select("a", "b").distinct()
 
-    found = links.linked(members, verify)
+    def strength(some: DataFrame) -> DataFrame:
+        own = links.lone_items(sets.join(some, "id"))
+        return own.groupBy("id").agg(F.max("n").alias("n"), F.min("u").alias("u"))
+
+    found = links.linked(members, verify, strength, similar)
     # Rows that share a doc_id but not a text tie their classes together.
     ties = whole.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id")
     ties = cut_lineage(each.join(ties, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
