@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, near, quality, repeats
+from . import bpe, decontaminate, html, langid, lines, near, quality, repeats, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +18,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.report(table(spark, folder, "documents"))
+
+
 @query
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.report(table(spark, folder, "documents"), size=4)
 
 
+@query
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.report(table(spark, folder, "documents"))
