@@ -14,6 +14,7 @@ and further columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import unicodedata
@@ -128,32 +129,60 @@ def _agreement(w, places, side, order):
     return None
 
 
-def _encode(texts: pa.Array, path: str) -> list[list[int]]:
-    t, out = tokenizer(path), []
-    for lo, hi in row_slices(texts):
-        out += [e.ids for e in t.encode_batch_fast([x or "" for x in texts.slice(lo, hi - lo).to_pylist()], add_special_tokens=False)]
-    return out
+KINDS = {
+    "tokens": [("token_ids", "array<int>")],
+    "both": [("token_ids", "array<int>"), ("decoded", "string")],
+    "digests": [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")],
+}
+
+
+def _finish(t, kind: str, ids: list[list[int]]) -> list[pa.Array]:
+    """The columns of ``KINDS[kind]`` for some rows' token ids."""
+    decoded = [t.decode(x, skip_special_tokens=False) for x in ids] if kind != "tokens" else []
+    if kind == "digests":
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(" ".join(map(str, x))) for x in ids], pa.string()), pa.array([sha(x) for x in decoded], pa.string())]
+    out = [pa.array(ids, pa.list_(pa.int32()))]
+    return out if kind == "tokens" else [*out, pa.array(decoded, pa.string())]
+
+
+def _schema(rest: DataFrame, kind: str) -> T.StructType:
+    schema = T.StructType(list(rest.schema.fields))
+    for name, type_ in KINDS[kind]:
+        schema = schema.add(name, T.ArrayType(T.IntegerType()) if type_ == "array<int>" else type_)
+    return schema
 
 
-def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """The columns of ``docs`` without text, and ``token_ids``, for every row."""
+def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, kind: str = "tokens") -> DataFrame:
+    """The columns of ``docs`` but text, and the columns of ``KINDS[kind]`` (which replace any of their names)."""
     path = path or vocabulary()
-    rest = [c for c in docs.columns if c not in ("text", "token_ids")]
-    schema = docs.select(*rest).schema.add("token_ids", T.ArrayType(T.IntegerType()))
+    names = [n for n, _ in KINDS[kind]]
+    rest = [c for c in docs.columns if c not in ("text", *names)]
+    schema = _schema(docs.select(*rest), kind)
     is_long = F.length("text") > leaf
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for batch in batches:
+            for lo, hi in row_slices(batch.column("text"), 1 << 18):
+                own = batch.slice(lo, hi - lo)
+                ids = [e.ids for e in t.encode_batch_fast([x or "" for x in own.column("text").to_pylist()], add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + _finish(t, kind, ids), names=[*rest, *names])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
         for batch in batches:
-            ids = pa.array(_encode(batch.column("text"), path), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [ids], names=[*rest, "token_ids"])
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + _finish(t, kind, own.column("_ids").to_pylist()), names=[*rest, *names])
 
-    short = narrow(docs).where(F.coalesce(~is_long, F.lit(True))).select(*rest, "text").mapInArrow(run, schema)
+    short = narrow(docs).where(F.coalesce(~is_long, F.lit(True))).select(*rest, "text").mapInArrow(whole, schema)
     long = docs.where(is_long).withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(5), "text")})
     most = long.agg(F.max(F.length("text"))).first()[0]
     if most is None:
         return short
     done = _tree(long.select("_a", "_b", "text"), path, leaf, depth(most, leaf))
-    return short.unionByName(long.drop("text").join(done, ["_a", "_b"]).select(*rest, "token_ids"))
+    return short.unionByName(long.drop("text").join(done, ["_a", "_b"]).select(*rest, "_ids").mapInArrow(joined, schema))
 
 
 def _tree(texts: DataFrame, path: str, leaf: int, levels: int) -> DataFrame:
@@ -200,7 +229,7 @@ def _tree(texts: DataFrame, path: str, leaf: int, levels: int) -> DataFrame:
         pairs = nodes.where(F.col("deep") == level).groupBy("_a", "_b", "deep", F.shiftright("node", 1).alias("node")).agg(F.collect_list(F.struct("node", "text", "tokens")).alias("two"))
         nodes = cut_lineage(nodes.where(F.col("deep") < level).unionByName(pairs.mapInArrow(join, kind)))
     ids = F.transform(F.sequence(F.lit(0), F.floor(F.size("tokens") / 3).cast("int") - 1), lambda i: F.get("tokens", i * 3))
-    return nodes.select("_a", "_b", F.when(F.size("tokens") > 0, ids).otherwise(F.array().cast("array<int>")).alias("token_ids"))
+    return nodes.select("_a", "_b", F.when(F.size("tokens") > 0, ids).otherwise(F.array().cast("array<int>")).alias("_ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -219,6 +248,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def report(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """One row per document: the number of tokens and the digests of ids and decoded text."""
-    both = decode(encode(docs.select("doc_id", "text"), path, leaf), path)
-    ids = F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ")
-    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+    return encode(docs.select("doc_id", "text"), path, leaf, "digests")
