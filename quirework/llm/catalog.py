@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, lines, near, quality, repeats, toxicity
+from . import bpe, decontaminate, html, langid, lines, near, nearest, quality, repeats, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.report(table(spark, folder, "documents"))
