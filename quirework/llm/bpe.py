@@ -1,11 +1,13 @@
-"""BPE encoding and decoding with a given tokenizer file; long texts by tree concatenation.
+"""BPE encoding and decoding with a given tokenizer file; long unsplit texts by tree concatenation.
 
-A text of at most ``LEAF`` characters is encoded as it is. A longer one is halved down to leaves, which are spread
-over the cluster and encoded in parallel; then neighbours are joined level by level. At a join the text around the
-cut is encoded again, in a window that doubles until its tokens agree with the tokens of both sides; what lies
-between the two places of agreement comes from the window. Two neighbouring tokens that stand side by side in a valid
-encoding stand side by side in every one, so the joined list is the encoding of the whole; if no window agrees, the
-last one is the whole text of both sides. Cuts keep out of special tokens and of composed characters.
+The default vocabulary drops white space before it merges anything, so what stands between white space is encoded on
+its own, and a task remembers the last ``REMEMBERED`` such pieces. A text with a piece of more than ``LEAF`` characters
+(for a tokenizer that keeps white space: every longer text) is halved down to leaves, which are spread over the cluster
+and encoded in parallel; then neighbours are joined level by level. At a join the text around the cut is encoded again,
+in a window that doubles until its tokens agree with the tokens of both sides; what lies between the two places of
+agreement comes from the window. Two neighbouring tokens that stand side by side in a valid encoding stand side by
+side in every one, so the joined list is the encoding of the whole; if no window agrees, the last one is the whole
+text of both sides. Cuts keep out of special tokens and of composed characters.
 
 Null is encoded as the empty text, which has no token and decodes to the empty text. Special tokens written in a text
 become their ids, as the tokenizer file says. Equal long texts are encoded once. Rows without doc_id, repeated rows
@@ -19,6 +21,7 @@ import math
 import os
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,8 @@ from pyspark.sql import types as T
 
 from .common import cut_lineage, narrow, row_slices
 
-LEAF = 1 << 15
+LEAF = 1 << 13
+REMEMBERED = 300_000
 WINDOW = 8
 
 _HELD: dict = {}
@@ -136,12 +140,41 @@ KINDS = {
 }
 
 
+class Pieces:
+    """Encodings of what stands between white space: token ids, the ids in decimal, and the decoded text."""
+
+    def __init__(self, t):
+        self.t, self.held = t, {}
+
+    def of(self, texts: list[str]) -> list[list[tuple]]:
+        own = [x.encode().split() for x in texts]  # at ASCII white space only
+        new = list({p for row in own for p in row if p not in self.held})
+        if len(self.held) + len(new) > REMEMBERED:
+            self.held, new = {}, list({p for row in own for p in row})
+        ids = [e.ids for e in self.t.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+        decoded = self.t.decode_batch(ids, skip_special_tokens=False)
+        self.held.update((p, (i, " ".join(map(str, i)), d)) for p, i, d in zip(new, ids, decoded))
+        return [[x for x in map(self.held.__getitem__, row) if x[0]] for row in own]
+
+
+def _sha(s: str) -> str:
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def _from_pieces(kind: str, rows: list[list[tuple]]) -> list[pa.Array]:
+    """The columns of ``KINDS[kind]``. Without a decoder, decoding joins the tokens' texts by one space."""
+    if kind == "digests":
+        return [pa.array([sum(len(x[0]) for x in r) for r in rows], pa.int64()), pa.array([_sha(" ".join([x[1] for x in r])) for r in rows], pa.string()),
+                pa.array([_sha(" ".join([x[2] for x in r])) for r in rows], pa.string())]
+    ids = pa.array([list(chain.from_iterable(x[0] for x in r)) for r in rows], pa.list_(pa.int32()))
+    return [ids] if kind == "tokens" else [ids, pa.array([" ".join([x[2] for x in r]) for r in rows], pa.string())]
+
+
 def _finish(t, kind: str, ids: list[list[int]]) -> list[pa.Array]:
     """The columns of ``KINDS[kind]`` for some rows' token ids."""
     decoded = [t.decode(x, skip_special_tokens=False) for x in ids] if kind != "tokens" else []
     if kind == "digests":
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(" ".join(map(str, x))) for x in ids], pa.string()), pa.array([sha(x) for x in decoded], pa.string())]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([_sha(" ".join(map(str, x))) for x in ids], pa.string()), pa.array([_sha(x) for x in decoded], pa.string())]
     out = [pa.array(ids, pa.list_(pa.int32()))]
     return out if kind == "tokens" else [*out, pa.array(decoded, pa.string())]
 
@@ -154,20 +187,31 @@ def _schema(rest: DataFrame, kind: str) -> T.StructType:
 
 
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, kind: str = "tokens") -> DataFrame:
-    """The columns of ``docs`` but text, and the columns of ``KINDS[kind]`` (which replace any of their names)."""
+    """The columns of ``docs`` but text, and the columns of ``KINDS[kind]`` (which replace any of their names).
+
+    ``path`` is a tokenizer file; the default one is known to drop white space and to have no decoder.
+    """
+    apart = path is None
     path = path or vocabulary()
     names = [n for n, _ in KINDS[kind]]
     rest = [c for c in docs.columns if c not in ("text", *names)]
     schema = _schema(docs.select(*rest), kind)
     is_long = F.length("text") > leaf
+    if apart:
+        is_long = is_long & F.col("text").rlike(f"[^ \\t\\n\\x0B\\f\\r]{{{leaf + 1}}}")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
+        pieces = Pieces(t)
         for batch in batches:
             for lo, hi in row_slices(batch.column("text"), 1 << 18):
                 own = batch.slice(lo, hi - lo)
-                ids = [e.ids for e in t.encode_batch_fast([x or "" for x in own.column("text").to_pylist()], add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + _finish(t, kind, ids), names=[*rest, *names])
+                texts = [x or "" for x in own.column("text").to_pylist()]
+                if apart:
+                    out = _from_pieces(kind, pieces.of(texts))
+                else:
+                    out = _finish(t, kind, [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in rest] + out, names=[*rest, *names])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)

@@ -51,10 +51,20 @@ def test_long_unsplit_runs(make):
 
 def test_query_rows(frame):
     rnd = random.Random(7)
-    long = "".join(rnd.choice(["the ", "ing", "er", " ", "é", "12", "<|endoftext|>"]) for _ in range(9000))
-    rows = [(1, "Hello there, it's 1999!"), (2, None), (3, ""), (4, " \n"), (5, long), (6, long), (None, long[:5000]), (7, "x" * 4000), (7, "x" * 4000), (8, "<|startoftext|>a<|endoftext|>")]
-    got = sorted((tuple(r) for r in bpe.report(frame(rows), leaf=300).collect()), key=str)
-    assert got == sorted(((i, *direct(t)) for i, t in rows), key=str)
+    long = "".join(rnd.choice(["the ", "ing", "er", " ", "é", "12", "<|endoftext|>"]) for _ in range(9000)) + "".join(rnd.choice("abcé!1") for _ in range(3000))
+    odd = "a\x1cb\x85c\xa0d\u3000e \u0301f\tG\x0bh <|endoftext|>x <|ENDOFTEXT|> İΣ"
+    rows = [(20, odd), (21, odd * 200)] + [(1, "Hello there, it's 1999!"), (2, None), (3, ""), (4, " \n"), (5, long), (6, long), (None, long[:5000]), (7, "x" * 4000), (7, "x" * 4000), (8, "<|startoftext|>a<|endoftext|>")]
+    for path in (None, bpe.vocabulary()):
+        got = sorted((tuple(r) for r in bpe.report(frame(rows), path, leaf=300).collect()), key=str)
+        assert got == sorted(((i, *direct(t)) for i, t in rows), key=str)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ALPHABET, max_size=60))
+def test_pieces_are_the_whole_encoding(parts):
+    text = "".join(parts)
+    (n, ids, decoded), = zip(*(a.to_pylist() for a in bpe._from_pieces("digests", bpe.Pieces(T).of([text]))))
+    assert (n, ids, decoded) == direct(text)
 
 
 def test_columns_pass_through(spark, frame):
