@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
-ROUNDS = 3
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of the undirected edges (a, b) but the least of its component.
 
-    Alternates large-star and small-star steps until nothing moves: every node then hangs from its component's
-    least id. Each step folds per node before it joins, and no row ever holds a neighbour list.
+    Alternates large-star and small-star steps until every node hangs from a node that hangs from none: its
+    component's least id. Each step folds per node before it joins, and no row ever holds a neighbour list.
     """
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    seen = None
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,10 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = cut_lineage(moved.union(least.select("hi", F.col("m").alias("lo"))).distinct())
-        mark = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
-        if mark == seen:
+        if e.join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty() and e.count() == e.select("hi").distinct().count():
             return e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-        seen = mark
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -45,64 +40,59 @@ def lone_items(sets: DataFrame) -> DataFrame:
     return sets.select("id", F.size("items").alias("n")).join(owned.groupBy("id").agg(F.count("*").alias("u")), "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], strength: Callable[[DataFrame], DataFrame], similar: int, rounds: int = ROUNDS) -> DataFrame | None:
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], strength: Callable[[DataFrame], DataFrame], similar: int, first: bool, likely: str = "true") -> DataFrame | None:
     """Components over every verified pair of ids that share a key; None if no pair verifies.
 
     ``members`` has (key, id); ``verify`` keeps the pairs (a, b) of at least ``similar`` per cent Jaccard similarity;
-    ``strength`` gives (id, n, u) for ids: set size, and items that no other of these ids has. Each round compares all
-    members of a group with one of them, then joins components, and only groups that still hold several go on.
+    ``strength`` gives (id, n, u) for ids: set size, and items that no other of these ids has, and further columns that
+    the condition ``likely`` may read (of the other member with ``p`` before their names). All members of a group are
+    compared with one of them and components joined; only groups that still hold several go on. ``first`` asks for the
+    strengths before that, which costs more and then picks a member with few items of its own.
 
     What no link can reach drops out exactly, before it is paired: a and b have at most min(n_a - u_a, n_b - u_b) items
     in common and at least n_a + u_b in their union. So a member goes when even the least u of the group's other
-    components is too large for it, as most of those do that share a group by one common passage. What is left after
-    the rounds is compared in full, but only across components, so no link is lost, and a large group of near
-    copies, which the first rounds join, never becomes all its pairs.
+    components is too large for it, as most of those do that share a group by one common passage. What is left is
+    compared in full, but only across components, only where the bound and ``likely`` allow a link, and a pair only
+    under the least key it shares. So no link is lost, and a large group of near copies never becomes all its pairs.
     """
-    live, links, tested, labels = members.withColumn("comp", F.col("id")), None, None, None
-    fits = f"100 * least(n - u, pn - pu) >= {similar} * (n + pn - least(n - u, pn - pu))"
-    for turn in range(rounds + 1):
-        if turn == 0:
-            first = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "comp")).alias("p"))
-            pairs = live.join(first, "key").where(F.col("comp") != F.col("p.comp")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))
-        else:
-            live = _open(live.drop("comp"), labels, similar, strength if turn == 1 else None)
-            if live.isEmpty():
-                break
-            if turn < rounds:
-                rank = F.struct(F.floor(20 * F.col("u") / F.col("n")).alias("g"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp", "n", "u")
-                other = live.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.id").alias("b"), F.col("p.comp").alias("comp_b"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"))
-                across = "comp <> comp_b"
-            else:
-                other = live.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("pn"), F.col("u").alias("pu"))
-                across = "comp < comp_b"
-            pairs = live.join(other, "key").where(f"{across} and {fits}").select(F.col("id").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        good = cut_lineage(verify(pairs).select("a", "b"))
-        tested = pairs if tested is None else tested.union(pairs)
-        if good.isEmpty():
-            continue
-        links = good if links is None else links.union(good)
-        labels = components(links)
-    return labels
-
-
-def _open(live: DataFrame, labels: DataFrame | None, similar: int, strength: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """(key, id, n, u, comp) of members that may still have a link to another component of their group."""
-    comp = F.col("id").alias("comp")
+    live = members.withColumn("comp", F.col("id"))
+    if first:
+        live = _open(live, similar, strength)
+        rank = F.struct(F.floor(20 * F.col("u") / F.col("n")).alias("g"), F.xxhash64("id").alias("h"), "id", "comp")
+    else:
+        rank = F.struct(F.xxhash64("id").alias("h"), "id", "comp")
+    one = live.groupBy("key").agg(F.min(rank).alias("p"))
+    pairs = cut_lineage(_pairs(live.join(one, "key").where(F.col("comp") != F.col("p.comp")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))))
+    good = cut_lineage(verify(pairs).select("a", "b"))
+    labels = None if good.isEmpty() else components(good)
     if labels is not None:
-        live, comp = live.join(labels, "id", "left"), F.coalesce("component", "id").alias("comp")
-    live = live.select(*[c for c in live.columns if c != "component"], comp)
+        live = live.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    live = _open(live, similar, None if first else strength)
+    if live.isEmpty():
+        return labels
+    live = cut_lineage(live.join(live.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"))
+    other = live.select("key", *[F.col(c).alias(f"p{c}") for c in live.columns if c != "key"])
+    bound = f"100 * least(n - u, pn - pu) >= {similar} * (n + pn - least(n - u, pn - pu))"
+    left = live.join(other.withColumnRenamed("key", "pkey"), F.expr(f"key = pkey and comp < pcomp and {bound} and array_min(array_intersect(keys, pkeys)) = pkey and {likely}"))
+    more = cut_lineage(_pairs(left.select(F.col("id").alias("a"), F.col("pid").alias("b"))).join(pairs, ["a", "b"], "left_anti"))
+    found = cut_lineage(verify(more).select("a", "b"))
+    return labels if found.isEmpty() else components(good.union(found))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _open(live: DataFrame, similar: int, strength: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The members (with n and u) that may still have a link to another component of their group."""
     if strength is not None:
         live = cut_lineage(_mixed(live))
-        own = cut_lineage(strength(live.select("id").distinct()).where(f"100 * (n - u) >= {similar} * n"))
+        own = strength(live.select("id").distinct()).where(f"100 * (n - u) >= {similar} * n")
         live = live.join(own, "id")
     live = cut_lineage(_mixed(live))
     best = live.groupBy("key").agg(F.min(F.struct("u", "comp")).alias("f")).select("key", F.col("f.u").alias("u1"), F.col("f.comp").alias("c1"))
     second = live.join(best, "key").where("comp <> c1").groupBy("key").agg(F.min("u").alias("u2"))
-    bounds = cut_lineage(best.join(second, "key"))
+    bounds = best.join(second, "key")
     return cut_lineage(live.join(bounds, "key").where(f"100 * (n - u) >= {similar} * (n + if(comp = c1, u2, u1))").drop("u1", "c1", "u2"))
 
 

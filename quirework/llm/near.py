@@ -3,7 +3,8 @@
 A document's word shingles are hashed to 64 bits. The top bits choose one of ``REGISTERS`` buckets; of the least hash
 in a bucket the register keeps the count of leading zeros and ten mantissa bits, 16 bits in all. Bands of four
 registers propose candidates (a pair of similarity 0.8 is missed with a chance of about 2 in 10,000), the
-collision-corrected estimate from all registers drops hopeless ones (at five standard deviations), and the exact
+collision-corrected estimate from all registers drops hopeless ones (five standard
+deviations off), and the exact
 intersection of the full shingle sets decides. Components follow from distributed union-find.
 
 Equal sets are one class with its least doc_id before any pair is made, so copies cost one row each; large groups of
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from . import links, words
 from .common import cut_lineage, narrow
 
-REGISTERS = 64
+REGISTERS = 64  # of which bands are made
+FINE = 256  # of which similarity is estimated
 BANDS = 16
 MANTISSA = 10
 SIMILAR = 80  # percent
 LEAST_SET = 4
 EMPTY = 0xFFFF
+FEW = 32  # an estimate that rests on fewer registers drops nothing
 
 
 def shingles(w: words.Words, size: int) -> Iterator[np.ndarray]:
@@ -50,12 +53,12 @@ def shingles(w: words.Words, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.uint64)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a sorted set of 64-bit hashes."""
-    out = np.full(REGISTERS, EMPTY, dtype=np.uint16)
+def registers(hashes: np.ndarray, count: int = REGISTERS) -> np.ndarray:
+    """``count`` HyperMinHash registers of a sorted set of 64-bit hashes."""
+    out = np.full(count, EMPTY, dtype=np.uint16)
     if not len(hashes):
         return out
-    bits = REGISTERS.bit_length() - 1
+    bits = count.bit_length() - 1
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     rest = hashes[first] << np.uint64(bits)
@@ -83,7 +86,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id and the whole set of shingle hashes."""
+    """id, the whole set of shingle hashes, and the registers to estimate by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +95,10 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = list(shingles(w, size))
                 offsets = pa.array(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32))
                 flat = pa.array(words.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo), pa.ListArray.from_arrays(offsets, flat)], names=["id", "items"])
+                regs = pa.array([registers(s, FINE).view(np.int16) for s in sets], pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo), pa.ListArray.from_arrays(offsets, flat), regs], names=["id", "items", "fine"])
 
-    return narrow(docs).mapInArrow(run, "id long, items array<long>")
+    return narrow(docs).mapInArrow(run, "id long, items array<long>, fine array<short>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +106,10 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     used = (a != EMPTY) | (b != EMPTY)
     same = (a == b) & used
     width = np.maximum(used.sum(axis=1), 1)
-    level = np.arange(54.0)[None, :]
+    level, count = np.arange(54.0)[None, :], a.shape[1]
 
-    def shares(n):  # chance that the least of n / REGISTERS hashes has so many leading zeros
-        m = np.maximum(n / REGISTERS, 1)[:, None]
+    def shares(n):  # chance that the least of n / count hashes has so many leading zeros
+        m = np.maximum(n / count, 1)[:, None]
         return (1 - 0.5 ** (level + 1)) ** m - (1 - 0.5**level) ** m
 
     by_chance = (shares(na) * shares(nb)).sum(axis=1) / 2**MANTISSA
@@ -119,10 +123,10 @@ def _hopeful(pairs: DataFrame, similar: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b")]
+            regs = [batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, FINE) for c in ("fine_a", "fine_b")]
             got, width = estimate(*regs, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
             t = similar / 100
-            keep = (width < REGISTERS // 2) | (got >= t - 5 * np.sqrt(t * (1 - t) / width))
+            keep = (width < FEW) | (got >= t - 5 * np.sqrt(t * (1 - t) / width))
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "a long, b long, n_a long, n_b long")
@@ -143,26 +147,28 @@ def near_components(docs: DataFrame, size: int, similar: int = SIMILAR) -> tuple
     members = links.groups(keyed)
 
     ids = members.select("id").distinct()
-    held = cut_lineage(nodes.join(ids, "id"))
-    # A class is found again by its doc_id and digest, so that a second text under the same doc_id is not taken for it.
     texts = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text").distinct()
-    sets = cut_lineage(shingle_sets(texts, size).select("id", "items"))
+    # A second text under the same doc_id is told from the class's own by its set size, else it is compared as well.
+    sets = shingle_sets(texts, size).join(nodes.select("id", "n"), "id").where("size(items) = n")
+    sets = cut_lineage(sets)
 
-    def side(name: str) -> DataFrame:
-        return held.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("regs").alias(f"regs_{name}"))
+    def side(name: str, *cols: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {similar} * greatest(n_a, n_b)")
-        likely = _hopeful(narrow(sized), similar)
-        full = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        full = full.where("size(x) = n_a and size(y) = n_b").withColumn("common", F.size(F.array_intersect("x", "y")))
+        sized = pairs.join(side("a", "n", "fine"), "a").join(side("b", "n", "fine"), "b").where(f"100 * least(n_a, n_b) >= {similar} * greatest(n_a, n_b)")
+        full = _hopeful(narrow(sized), similar).join(side("a", "items"), "a").join(side("b", "items"), "b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
         return full.where(f"100 * common >= {similar} * (n_a + n_b - common)").select("a", "b").distinct()
 
     def strength(some: DataFrame) -> DataFrame:
         own = links.lone_items(sets.join(some, "id"))
-        return own.groupBy("id").agg(F.max("n").alias("n"), F.min("u").alias("u"))
+        return own.groupBy("id").agg(F.max("n").alias("n"), F.min("u").alias("u")).join(sets.groupBy("id").agg(F.max("fine").alias("fine")), "id")
 
-    found = links.linked(members, verify, strength, similar)
+    # Registers sample the union without putting back, so the more of it they hold the less the estimate strays.
+    t, used = similar / 100, f"size(filter(zip_with(fine, pfine, (x, y) -> x <> {EMPTY - 2**16} or y <> {EMPTY - 2**16}), z -> z))"
+    same = f"size(filter(zip_with(fine, pfine, (x, y) -> x = y and x <> {EMPTY - 2**16}), z -> z))"
+    stray = f"sqrt({t * (1 - t)} / {used} * greatest(0.02, 1 - {used} * {1 + t} / (n + pn)))"
+    found = links.linked(members, verify, strength, similar, first=True, likely=f"({used} < {FEW} or {same} >= {used} * ({t} - 5 * {stray}))")
     # Rows that share a doc_id but not a text tie their classes together.
     ties = whole.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id")
     ties = cut_lineage(each.join(ties, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
