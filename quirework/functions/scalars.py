@@ -107,11 +107,13 @@ def js_trim(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
-def safe_name(name: str | Column) -> Column:
+def safe_name(name: str | Column, most: int | None = None) -> Column:
+    """A name a file system takes. ``most`` cuts it to so many characters; names handed out by number
+    (``runs.allocate_names``) are numbered first."""
     c = F.regexp_replace(col(name), r'[\\/:*?"<>|]', "-")
     c = F.regexp_replace(c, r"[\x00-\x1f]", "")
     c = F.regexp_replace(c, r"^\.+", "")
-    c = F.substring(js_trim(c), 1, 120)
+    c = js_trim(c) if most is None else F.substring(js_trim(c), 1, most)
     return F.when(c == "", F.lit("file")).otherwise(c)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import BROADCAST_ROWS, cut_lineage, fits_broadcast
+from ..session import cut_lineage, fits_broadcast
 from . import ordered
 from .rules import first_match, whole_word
 
@@ -153,34 +154,43 @@ def folded(text: str | Column) -> Column:
     return F.regexp_replace(F.lower(S.col(text)), r"\s+", " ")
 
 
+GRAM = 3
+
+
+def _grams(text: str, n: int) -> Column:
+    """All distinct runs of n characters, each one a key that any phrase starting with it can be joined on."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def phrase_hits(texts: DataFrame, key: str, phrases: DataFrame, fits: bool | None = None) -> DataFrame:
     """(key, phrase_id) where the text holds the phrase. ``texts`` has key, text; ``phrases`` phrase_id, phrase.
 
     A word strictly inside a phrase must stand whole in any text that holds the phrase, so the longest such
-    word is an equality key, and ``contains`` decides among the few candidates. A phrase list measured to be
-    small is broadcast: the texts are read once, in place, with nothing shuffled. A larger one is shuffled
-    with the words. Phrases of one or two words have no inner word; those are tested by ``contains`` alone,
-    broadcast in measured slices.
+    word is an equality key, and ``contains`` decides among the few candidates. Phrases of one or two words have no
+    inner word; their first three characters (or fewer, if they have fewer) are the key, looked up among the text's
+    own runs of that length. A phrase list measured to be small is broadcast: the texts are read in place, with
+    nothing shuffled. A larger one is shuffled with the keys. Every join is on equality; an empty phrase hits nothing.
     """
     if fits is None:
         fits = fits_broadcast(phrases, ["phrase"])
     inner = F.slice(F.split("phrase", " "), 2, F.greatest(F.size(F.split("phrase", " ")) - 2, F.lit(0)))
     anchor = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    anchored = phrases.withColumn("anchor", anchor)
+    anchored = phrases.where("phrase <> ''").withColumn("anchor", anchor)
     long = anchored.where("anchor <> ''").select("phrase_id", "phrase", "anchor")
-    short = anchored.where("anchor = ''").select("phrase_id", "phrase")
-    words = F.explode(F.array_distinct(F.split("text", " "))).alias("anchor")
-    if fits:
-        hits = texts.select(key, "text", words).join(F.broadcast(long), "anchor").where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
-        return hits.unionByName(texts.join(F.broadcast(short), F.contains(F.col("text"), F.col("phrase"))).select(key, "phrase_id"))
-    pairs = texts.select(key, words).join(long, "anchor").select(key, "phrase_id", "phrase")
-    hits = pairs.join(texts, key).where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
-    numbered = ordered.number(short, [], ["phrase_id"], ordered.chunk_of("phrase_id"), "_n").withColumn("_slice", F.floor((F.col("_n") - 1) / BROADCAST_ROWS))
-    last = numbered.agg(F.max("_slice")).first()[0]
-    for s in range(0 if last is None else int(last) + 1):
-        part = F.broadcast(numbered.where(F.col("_slice") == s).select("phrase_id", "phrase"))
-        hits = hits.unionByName(texts.join(part, F.contains("text", F.col("phrase"))).select(key, "phrase_id"))
-    return hits
+    short = anchored.where("anchor = ''").select("phrase_id", "phrase", F.substring("phrase", 1, GRAM).alias("anchor"))
+    words = F.array_distinct(F.split("text", " "))
+    # Only the lengths that some short phrase needs are cut out of the texts.
+    lengths = sorted(r[0] for r in short.select(F.length("anchor")).distinct().collect())
+    grams = F.concat(*[_grams("text", n) for n in lengths]) if lengths else F.array().cast("array<string>")
+
+    def joined(list_: DataFrame, keys: Column) -> DataFrame:
+        if fits:
+            found = texts.select(key, "text", F.explode(keys).alias("anchor")).join(F.broadcast(list_), "anchor")
+        else:
+            found = texts.select(key, F.explode(keys).alias("anchor")).join(list_, "anchor").select(key, "phrase_id", "phrase").join(texts, key)
+        return found.where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
+
+    return joined(long, words).unionByName(joined(short, grams)) if lengths else joined(long, words)
 
 
 def hit_rollup(hits: DataFrame, key: str, named: int = 4) -> DataFrame:
@@ -208,7 +218,6 @@ def mention_starts(text: Column, phrase: str) -> Column:
 
 
 def _quote(phrase: str) -> str:
-    import re
     return re.escape(phrase)
 
 
@@ -221,17 +230,33 @@ def unknown_phrasings(texts: DataFrame, key: str, text: str, phrase: str, known:
     return m.where(~reduce(lambda a, b: a | b, [F.col("around").rlike(k) for k in known]))
 
 
-def nearest_gap(pages: DataFrame, key: str, text: str, marks: list[str], line: str) -> DataFrame:
-    """Pages that carry every mark: distance from the span of marks to the nearest mention of ``line``.
+NEAR = 1500
 
-    0 inside the span, NULL when the line is nowhere. Worked out inside each row.
+
+def one_space(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+", " ")
+
+
+def nearest_gap(pages: DataFrame, key: str, text: str, shapes: dict[str, list[str]], line: str, near: int = NEAR) -> DataFrame:
+    """(key, shape, gap, near) for every shape whose marks a page carries all: the distance from the span of the
+    marks to the nearest mention of ``line``, and whether it is within ``near`` characters.
+
+    0 inside the span, NULL when the line is nowhere. White space counts as one space, in the page, the marks and
+    the line. Worked out inside each row.
     """
-    at = [F.instr(S.col(text), m) - 1 for m in marks]
-    last = F.greatest(*at)
-    ends = F.greatest(*[F.when(a == last, a + len(m)) for a, m in zip(at, marks)])
-    d = pages.select(key, F.least(*at).alias("lo"), ends.alias("hi"), mention_starts(S.col(text), line).alias("starts")).where("lo >= 0")
-    gap = F.transform("starts", lambda i: F.when(i.between(F.col("lo"), F.col("hi")), 0).when(i < F.col("lo"), F.col("lo") - i).otherwise(i - F.col("hi")))
-    return d.select(key, F.array_min(gap).cast("long").alias("gap"))
+    fold = lambda s: re.sub(r"\s+", " ", s)
+    d = pages.select(key, one_space(S.col(text)).alias("_t"))
+    spans = []
+    for name, marks in shapes.items():
+        at = [F.instr("_t", fold(m)) - 1 for m in marks]
+        last = F.greatest(*at)
+        ends = F.greatest(*[F.when(a == last, a + len(fold(m))) for a, m in zip(at, marks)])
+        spans.append(F.when(F.least(*at) >= 0, F.struct(F.lit(name).alias("shape"), F.least(*at).alias("lo"), ends.alias("hi"))))
+    d = d.select(key, F.explode(F.array_compact(F.array(*spans))).alias("s"), mention_starts(F.col("_t"), fold(line)).alias("starts"))
+    lo, hi = F.col("s.lo"), F.col("s.hi")
+    gap = F.array_min(F.transform("starts", lambda i: F.when(i.between(lo, hi), 0).when(i < lo, lo - i).otherwise(i - hi))).cast("long")
+    d = d.select(key, "s.shape", gap.alias("gap"))
+    return d.withColumn("near", F.coalesce(F.col("gap") <= near, F.lit(False)))
 
 
 # -- definitions, reconciliation ---------------------------------------------------------------
@@ -312,11 +337,16 @@ def same_order(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return d.groupBy(key).agg(F.bool_and(ok).alias("equal"), F.count_if(~ok).alias("differences"))
 
 
-def schema_drift(fields: list[str], declared: list[str]) -> Column:
-    """Fields present and not declared, and declared and not present."""
-    got, want = F.array(*[F.lit(f) for f in fields]), F.array(*[F.lit(f) for f in declared])
-    return F.struct(F.array_join(F.array_sort(F.array_except(got, want)), ",").alias("undeclared"),
-                    F.array_join(F.array_sort(F.array_except(want, got)), ",").alias("absent"))
+def schema_drift(records: DataFrame, kind: str, json: str, declared: list[str]) -> DataFrame:
+    """Per kind of record: fields that some record stores and nobody declared, and declared ones that none stores.
+
+    Field names fold to one row per kind and name before they meet.
+    """
+    stored = records.select(kind, F.explode(F.json_object_keys(json)).alias("field")).distinct()
+    wanted = records.select(kind).distinct().select(kind, F.explode(F.array(*[F.lit(f) for f in declared])).alias("field"))
+    sides = stored.withColumn("s", F.lit(1)).join(wanted.withColumn("d", F.lit(1)), [kind, "field"], "full")
+    names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("field")))), ",")
+    return sides.groupBy(kind).agg(names(F.col("d").isNull()).alias("undeclared"), names(F.col("s").isNull()).alias("absent"))
 
 
 def implications(pages: DataFrame, text: str, rules: list[tuple[str, str]]) -> DataFrame:

@@ -7,44 +7,44 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, run_path
 
-OUTLINE_LEVELS = 12
-SIBLING_CEILING = 5000
-FIELD_LEVELS = 24
 
-
-def climb(nodes: DataFrame, keys: list[str], node: str, parent: str, rounds: int) -> DataFrame:
+def climb(nodes: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
     """Follow parents by doubling: after k rounds a row knows the ancestor 2**k levels up.
 
-    Adds ``top`` (the highest ancestor reached), ``hops`` and ``open`` (true when the climb has not
-    reached a root, which after enough rounds means a cycle or a deeper tree). Each round is one join
-    on the ancestor's key, so depth d costs log2(d) joins rather than d.
+    Adds ``top`` (the highest ancestor reached), ``hops`` and ``open``: true when no climb from here ends at a
+    root, because the parents run in a circle or one of them is missing. Each round is one join on the ancestor's
+    key, so depth d costs log2(d) joins rather than d. A climb can be no longer than its group has nodes, so rows
+    still open when twice that has been climbed stay open.
     """
+    most = nodes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     at = nodes.select(*keys, F.col(node).alias("_n"), F.coalesce(F.col(parent), F.col(node)).alias("top"),
                       F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("hops"),
                       F.col(parent).isNotNull().alias("open"))
-    for _ in range(rounds):
-        at = cut_lineage(at)
+    at, reach = cut_lineage(at), 1
+    while reach < 2 * most and not at.where("open").isEmpty():
+        reach *= 2
         up = at.select(*keys, F.col("_n").alias("top"), F.col("top").alias("_t"), F.col("hops").alias("_h"), F.col("open").alias("_o"))
         # Finished rows skip the join: the roots are where every climb ends, so they are the hot keys.
         moving = at.where("open").join(up, [*keys, "top"], "left")
         moving = moving.select(*keys, "_n", F.coalesce("_t", "top").alias("top"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"),
                                F.coalesce("_o", F.lit(True)).alias("open"))
-        at = at.where("not open").unionByName(moving)
+        at = cut_lineage(at.where("not open").unionByName(moving))
     return at.withColumnRenamed("_n", node)
 
 
 def outline_levels(outline: DataFrame) -> DataFrame:
-    """Level of every reachable bookmark: roots are 0, nothing below level 12, cycles never reached."""
-    at = climb(outline, ["doc_id"], "node_id", "parent_id", rounds=4)
-    return at.where(~F.col("open") & (F.col("hops") <= OUTLINE_LEVELS)).select("doc_id", "node_id", F.col("hops").alias("level"))
+    """Level of every bookmark that hangs from a root, which is 0. Circles are never reached."""
+    at = climb(outline, ["doc_id"], "node_id", "parent_id")
+    return at.where(~F.col("open")).select("doc_id", "node_id", F.col("hops").alias("level"))
 
 
 def named_root(fields: DataFrame) -> DataFrame:
-    """Topmost ancestor of a form field that is itself a field; an unnamed parent ends the climb."""
+    """Topmost ancestor of a form field that is itself a field; an unnamed parent ends the climb. Fields whose
+    parents run in a circle have none: NULL."""
     named = fields.select("doc_id", F.col("node_id").alias("parent_id"), F.col("is_field").alias("_f")).where("_f")
     edges = fields.join(named, ["doc_id", "parent_id"], "left").select(
         "doc_id", "node_id", F.when(F.col("_f"), F.col("parent_id")).alias("parent_id"))
-    return climb(edges, ["doc_id"], "node_id", "parent_id", rounds=5).select("doc_id", "node_id", F.col("top").alias("root_id"))
+    return climb(edges, ["doc_id"], "node_id", "parent_id").select("doc_id", "node_id", F.when(~F.col("open"), F.col("top")).alias("root_id"))
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -75,19 +75,18 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
 def keep_with_survivors(outline: DataFrame, valid: str) -> DataFrame:
     """Prune: a node stays when its own page is usable or a descendant's is; an unusable page becomes NULL.
 
-    Climbs from the usable nodes: each round adds the parents of what was added last.
+    Marks climb by doubling: once every ancestor up to 2**k - 1 levels above a usable node is marked, the pointers
+    that lead 2**k levels up mark as many again. Circles add nothing new and end the climb.
     """
+    keys = ["doc_id", "node_id"]
     nodes = cut_lineage(outline)
-    kept = nodes.where(F.col(valid)).select("doc_id", "node_id")
-    frontier = cut_lineage(kept)
-    kept = frontier
-    for _ in range(OUTLINE_LEVELS):
-        up = (nodes.join(frontier, ["doc_id", "node_id"], "left_semi").where("parent_id is not null")
-              .select("doc_id", F.col("parent_id").alias("node_id")).distinct()
-              .join(kept, ["doc_id", "node_id"], "left_anti"))
-        frontier = cut_lineage(up)
-        if frontier.isEmpty():
-            break
-        kept = kept.unionByName(frontier)
-    return nodes.join(kept, ["doc_id", "node_id"], "left_semi").withColumn(
-        "page_index", F.when(F.col(valid), F.col("page_index")))
+    most = nodes.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    kept = cut_lineage(nodes.where(F.col(valid)).select(*keys).distinct())
+    up, reach = nodes.where("parent_id is not null").select(*keys, F.col("parent_id").alias("up")), 1
+    while reach < 2 * most and not up.isEmpty():
+        marked = up.join(kept, keys, "left_semi").select("doc_id", F.col("up").alias("node_id"))
+        kept = cut_lineage(kept.unionByName(marked).distinct())
+        further = up.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("_up"))
+        up = cut_lineage(up.join(further, ["doc_id", "up"]).select(*keys, F.col("_up").alias("up")))
+        reach *= 2
+    return nodes.join(kept, keys, "left_semi").withColumn("page_index", F.when(F.col(valid), F.col("page_index")))

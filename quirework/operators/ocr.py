@@ -11,7 +11,6 @@ from .rules import whole_word
 
 CONFIDENCE_FLOOR = 55
 HAS_TEXT_CHARS = 12
-SAMPLE_PAGES = 40
 PAGE = ["doc_id", "page_index"]
 GLYPH_WIDTH = 500
 
@@ -82,6 +81,11 @@ def searchable_coverage(results: DataFrame) -> DataFrame:
         F.count_if(read & (F.col("source") == "layer")).alias("from_layer"))
 
 
+def in_page_order(results: DataFrame) -> DataFrame:
+    """Results as they were finished -> the place each takes in its document."""
+    return ordered.number(results, ["doc_id"], ["page_index"], ordered.chunk_of("page_index"), "place")
+
+
 def page_text(c: str | Column) -> Column:
     """Spaces before a line end go, three or more line ends become two, ends are trimmed."""
     t = F.regexp_replace(S.col(c), r"[ \t]+\n", "\n")

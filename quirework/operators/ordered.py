@@ -1,13 +1,14 @@
 """Ordered operators whose work never sits in one task, however large one group grows.
 
-A plain window over ``partitionBy(key)`` sends the whole of a hot key to one task. Here every group
-is cut into chunks along its order: a chunk is a monotone coarsening of the order columns (say
-``page_index div 65536``), so rows of an earlier chunk always come first. The window runs inside a
-chunk, one aggregated row per chunk carries what later chunks need, and a join on ``(key, chunk)``
-puts the two together. The second-level window sees chunk summaries only.
-
-Each call reads its input twice (rows and chunk summaries, the latter combined before the shuffle);
-ask for several results in one call rather than chaining calls, and cut the lineage of a costly input.
+A plain window over ``partitionBy(key)`` sends the whole of a hot key to one task. That is used while the largest
+group, which is measured, fits one chunk. Past that every group is cut into chunks along its order: a chunk is a
+monotone coarsening of the order columns (say ``page_index div 65536``), so rows of an earlier chunk always come
+first. The window runs inside a chunk, one aggregated row per chunk carries what later chunks need, and a join on
+``(key, chunk)`` puts the two together. Chunk summaries are a table of the same kind: they go through the same
+operator, in coarser chunks, until they fit. Both ways give the same rows.
+
+Each call reads its input twice (once folded to counts or summaries, combined before the shuffle); ask for
+several results in one call rather than chaining calls, and cut the lineage of a costly input.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 CHUNK = 65_536
+STEP = 1024  # chunks that go into one chunk of the level above
 FOLDS = {"sum": F.sum, "max": F.max}
 
 
@@ -27,14 +29,27 @@ def chunk_of(order: str | Column, size: int = CHUNK) -> Column:
     return F.floor(c / F.lit(size))
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def running_many(df: DataFrame, keys: list[str], order: list, chunk: Column, wanted: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
-    """Running folds along ``order`` within ``keys``: ``wanted`` maps an output to ("sum" | "max", value)."""
+    """Running folds along ``order`` within ``keys``: ``wanted`` maps an output to ("sum" | "max", value).
+
+    ``chunk`` is a whole number that never falls along ``order``.
+    """
+    upto = (Window.unboundedPreceding, 0 if inclusive else -1)
+    if largest_group(df, keys) <= CHUNK:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
+        folds = {o: FOLDS[k](v).over(whole) for o, (k, v) in wanted.items()}
+        return df.withColumns({o: F.coalesce(f, F.lit(0)) if wanted[o][0] == "sum" else f for o, f in folds.items()})
     d = df.withColumn("__chunk", chunk).withColumns({f"__x_{o}": v for o, (_, v) in wanted.items()})
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(*upto)
     local = d.withColumns({f"__l_{o}": FOLDS[k](f"__x_{o}").over(inside) for o, (k, _) in wanted.items()})
-    ahead = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     summary = d.groupBy(*keys, "__chunk").agg(*[FOLDS[k](f"__x_{o}").alias(f"__s_{o}") for o, (k, _) in wanted.items()])
-    before = summary.select(*keys, "__chunk", *[FOLDS[k](f"__s_{o}").over(ahead).alias(f"__b_{o}") for o, (k, _) in wanted.items()])
+    before = running_many(summary.withColumnRenamed("__chunk", "__at"), keys, ["__at"], chunk_of("__at", STEP),
+                          {f"__b_{o}": (k, F.col(f"__s_{o}")) for o, (k, _) in wanted.items()}, inclusive=False)
+    before = before.select(*keys, F.col("__at").alias("__chunk"), *[f"__b_{o}" for o in wanted])
     out = {}
     for o, (kind, _) in wanted.items():
         here, earlier = F.col(f"__l_{o}"), F.col(f"__b_{o}")
@@ -57,13 +72,20 @@ def neighbours(df: DataFrame, keys: list[str], order: list, chunk: Column, value
 
     The struct itself is NULL where there is no such row.
     """
+    sides = [(o, step, edge) for o, step, edge in ((prev, F.lag, F.max_by), (nxt, F.lead, F.min_by)) if o]
+    if largest_group(df, keys) <= CHUNK:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        d = df.withColumn("__x", F.struct(value.alias("v")))
+        return d.withColumns({o: step("__x").over(whole) for o, step, _ in sides}).drop("__x")
     key = F.struct(*order)
     d = df.withColumn("__chunk", chunk).withColumn("__x", F.struct(value.alias("v")))
-    inside, across = Window.partitionBy(*keys, "__chunk").orderBy(*order), Window.partitionBy(*keys).orderBy("__chunk")
-    sides = [(o, step, edge) for o, step, edge in ((prev, F.lag, F.max_by), (nxt, F.lead, F.min_by)) if o]
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     local = d.withColumns({f"__l_{o}": step("__x").over(inside) for o, step, _ in sides})
     edges = d.groupBy(*keys, "__chunk").agg(*[edge("__x", key).alias(f"__e_{o}") for o, _, edge in sides])
-    edges = edges.select(*keys, "__chunk", *[step(f"__e_{o}").over(across).alias(f"__b_{o}") for o, step, _ in sides])
+    for o, _, _ in sides:
+        at = {"prev" if o == prev else "nxt": f"__b_{o}"}
+        edges = neighbours(edges.withColumnRenamed("__chunk", "__at"), keys, ["__at"], chunk_of("__at", STEP), F.col(f"__e_{o}"), **at).withColumnRenamed("__at", "__chunk")
+    edges = edges.select(*keys, "__chunk", *[F.col(f"__b_{o}.v").alias(f"__b_{o}") for o, _, _ in sides])
     out = {o: F.coalesce(f"__l_{o}", f"__b_{o}") for o, _, _ in sides}
     return local.join(edges, [*keys, "__chunk"]).withColumns(out).drop("__chunk", "__x", *[f"__{p}_{o}" for p in "lb" for o in out])
 

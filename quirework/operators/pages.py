@@ -9,6 +9,8 @@ from ..functions import scalars as S
 from . import ordered
 from .rules import first_match
 
+# What a reader is told, and the shape of one part of a typed range.
+NO_RANGES = "none"
 NO_PAGES = "Type which pages you want, for example 1-4, 7."
 RANGE_PART = r"^(\d+)\s*(?:[-–—]\s*(\d+))?$"
 
@@ -29,9 +31,10 @@ def range_label(first: Column, last: Column) -> Column:
         F.concat((first + 1).cast("string"), F.lit("-"), (last + 1).cast("string")))
 
 
-def describe_ranges(pages: DataFrame, keys: list[str], page: str, out: str = "ranges") -> DataFrame:
-    """"1-3, 5" per group, from the runs already folded from pages."""
-    return ordered.text_in_order(islands(pages, keys, page), keys, "first", range_label(F.col("first"), F.col("last")), ", ", out)
+def describe_ranges(pages: DataFrame, keys: list[str], page: str, out: str = "ranges", groups: DataFrame | None = None) -> DataFrame:
+    """"1-3, 5" per group, from the runs already folded from pages; ``none`` for those of ``groups`` without a page."""
+    said = ordered.text_in_order(islands(pages, keys, page), keys, "first", range_label(F.col("first"), F.col("last")), ", ", out)
+    return said if groups is None else groups.join(said, keys, "left").select(*keys, F.coalesce(out, F.lit(NO_RANGES)).alias(out))
 
 
 def parse_ranges(requests: DataFrame, key: str, text: str, page_count: str) -> tuple[DataFrame, DataFrame]:
@@ -175,11 +178,9 @@ def orientation_minority(shaped: DataFrame) -> DataFrame:
             .select("doc_id", "pages", "odd", "odd_is_landscape"))
 
 
-def size_labels(pages: DataFrame, most: int = 4) -> DataFrame:
-    """Distinct page sizes per document in the order first met, at most four of them named.
-
-    The set folds to one row per size before it is gathered.
-    """
+def size_labels(pages: DataFrame) -> DataFrame:
+    """Distinct page sizes per document in the order first met. The set folds to one row per size before it is
+    gathered."""
     first = pages.groupBy("doc_id", S.page_size_name("width_pt", "height_pt").alias("label")).agg(F.min("page_index").alias("at"))
-    labels = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("at", "label"))), 1, most), lambda x: x["label"])
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"])
     return first.groupBy("doc_id").agg(F.array_join(labels, ", ").alias("sizes"))

@@ -78,10 +78,10 @@ def container_name(sniffed: Column, name: str | Column) -> Column:
     return first_match([(sniffed == "zip", zips), (sniffed == "ole", oles), (sniffed.startswith("image/"), image)], plain)
 
 
-def intake(size: str | Column, head: str | Column) -> Column:
+def intake(size: str | Column, head: str | Column, ceiling: int = CEILING_BYTES) -> Column:
     """Why a file is turned away, NULL when it is taken. The cheapest test comes first."""
     kind = sniff(head)
-    return first_match([(S.col(size) == 0, "empty"), (S.col(size) > CEILING_BYTES, "too-big"),
+    return first_match([(S.col(size) == 0, "empty"), (S.col(size) > ceiling, "too-big"),
                         (~F.coalesce(kind == "application/pdf", F.lit(False)), "not-pdf")])
 
 

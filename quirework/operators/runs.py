@@ -18,21 +18,30 @@ RESULT = "run_id long, ordinal long, source string, kind string, bytes long, rea
 NUMBERED = r"^(.*) \(([2-9]|[1-9][0-9]+)\)$"
 
 
-def apply_to_files(files: DataFrame, work: Callable[[object], tuple[str, int | None, str | None]], schema: str = RESULT) -> DataFrame:
+def apply_to_files(files: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str = RESULT) -> DataFrame:
     """Run a caller's function over file rows. One file's exception is its own failed row, never the job's end.
 
-    ``work(row)`` returns (kind, bytes, reason). Spark spreads the files; rows stream through in batches.
+    ``work`` takes a frame of files and returns kind, bytes and reason for each, in order. Only a frame for which it
+    raised is gone through file by file. Spark spreads the files; frames stream through.
     """
+    names = ["run_id", "ordinal", "source", "kind", "bytes", "reason"]
+
+    def one(row: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return work(row)
+        except Exception as err:
+            return pd.DataFrame({"kind": ["failed"], "bytes": [None], "reason": [f"{type(err).__name__}: {err}"]})
+
     def batches(frames):
         for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                try:
-                    kind, size, reason = work(row)
-                except Exception as err:
-                    kind, size, reason = "failed", None, f"{type(err).__name__}: {err}"
-                out.append((row.run_id, row.ordinal, row.source, kind, size, reason))
-            yield pd.DataFrame(out, columns=["run_id", "ordinal", "source", "kind", "bytes", "reason"]).astype({"bytes": "Int64"})
+            frame = frame.reset_index(drop=True)
+            try:
+                done = work(frame)
+            except Exception:
+                done = pd.concat([one(frame.iloc[i : i + 1].reset_index(drop=True)) for i in range(len(frame))], ignore_index=True)
+            out = pd.concat([frame[["run_id", "ordinal", "source"]], done.reset_index(drop=True)[["kind", "bytes", "reason"]]], axis=1)
+            yield out[names].astype({"bytes": "Int64"})
+
     return files.mapInPandas(batches, schema)
 
 

@@ -151,7 +151,7 @@ def _(t):
     return survey.people_per_profession(survey.latest_answers(survey.cleaned(t.survey)))
 
 
-@query("q_d17_size_labels", f"SELECT doc_id, array_to_string(list(label ORDER BY seen)[1:4], ', ') AS sizes FROM (SELECT doc_id, {page_name('width_pt', 'height_pt')} AS label, min(page_index) AS seen FROM file_pages GROUP BY 1, 2) GROUP BY 1")
+@query("q_d17_size_labels", f"SELECT doc_id, array_to_string(list(label ORDER BY seen), ', ') AS sizes FROM (SELECT doc_id, {page_name('width_pt', 'height_pt')} AS label, min(page_index) AS seen FROM file_pages GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     return pages.size_labels(t.file_pages)
 
@@ -215,12 +215,13 @@ def _(t):
 MARKS, LINE = ["<nav>", "<article>", "<footer>"], "the "
 
 
-@query("q_d24_worst_gap", """WITH g AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, instr(html, '<nav>') - 1 AS lo, instr(html, '<footer>') - 1 + 8 AS hi, html FROM pages WHERE contains(html, '<nav>') AND contains(html, '<article>') AND contains(html, '<footer>')),
+@query("q_d24_worst_gap", r"""WITH p AS (SELECT page_id, regexp_replace(html, '\s+', ' ', 'g') AS html FROM pages),
+    g AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, instr(html, '<nav>') - 1 AS lo, instr(html, '<footer>') - 1 + 8 AS hi, html FROM p WHERE contains(html, '<nav>') AND contains(html, '<article>') AND contains(html, '<footer>')),
     o AS (SELECT page_id, unnest(list_filter(range(1, length(html) - 3), lambda i: substr(html, i::bigint, 4) = 'the ')) - 1 AS i FROM g),
     gap AS (SELECT page_id, min(CASE WHEN i BETWEEN lo AND hi THEN 0 WHEN i < lo THEN lo - i ELSE i - hi END) AS gap FROM o JOIN g USING (page_id) GROUP BY 1)
     SELECT lang, max(gap) AS worst, max_by(page_id, (gap, page_id)) AS page_id FROM gap JOIN g USING (page_id) GROUP BY 1""")
 def _(t):
-    gap = audit.nearest_gap(t.pages, "page_id", "html", MARKS, LINE).where("gap is not null")
+    gap = audit.nearest_gap(t.pages, "page_id", "html", {"page": MARKS}, LINE).where("gap is not null")
     lang = t.pages.select("page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
     return gap.join(lang, "page_id").groupBy("lang").agg(F.max("gap").alias("worst"), F.max_by("page_id", F.struct("gap", "page_id")).alias("page_id"))
 

@@ -91,9 +91,9 @@ def _(t):
 
 
 @query("q_c06_phrase_hits_metadata", f"""SELECT page_id, i AS phrase_id FROM pages, (SELECT unnest(['the and', 'en', 'er ', 'der']) AS p, unnest([0, 1, 2, 3])::bigint AS i)
-    WHERE contains(lower({TITLE} || ' ' || regexp_extract(html, '<meta name="description" content="([^"]*)"', 1)), p)""")
+    WHERE contains(lower({TITLE} || ' ' || regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) || ' ' || regexp_extract(html, '<meta name="twitter:description" content="([^"]*)"', 1)), p)""")
 def _(t):
-    meta = F.lower(F.concat(audit.title_of("html"), F.lit(" "), audit.meta_of("html", "description")))
+    meta = F.lower(F.concat(audit.title_of("html"), F.lit(" "), audit.meta_of("html", "description"), F.lit(" "), audit.meta_of("html", "twitter:description")))
     rules = t.spark.createDataFrame(list(enumerate(META_PHRASES)), "phrase_id long, phrase string")
     return audit.phrase_hits(t.pages.select("page_id", meta.alias("text")), "page_id", rules, fits=True)
 
@@ -187,7 +187,7 @@ def _(t):
 
 
 LEVELS = """levels AS (SELECT doc_id, node_id, 0::bigint AS level FROM outline WHERE parent_id IS NULL UNION ALL
-    SELECT o.doc_id, o.node_id, level + 1 FROM outline o JOIN levels l ON o.doc_id = l.doc_id AND o.parent_id = l.node_id WHERE level < 12)"""
+    SELECT o.doc_id, o.node_id, level + 1 FROM outline o JOIN levels l ON o.doc_id = l.doc_id AND o.parent_id = l.node_id)"""
 
 
 @query("q_c14_outline_levels", f"WITH RECURSIVE {LEVELS} SELECT * FROM levels")

@@ -41,8 +41,8 @@ def _(t):
     return t.files.select("file_id", S.suffix_name("name", "-small").alias("name"))
 
 
-@query("q_h05_safe_name", r"""SELECT doc_id, CASE WHEN n = '' THEN 'file' ELSE n END AS name FROM (SELECT doc_id, substr(trim(regexp_replace(regexp_replace(
-    regexp_replace('../' || text, '[\\/:*?"<>|]', '-', 'g'), '[\x00-\x1f]', '', 'g'), '^\.+', '')), 1, 120) AS n FROM documents)""")
+@query("q_h05_safe_name", r"""SELECT doc_id, CASE WHEN n = '' THEN 'file' ELSE n END AS name FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(
+    regexp_replace('../' || text, '[\\/:*?"<>|]', '-', 'g'), '[\x00-\x1f]', '', 'g'), '^\.+', '')) AS n FROM documents)""")
 def _(t):
     return t.documents.select("doc_id", S.safe_name(F.concat(F.lit("../"), "text")).alias("name"))
 

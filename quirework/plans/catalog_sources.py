@@ -22,10 +22,12 @@ def named_pages(t):
     return t.pages.withColumn("name", name)
 
 
-@query("q_a01_file_facts")
+@query("q_a01_file_facts", """SELECT name, size AS length, CASE WHEN head_hex LIKE '25504446%' THEN 'application/pdf' WHEN head_hex LIKE '504B0304%' THEN 'zip' WHEN head_hex LIKE 'D0CF11E0%' THEN 'ole'
+    WHEN head_hex LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN head_hex LIKE '89504E47%' THEN 'image/png' WHEN head_hex LIKE '47494638%' THEN 'image/gif' WHEN head_hex LIKE '52494646%' AND substr(head_hex, 17, 8) = '57454250' THEN 'image/webp' WHEN head_hex LIKE '7B%' THEN 'text' END AS container,
+    CASE WHEN size = 0 THEN 'empty' WHEN size > 62914560 THEN 'too-big' WHEN head_hex NOT LIKE '25504446%' THEN 'not-pdf' END AS refused FROM files""")
 def _(t):
-    """Head facts of the data folder's own files."""
-    return scans.file_facts(t.spark, t.folder, "*.parquet")
+    """Every listed file's size and verdict, from its leading bytes."""
+    return scans.file_facts(t.files, "name", "size", "head")
 
 
 @query("q_a02_page_corpus", f"SELECT name, length(html) AS chars FROM (SELECT *, {PAGE_NAME} AS name FROM pages) WHERE name NOT IN ('selftest.html', 'ocr-probe.html')")

@@ -23,8 +23,8 @@ class StreamTables(Tables):
 
     @cached_property
     def events(self) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.folder}/events.parquet").schema
-        return scans.event_files(self.spark, self.folder, "events*.parquet", schema)
+        path = f"{self.folder}/events.parquet"
+        return scans.event_files(self.spark, path, self.spark.read.parquet(path).schema)
 
 
 def live(t: Tables) -> StreamTables:
@@ -52,14 +52,13 @@ def _(t):
 @query("q_i01_stream_ledger", f"WITH {REASONS} SELECT * FROM said")
 def _(t):
     out = run_path(t.spark, "ledger")
-    table = flows.VersionedTable(t.spark, run_path(t.spark, "purchases"), flows.PURCHASE_ROWS)
-    flows.carry(decisions(live(t)), table, out, run_path(t.spark, "cp"), flows.ledger_step)
-    return t.spark.read.option("basePath", out).parquet(out).select("txn", "event_id", "outcome")
+    flows.ledger(decisions(live(t)), run_path(t.spark, "deliveries"), out, run_path(t.spark, "cp"))
+    return flows.latest_rows(t.spark, out, ["txn", "event_id"]).select("txn", "event_id", "outcome")
 
 
 @query("q_i02_stream_upsert", "SELECT txn, status, uid, email, last_event FROM purchases")
 def _(t):
-    table = flows.VersionedTable(t.spark, run_path(t.spark, "purchases"), flows.PURCHASE_ROWS)
+    table = flows.BucketedTable(t.spark, run_path(t.spark, "purchases"), flows.PURCHASE_ROWS, "txn")
     flows.drain(decisions(live(t)), table.upsert(flows.merge_purchases), run_path(t.spark, "cp"), "append")
     return purchases.purchase_state(table.latest()).select("txn", "status", "uid", "email", "last_event")
 
@@ -69,14 +68,14 @@ def _(t):
     """Every delivery sent twice, each event acted on once."""
     d = decisions(live(t)).where("occurred_at is not null").select("event_id", "action", "occurred_at", "reason").where("reason <> 'unparseable'")
     path = run_path(t.spark, "once")
-    flows.drain(flows.once_per_event(d.unionByName(d), "event_id", "occurred_at"), flows.append_batches(path), run_path(t.spark, "cp"), "append")
+    flows.drain(flows.once_per_event(d.unionByName(d), "event_id"), flows.append_batches(path), run_path(t.spark, "cp"), "append")
     return t.spark.read.parquet(path).groupBy("action").agg(F.count("*").alias("events"), F.sum("event_id").alias("id_sum"))
 
 
 @query("q_i04_stream_answers", f"WITH {STORED} SELECT email, profession FROM stored")
 def _(t):
-    table = flows.VersionedTable(t.spark, run_path(t.spark, "answers"), flows.ANSWERS)
-    flows.drain(live(t).survey, table.upsert(flows.merge_answers), run_path(t.spark, "cp"), "append")
+    table = flows.BucketedTable(t.spark, run_path(t.spark, "answers"), flows.ANSWERS, "email")
+    flows.drain(survey.cleaned(live(t).survey), table.upsert(flows.merge_answers), run_path(t.spark, "cp"), "append")
     return table.latest().select("email", "profession")
 
 
@@ -107,22 +106,22 @@ def _(t):
 @query("q_i06_stream_claims", f"WITH {CLAIMS} SELECT owner, event_id, outcome, CASE WHEN outcome = 'taken' THEN pe END AS stashed FROM c")
 def _(t):
     out = run_path(t.spark, "claims")
-    table = flows.VersionedTable(t.spark, run_path(t.spark, "stash"), flows.STASH_ROWS)
-    flows.carry(live(t).stash_events, table, out, run_path(t.spark, "cp"), flows.stash_step)
-    return t.spark.read.option("basePath", out).parquet(out).select("owner", "event_id", "outcome", "stashed")
+    flows.replay(live(t).stash_events, run_path(t.spark, "stash"), out, run_path(t.spark, "cp"), "owner", flows.stash_outcomes)
+    return flows.latest_rows(t.spark, out, ["owner", "event_id"]).select("owner", "event_id", "outcome", "stashed")
 
 
-NOTES = """a AS (SELECT *, epoch_us(moment) AS us FROM stash_events), m AS (SELECT max(us) AS now FROM a),
+NOTES = """a AS (SELECT *, epoch_us(moment) AS us FROM stash_events), m AS (SELECT max(us) - 3600000000 AS now FROM a),
   b AS (SELECT *, lead(what) OVER w AS nw, lead(us) OVER w AS nu FROM a WHERE what IN ('pending', 'confirm') WINDOW w AS (PARTITION BY owner ORDER BY us, event_id)),
-  c AS (SELECT owner, event_id, CASE WHEN coalesce(nu, (SELECT now FROM m)) - us >= 86400000000 THEN 'expired' WHEN nw = 'confirm' THEN 'confirmed' WHEN nw = 'pending' THEN 'replaced' END AS outcome FROM b WHERE what = 'pending')"""
+  c AS (SELECT owner, event_id, CASE WHEN us > (SELECT now FROM m) + 60000000 THEN 'refused' WHEN coalesce(nu, (SELECT now FROM m)) - us >= 86400000000 THEN 'expired' WHEN nw = 'confirm' THEN 'confirmed' WHEN nw = 'pending' THEN 'replaced' END AS outcome FROM b WHERE what = 'pending')"""
 
 
 @query("q_i07_stream_pending", f"WITH {NOTES} SELECT * FROM c WHERE outcome IS NOT NULL")
 def _(t):
+    """The clock stands an hour before the last event, so the newest notes lie ahead of it."""
     out = run_path(t.spark, "notes")
-    table = flows.VersionedTable(t.spark, run_path(t.spark, "pending"), flows.STASH_ROWS)
-    flows.carry(live(t).stash_events, table, out, run_path(t.spark, "cp"), flows.pending_step)
-    return t.spark.read.option("basePath", out).parquet(out).select("owner", "event_id", "outcome")
+    flows.replay(live(t).stash_events, run_path(t.spark, "pending"), out, run_path(t.spark, "cp"), "owner", flows.pending_notes)
+    now = t.stash_events.agg(F.unix_micros(F.max("at").cast("timestamp")) - 3_600_000_000).scalar()
+    return flows.pending_verdict(flows.latest_rows(t.spark, out, ["owner", "event_id"]), now).where("outcome is not null")
 
 
 @query("q_i08_stream_timeline", "SELECT phase, host, rtype, count(*) AS requests, epoch_us(min(moment)) AS first_at, epoch_us(max(moment)) AS last_at FROM requests GROUP BY 1, 2, 3")

@@ -47,10 +47,11 @@ def _(t):
     return pages.bookmark_parts(t.outline, t.outline_docs)
 
 
-@query("q_e05_describe_ranges", """SELECT doc_id, string_agg(CASE WHEN lo = hi THEN (lo + 1)::varchar ELSE (lo + 1) || '-' || (hi + 1) END, ', ' ORDER BY lo) AS ranges FROM (
-    SELECT doc_id, min(page_index) AS lo, max(page_index) AS hi FROM (SELECT doc_id, page_index, page_index - row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS g FROM file_pages WHERE rotation <> 0) GROUP BY doc_id, g) GROUP BY 1""")
+@query("q_e05_describe_ranges", """SELECT d.doc_id, coalesce(ranges, 'none') AS ranges FROM (SELECT DISTINCT doc_id FROM file_pages) d LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN lo = hi THEN (lo + 1)::varchar ELSE (lo + 1) || '-' || (hi + 1) END, ', ' ORDER BY lo) AS ranges FROM (
+    SELECT doc_id, min(page_index) AS lo, max(page_index) AS hi FROM (SELECT doc_id, page_index, page_index - row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS g FROM file_pages WHERE rotation <> 0) GROUP BY doc_id, g) GROUP BY 1) r ON d.doc_id = r.doc_id""")
 def _(t):
-    return pages.describe_ranges(cut_lineage(t.file_pages.where("rotation <> 0")), ["doc_id"], "page_index")
+    every = cut_lineage(t.file_pages.select("doc_id", "page_index", "rotation"))
+    return pages.describe_ranges(every.where("rotation <> 0"), ["doc_id"], "page_index", groups=every.select("doc_id").distinct())
 
 
 @query("q_e05_islands", """SELECT doc_id, min(page_index) AS first, max(page_index) AS last FROM (SELECT doc_id, page_index, page_index - row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS g FROM file_pages WHERE rotation <> 0) GROUP BY doc_id, g""")
@@ -149,9 +150,9 @@ def _(t):
     return audit.numbering_problems(heads, "conv_id", "number", "turn")
 
 
-@query("q_e12_anchor_clashes", r"""SELECT conv_id, slug, count(*) AS times FROM (SELECT conv_id, regexp_replace(trim(regexp_replace(lower(split_part(text, ' ', 1)), '[^\w\s-]', '', 'g')), '\s', '-', 'g') AS slug FROM conversations) GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("q_e12_anchor_clashes", r"""SELECT conv_id, slug, count(*) AS times FROM (SELECT conv_id, regexp_replace(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\w\s-]', '', 'g')), '\s', '-', 'g') AS slug FROM conversations) GROUP BY 1, 2 HAVING count(*) > 1""")
 def _(t):
-    d = t.conversations.select("conv_id", S.slug(F.substring_index("text", " ", 1)).alias("slug"))
+    d = t.conversations.select("conv_id", S.slug(F.substring_index("text", "\n", 1)).alias("slug"))
     return d.groupBy("conv_id", "slug").agg(F.count("*").alias("times")).where("times > 1")
 
 
@@ -173,11 +174,19 @@ def _(t):
     return measure.progress(d, "session", "event_id", "us")
 
 
-@query("q_e15_nearest_gap", """WITH g AS (SELECT page_id, instr(html, '<nav>') - 1 AS lo, instr(html, '<footer>') + 7 AS hi, html FROM pages WHERE contains(html, '<nav>') AND contains(html, '<article>') AND contains(html, '<footer>')),
-    o AS (SELECT page_id, unnest(list_filter(range(1, length(html)), lambda i: substr(html, i::bigint, 6) = '<script')) - 1 AS i FROM g UNION ALL SELECT page_id, instr(html, 'charset') - 1 FROM g)
-    SELECT page_id, min(CASE WHEN i BETWEEN lo AND hi THEN 0 WHEN i < lo THEN lo - i ELSE i - hi END) AS gap FROM o JOIN g USING (page_id) GROUP BY 1""")
+SHAPES = {"page": MARKS, "head": ["<title>", "<style>"], "list": ["<ul>", "<ol>"], "ends": ["<article>", "</html>"]}
+
+
+@query("q_e15_nearest_gap", r"""WITH p AS (SELECT page_id, regexp_replace(html, '\s+', ' ', 'g') AS h FROM pages),
+    g AS (SELECT page_id, h, 'page' AS shape, instr(h, '<nav>') - 1 AS lo, instr(h, '<footer>') + 7 AS hi FROM p WHERE contains(h, '<nav>') AND contains(h, '<article>') AND contains(h, '<footer>')
+      UNION ALL SELECT page_id, h, 'head', instr(h, '<title>') - 1, instr(h, '<style>') + 6 FROM p WHERE contains(h, '<title>') AND contains(h, '<style>')
+      UNION ALL SELECT page_id, h, 'list', least(instr(h, '<ul>'), instr(h, '<ol>')) - 1, greatest(instr(h, '<ul>'), instr(h, '<ol>')) + 3 FROM p WHERE contains(h, '<ul>') AND contains(h, '<ol>')
+      UNION ALL SELECT page_id, h, 'ends', instr(h, '<article>') - 1, instr(h, '</html>') + 6 FROM p WHERE contains(h, '<article>') AND contains(h, '</html>')),
+    o AS (SELECT page_id, shape, unnest(list_filter(range(1, length(h)), lambda i: substr(h, i::bigint, 8) = 'track(1)')) - 1 AS i FROM g),
+    m AS (SELECT page_id, shape, min(CASE WHEN i BETWEEN lo AND hi THEN 0 WHEN i < lo THEN lo - i ELSE i - hi END) AS gap FROM o JOIN g USING (page_id, shape) GROUP BY 1, 2)
+    SELECT page_id, shape, gap, coalesce(gap <= 100, false) AS near FROM g LEFT JOIN m USING (page_id, shape)""")
 def _(t):
-    return audit.nearest_gap(t.pages, "page_id", "html", MARKS, "charset")
+    return audit.nearest_gap(t.pages, "page_id", "html", SHAPES, "track(1)", near=100)
 
 
 KNOWN = [r"and", r"qui"]
@@ -194,10 +203,13 @@ def _(t):
     return measure.quantity(t.rungs)
 
 
-@query("q_e18_page_order", "SELECT doc_id, page_index, page_index * 7919 % 1009 AS finished, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS place FROM doc_page_index")
+@query("q_e18_page_order", """SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY done, page_index) AS finished, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS place
+    FROM (SELECT doc_id, page_index, page_index * 7919 % 1009 AS done FROM doc_page_index)""")
 def _(t):
-    done = t.doc_page_index.select("doc_id", "page_index", (F.col("page_index") * 7919 % 1009).alias("finished"))
-    return ordered.number(done, ["doc_id"], ["page_index"], ordered.chunk_of("page_index"), "place")
+    """Results in the order they were finished, and the place each takes among the pages."""
+    done = t.doc_page_index.select("doc_id", "page_index", (F.col("page_index") * 7919 % 1009).alias("done"))
+    done = ordered.number(done, ["doc_id"], ["done", "page_index"], ordered.chunk_of("done", 64), "finished")
+    return ocr.in_page_order(done).select("doc_id", "page_index", "finished", "place")
 
 
 @query("q_e19_prune", """WITH RECURSIVE o AS (SELECT o.doc_id, node_id, parent_id, page_index, coalesce(page_index >= 0 AND page_index < page_count, false) AS valid FROM outline o JOIN outline_docs d ON o.doc_id = d.doc_id),
@@ -246,20 +258,6 @@ def _(t):
     return audit.first_n(t.run_results.where("kind = 'failed'").select("run_id", "ordinal"), ["run_id"], "ordinal", 4)
 
 
-@query("q_f05_sampled_pages", "SELECT doc_id, count(*) AS sampled, count(*) FILTER (length(text) > 12) AS with_text FROM doc_pages WHERE page_index < 40 GROUP BY 1")
-def _(t):
-    """The first forty pages decide whether a document is said to have text: the limit is the rule."""
-    d = t.doc_pages.where(F.col("page_index") < ocr.SAMPLE_PAGES)
-    return d.groupBy("doc_id").agg(F.count("*").alias("sampled"), F.count_if(F.length("text") > ocr.HAS_TEXT_CHARS).alias("with_text"))
-
-
-@query("q_f05_sibling_ceiling", "SELECT doc_id, node_id FROM (SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY ordinal) AS n FROM outline) WHERE n <= 5001")
-def _(t):
-    d = t.outline.withColumn("parent", F.coalesce("parent_id", F.lit(-1).cast("long")))
-    d = ordered.number(d, ["doc_id", "parent"], ["ordinal"], ordered.chunk_of("ordinal"), "n")
-    return d.where(F.col("n") <= graphs.SIBLING_CEILING + 1).select("doc_id", "node_id")
-
-
 # -- G: set operations ------------------------------------------------------------------------------
 
 
@@ -284,14 +282,20 @@ def _(t):
     return used_elements(t).select("name").distinct().join(styled_elements(t).distinct(), "name", "left_anti")
 
 
-DECLARED = ["conv_id", "turn", "role", "text", "at"]
+DECLARED = ["id", "transaction_id", "action", "status", "custom_data", "currency"]
 
 
-@query("q_g05_schema_drift", "SELECT conv_id % 10 AS slice, count(*) AS row_count, '' AS undeclared, 'at' AS absent FROM conversations GROUP BY 1")
+@query("q_g05_schema_drift", """WITH f AS (SELECT event_type, unnest(list_filter([CASE WHEN event_type = 'transaction.completed' AND event_id % 53 <> 0 OR event_type = 'transaction.completed' THEN 'id' END, CASE WHEN event_type <> 'transaction.completed' THEN 'transaction_id' END,
+      CASE WHEN action IS NOT NULL THEN 'action' END, CASE WHEN status IS NOT NULL THEN 'status' END, CASE WHEN kind IS NOT NULL THEN 'type' END, CASE WHEN item_type IS NOT NULL OR price_id IS NOT NULL THEN 'items' END,
+      CASE WHEN event_type = 'transaction.completed' THEN 'custom_data' END], lambda x: x IS NOT NULL)) AS field FROM purchase_fields WHERE NOT broken),
+    s AS (SELECT DISTINCT * FROM f), k AS (SELECT DISTINCT event_type FROM purchase_fields WHERE NOT broken),
+    w AS (SELECT event_type, unnest(['id', 'transaction_id', 'action', 'status', 'custom_data', 'currency']) AS field FROM k)
+    SELECT k.event_type, coalesce((SELECT string_agg(field, ',' ORDER BY field) FROM s WHERE s.event_type = k.event_type AND field NOT IN (SELECT field FROM w)), '') AS undeclared,
+      coalesce((SELECT string_agg(field, ',' ORDER BY field) FROM w WHERE w.event_type = k.event_type AND field NOT IN (SELECT field FROM s WHERE s.event_type = k.event_type)), '') AS absent FROM k""")
 def _(t):
-    d = t.conversations
-    drift = audit.schema_drift(d.columns, DECLARED)
-    return d.groupBy((F.col("conv_id") % 10).alias("slice")).agg(F.count("*").alias("row_count")).select("slice", "row_count", drift["undeclared"].alias("undeclared"), drift["absent"].alias("absent"))
+    """Fields of the stored deliveries against the declared ones, per event type."""
+    d = t.deliveries.select(F.get_json_object("raw", "$.event_type").alias("event_type"), F.get_json_object("raw", "$.data").alias("data"))
+    return audit.schema_drift(d.where("data is not null"), "event_type", "data", DECLARED)
 
 
 @query("q_g06_complement", "SELECT doc_id, page_index FROM doc_page_index EXCEPT SELECT doc_id, page_index FROM layer_pages WHERE length(text) >= 1000")
@@ -324,13 +328,15 @@ def _(t):
     return images.apply_plan(judged(t).where("recompressible"), plan).select("doc_id", "image_key", "target_w")
 
 
-def _demo_work(row):
-    """A caller's per-file function: fails on some files, leaves others alone."""
-    if row.bytes < 5000:
+def _demo_work(files):
+    """A caller's function over a frame of files: fails on some of them, leaves others alone."""
+    import pandas as pd
+
+    if (files["bytes"] < 5000).any():
         raise ValueError("too small to read")
-    if row.bytes < 10000:
-        return "left-alone", None, "nothing to gain"
-    return "done", int(row.bytes) // 2, None
+    small = files["bytes"] < 10000
+    return pd.DataFrame({"kind": small.map({True: "left-alone", False: "done"}), "bytes": (files["bytes"] // 2).astype("Int64").mask(small),
+                         "reason": small.map({True: "nothing to gain", False: None})})
 
 
 @query("q_j02_isolated_work", """SELECT run_id, ordinal, CASE WHEN bytes < 5000 THEN 'failed' WHEN bytes < 10000 THEN 'left-alone' ELSE 'done' END AS kind, CASE WHEN bytes >= 10000 THEN bytes // 2 END AS bytes,

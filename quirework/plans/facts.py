@@ -35,6 +35,10 @@ def choose(index: Column, values: list, cast: str | None = None) -> Column:
     return out
 
 
+def page_count(text: str) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(F.length(text) / float(PAGE_CHARS)).cast("long"))
+
+
 class Tables:
     """The given tables and the facts tables over them, for one data folder."""
 
@@ -51,8 +55,7 @@ class Tables:
 
     @cached_property
     def doc_pages(self) -> DataFrame:
-        d = self.documents.select("doc_id", "text", F.greatest(
-            F.lit(1).cast("long"), F.ceil(F.col("n_chars") / float(PAGE_CHARS)).cast("long")).alias("page_count"))
+        d = self.documents.select("doc_id", "text", page_count("text").alias("page_count"))
         d = d.select("doc_id", "text", "page_count",
                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_count") - 1)).alias("page_index"))
         text = F.substring(F.col("text"), (F.col("page_index") * PAGE_CHARS + 1).cast("int"), F.lit(PAGE_CHARS))
@@ -60,9 +63,8 @@ class Tables:
 
     @cached_property
     def doc_page_index(self) -> DataFrame:
-        """Page numbers alone: reads n_chars and never the text."""
-        count = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_chars") / float(PAGE_CHARS)).cast("long"))
-        d = self.documents.select("doc_id", count.alias("page_count"))
+        """Page numbers alone. They follow the text itself: a stale character count would lose pages."""
+        d = self.documents.select("doc_id", page_count("text").alias("page_count"))
         return d.select("doc_id", "page_count",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_count") - 1)).alias("page_index"))
 
@@ -109,8 +111,7 @@ class Tables:
                                   "l_shipdate", "l_quantity", "l_discount", "l_tax")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity",
                  "l_discount", "l_tax"]
-        chunk = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 4096).alias("p"))
-        n = ordered.number(li, ["l_orderkey"], order, chunk, "n")
+        n = ordered.number(li, ["l_orderkey"], order, ordered.chunk_of("l_linenumber"), "n")
         size = F.col("l_linenumber") % 5
         return n.select(
             F.col("l_orderkey").alias("doc_id"), (F.col("n") - 1).alias("page_index"),
@@ -226,7 +227,7 @@ class Tables:
                   .when(t != "purchase", F.lit("approved")))
         kind = F.when(t == "error", F.when(bare, choose(i % 3, ["partial", "full"])).otherwise(F.lit("partial")))
         return self.events.select(
-            i.alias("event_id"), (i * 7919 % 1000003).alias("arrival_seq"), F.col("ts").alias("ts"),
+            i.alias("event_id"), (i * 7919 % 1000003 + F.floor(i / 1000003) * 1000003).alias("arrival_seq"), F.col("ts").alias("ts"),
             event_type.alias("event_type"),
             F.when(i % 61 == 0, F.lit(None)).when(i % 67 == 0, F.lit("not a date"))
             .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("occurred_at"),

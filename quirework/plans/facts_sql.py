@@ -13,7 +13,7 @@ def choose(index: str, values: list) -> str:
     return "CASE " + " ".join(f"WHEN {index} = {i} THEN {lit(v)}" for i, v in enumerate(values)) + " END"
 
 
-_PAGES = "cast(greatest(1, ceil(n_chars / 1000.0)) as bigint)"
+_PAGES = "cast(greatest(1, ceil(length(text) / 1000.0)) as bigint)"
 
 FACTS = {
     "doc_page_index": f"SELECT doc_id, {_PAGES} AS page_count, unnest(range(0, {_PAGES})) AS page_index FROM documents",
@@ -69,7 +69,7 @@ FACTS = {
     "run_results": """SELECT user_id AS run_id, event_id AS ordinal, event_type || CASE WHEN event_id % 37 = 0 THEN ' (2).pdf' ELSE '.pdf' END AS source,
         CASE WHEN value < 5 THEN 'failed' WHEN value < 10 THEN 'left-alone' WHEN value < 11 THEN 'interrupted' WHEN value < 12 THEN 'not-attempted' ELSE 'done' END AS kind,
         cast(floor(value * 1000) AS bigint) AS bytes FROM events""",
-    "purchase_fields": """SELECT event_id, event_id * 7919 % 1000003 AS arrival_seq, ts, user_id,
+    "purchase_fields": """SELECT event_id, event_id * 7919 % 1000003 + event_id // 1000003 * 1000003 AS arrival_seq, ts, user_id,
         CASE WHEN event_type = 'purchase' THEN 'transaction.completed' WHEN event_type = 'signup' THEN 'adjustment.updated'
              WHEN event_type = 'view' AND event_id % 2 = 1 THEN 'customer.created' ELSE 'adjustment.created' END AS event_type,
         NOT (event_id % 61 = 0 OR event_id % 67 = 0) AS has_time, event_id % 29 = 0 AS broken,

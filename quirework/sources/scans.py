@@ -9,23 +9,15 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..operators import rules
 
-HEAD_BYTES = 1024
-
 CUSTOMERS = T.StructType([
     T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()), T.StructField("c_nationkey", T.IntegerType()),
     T.StructField("c_acctbal", T.DoubleType()), T.StructField("c_mktsegment", T.StringType())])
 
 
-def file_facts(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Every file's name, size and verdict. Sizes come from the listing alone; bytes are read only for files
-    within the ceiling (the length filter is pushed into the source), and only their head goes on."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    ceiling = rules.CEILING_BYTES
-    over = files.where((F.col("length") > ceiling) | (F.col("length") == 0)).select("path", "length", F.lit(None).cast("binary").alias("head"))
-    within = files.where((F.col("length") <= ceiling) & (F.col("length") > 0)).select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
-    d = within.unionByName(over)
-    return d.select(F.substring_index("path", "/", -1).alias("name"), "length", rules.sniff("head").alias("container"),
-                    rules.intake("length", "head").alias("refused"))
+def file_facts(listing: DataFrame, name: str, length: str, head: str, ceiling: int = rules.CEILING_BYTES) -> DataFrame:
+    """Every file's name, size, container and verdict from a listing that holds its leading bytes. Files over the
+    ceiling are refused by size; nothing is left out."""
+    return listing.select(F.col(name).alias("name"), F.col(length).alias("length"), rules.sniff(head).alias("container"), rules.intake(length, head, ceiling).alias("refused"))
 
 
 def quality_violations(rows: DataFrame, not_null: list[str], checks: dict[str, str]) -> DataFrame:
@@ -49,6 +41,11 @@ def package_licences(metadata: DataFrame, text: str) -> DataFrame:
     return d.where("_p.name is not null").select("_p.name", "_p.version", rules.licence_text(plain, kind, many).alias("licence"))
 
 
-def event_files(spark: SparkSession, folder: str, glob: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of the parquet files that land in a folder, a bounded number per micro-batch."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def event_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of the parquet files of a table, be it a folder of files or one file, a bounded number per
+    micro-batch. What is built on it must not depend on that number."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return stream.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
+    return stream.parquet(path)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ordered, purchases, survey
+from ..operators import ordered, purchases
 from ..operators.rules import is_third_party, url_parts
+from ..session import cut_lineage
 
 STASH_US = 10 * 60 * 1_000_000
 PENDING_US = 24 * 60 * 60 * 1_000_000
 CHUNK_US = 60 * 60 * 1_000_000
-RETRY_WINDOW = "3 days"
+CLOCK_SLACK_US = 60 * 1_000_000
+BUCKETS = 64
 
 
 # -- running a stream to its end -------------------------------------------------------------------
@@ -52,9 +54,10 @@ def purchase_status(decisions: DataFrame) -> DataFrame:
     return purchases.purchase_state(decisions)
 
 
-def once_per_event(decisions: DataFrame, event: str, at: str) -> DataFrame:
-    """Each event id once inside the sender's retry window."""
-    return decisions.withWatermark(at, RETRY_WINDOW).dropDuplicatesWithinWatermark([event])
+def once_per_event(decisions: DataFrame, event: str) -> DataFrame:
+    """Each event id once, however late it comes again. The ids seen are keyed state, one small row each, spread
+    over the cluster; a time limit on them would drop late first deliveries too."""
+    return decisions.dropDuplicates([event])
 
 
 def egress_counter(requests: DataFrame, own_origin: str) -> DataFrame:
@@ -79,30 +82,74 @@ def phase_timeline(requests: DataFrame) -> DataFrame:
         F.count("*").alias("requests"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-# -- keyed upserts into a versioned table --------------------------------------------------------------
+# -- keyed upserts into a bucketed table ---------------------------------------------------------------
 
 
-class VersionedTable:
-    """A table kept as numbered versions in the shared folder. A batch writes version n+1 from n; a retried
-    batch writes the same version again, so the outcome does not depend on how often it ran."""
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
+class BucketedTable:
+    """A keyed table in the shared folder, cut into buckets by key. A batch reads and writes only the buckets that
+    its keys fall in, under its own number; the newest version of a bucket, found in the folder, is what counts. A
+    retried batch starts from the versions before its own and writes its own again. Batches carry the key as the
+    table holds it."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+
+    def _versions(self, before: int) -> DataFrame | None:
+        """(bucket, version) of the newest version of each bucket. Reads the folder's names, no rows."""
+        if not _exists(self.spark, self.path):
+            return None
+        held = self._all().where(F.col("table_version") < before).select("table_bucket", "table_version")
+        return held.groupBy("table_bucket").agg(F.max("table_version").alias("table_version"))
+
+    def _all(self) -> DataFrame:
+        schema = f"{self.schema}, held boolean, table_version int, table_bucket int"
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(f"{self.path}/table_version=*")
+
+    def read(self, before: int = 2**31 - 1, buckets: DataFrame | None = None) -> DataFrame:
+        """The table as it stood before a batch, or now; only some buckets, if given."""
+        newest = self._versions(before)
+        if newest is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
+        if buckets is not None:
+            newest = newest.join(buckets, "table_bucket")
+        rows = self._all().join(F.broadcast(newest), ["table_bucket", "table_version"])  # at most one row per bucket
+        return rows.where("held").drop("held", "table_version", "table_bucket")
 
     def upsert(self, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+        """``merge(held rows of the touched buckets, batch) -> all rows of those buckets``."""
         def write(batch: DataFrame, number: int) -> None:
-            merge(self.read(number - 1), batch).write.mode("overwrite").parquet(f"{self.path}/v{number}")
-            self.last = number
-        self.last = -1
+            touched = cut_lineage(batch.select(bucket_of(self.key).alias("table_bucket")).distinct())
+            merged = merge(self.read(number, touched), batch).withColumn("table_bucket", bucket_of(self.key)).join(F.broadcast(touched), "table_bucket", "left_semi")
+            # One empty row per bucket says that this version replaces the older one even when nothing is left.
+            rows = merged.withColumn("held", F.lit(True)).unionByName(touched.withColumn("held", F.lit(False)), allowMissingColumns=True)
+            rows.write.mode("overwrite").partitionBy("table_bucket").parquet(f"{self.path}/table_version={number}")
+            self._forget(number)
         return write
 
+    def _forget(self, number: int) -> None:
+        """Removes versions that neither the table nor a repeat of this batch can need."""
+        needed = {r["table_version"] for before in (number, number + 1) for r in self._versions(before).select("table_version").distinct().collect()}
+        have = {r["table_version"] for r in self._all().select("table_version").distinct().collect()}
+        for v in have - needed - {number}:
+            _folder(self.spark, f"{self.path}/table_version={v}", remove=True)
+
     def latest(self) -> DataFrame:
-        return self.read(self.last)
+        return self.read()
+
+
+def _folder(spark: SparkSession, path: str, remove: bool = False) -> bool:
+    """Whether a folder of the shared storage is there; removes it on request."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.delete(at, True) if remove else fs.exists(at)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _folder(spark, path)
 
 
 PURCHASE_ROWS = "txn string, action string, uid string, email string, occurred_at timestamp, arrival_seq long, event_id long"
@@ -126,42 +173,42 @@ ANSWERS = "email string, profession string, spends_too_long string, cadence stri
 
 
 def merge_answers(held: DataFrame, batch: DataFrame) -> DataFrame:
-    """Later answers replace earlier ones whole, NULLs included."""
+    """Later answers replace earlier ones whole, NULLs included. ``batch`` is cleaned: its addresses are the table's keys."""
     cols = ["profession", "spends_too_long", "cadence", "at", "event_id"]
-    both = held.unionByName(survey.cleaned(batch).select("email", *cols))
+    both = held.unionByName(batch.select("email", *cols))
     return both.groupBy("email").agg(F.max_by(F.struct(*cols), F.struct("at", "event_id")).alias("_l")).select("email", "_l.*")
 
 
-# -- ordered state carried from batch to batch -----------------------------------------------------------
+# -- order-dependent outcomes ------------------------------------------------------------------------------
 #
-# These rules depend on the order of one key's events. A per-key state function would see a key's rows in
-# no set order and would make a hot key one task's work. Here a batch is joined by the few rows per key that
-# still matter, and the ordered operators, which cut any key into chunks, give every row its outcome.
+# What an event did depends on the order of its key's events, and files bring them in any order. All events are kept
+# in a log, bucketed by key; a batch works out anew the outcomes of the keys it touches, over their whole history,
+# and the last outcome written for an event counts. So the result is that of the batch form, however the
+# input was cut into files and batches. The ordered operators cut any key into chunks, so a hot key is no task's load.
+
 
+def replay(stream: DataFrame, log: str, out: str, checkpoint: str, key: str, outcomes: Callable[[DataFrame], DataFrame]) -> None:
+    """Run the stream to its end; ``outcomes(all events of the touched keys)`` is written to ``out`` per batch."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
 
-def carry(stream: DataFrame, table: VersionedTable, out: str, checkpoint: str,
-          step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> None:
-    """Run ``step(held, batch) -> (outcomes, new held)`` over the stream; both are written once per batch."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        outcomes, held = step(table.read(number - 1), batch)
-        outcomes.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        held.write.mode("overwrite").parquet(f"{table.path}/v{number}")
-        table.last = number
-        batch.unpersist()
+        rows = batch.withColumn("bucket", bucket_of(key))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
+        held = batch.sparkSession.read.schema(f"{schema}, batch int, bucket int").option("basePath", log).parquet(f"{log}/batch=*").where(F.col("batch") <= number)
+        now = held.where(F.col("batch") == number)
+        touched = now.select("bucket").distinct()
+        history = held.join(F.broadcast(touched), "bucket", "left_semi").join(now.select(key).distinct(), key, "left_semi")  # at most one row per bucket
+        done = outcomes(cut_lineage(history.drop("batch", "bucket").distinct()))
+        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     drain(stream, write, checkpoint, "append")
 
 
-def ledger_step(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each delivery did to its purchase, and the purchases after it. ``held`` has PURCHASE_ROWS."""
+def ledger(decided: DataFrame, log: str, out: str, checkpoint: str) -> None:
+    """What each delivery did to its purchase: (txn, event_id, outcome); read with ``latest_rows``."""
     cols = ["txn", "action", "uid", "email", "occurred_at", "arrival_seq", "event_id"]
-    acted = batch.where("action <> 'ignore'").select(*cols, F.lit(False).alias("held"))
-    both = held.select(*cols, F.lit(True).alias("held")).unionByName(acted)
-    said = purchases.delivery_reasons(both).where("not held").select("txn", "event_id", "outcome")
-    return said, merge_purchases(held, batch)
-
-
-STASH_ROWS = "owner long, event_id long, at timestamp_ntz, what string"
+    acted = decided.where("action <> 'ignore'").select(*cols)
+    replay(acted, log, out, checkpoint, "txn", lambda d: purchases.delivery_reasons(d).select("txn", "event_id", "outcome"))
 
 
 def stash_outcomes(events: DataFrame) -> DataFrame:
@@ -180,32 +227,17 @@ def stash_outcomes(events: DataFrame) -> DataFrame:
                                                F.when(outcome == "taken", p["event_id"]).alias("stashed"))
 
 
-def stash_step(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cols = ["owner", "event_id", "at", "what"]
-    both = held.select(*cols, F.lit(True).alias("held")).unionByName(batch.select(*cols, F.lit(False).alias("held")))
-    said = stash_outcomes(both).where("not held").select("owner", "event_id", "outcome", "stashed")
-    act = F.col("what").isin("stash", "claim")
-    row, when = F.struct("event_id", "at", "what"), F.struct("at", "event_id")
-    last = both.groupBy("owner").agg(F.max_by(row, F.when(act, when)).alias("a"), F.max_by(row, F.when(~act, when)).alias("b"))
-    return said, last.select("owner", F.explode(F.array_compact(F.array("a", "b"))).alias("r")).select("owner", "r.*")
-
-
-def pending_outcomes(events: DataFrame, now: Column) -> DataFrame:
-    """A reported purchase stays pending until confirmed, replaced by a newer report, or a day old.
-
-    A note with no later event and less than a day old at ``now`` is still open: its outcome is NULL.
-    """
+def pending_notes(events: DataFrame) -> DataFrame:
+    """Each reported purchase with what came next for its owner: (owner, event_id, us, next_what, next_us)."""
     e = events.where(F.col("what").isin("pending", "confirm")).withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
     e = ordered.neighbours(e, ["owner"], ["us", "event_id"], ordered.chunk_of("us", CHUNK_US), F.struct("what", "us"), nxt="next")
-    n = F.col("next.v")
-    late = F.coalesce(n["us"], now) - F.col("us") >= PENDING_US
-    outcome = F.when(late, "expired").when(n["what"] == "confirm", "confirmed").when(n["what"] == "pending", "replaced")
-    return e.where("what = 'pending'").select("owner", "event_id", "at", "what", outcome.alias("outcome"))
-
-
-def pending_step(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cols = ["owner", "event_id", "at", "what"]
-    both = held.select(*cols).unionByName(batch.select(*cols))
-    now = both.agg(F.unix_micros(F.max("at").cast("timestamp"))).scalar()
-    all_notes = pending_outcomes(both, now)
-    return all_notes.where("outcome is not null").select("owner", "event_id", "outcome"), all_notes.where("outcome is null").select(*cols)
+    return e.where("what = 'pending'").select("owner", "event_id", "us", F.col("next.v.what").alias("next_what"), F.col("next.v.us").alias("next_us"))
+
+
+def pending_verdict(notes: DataFrame, now: Column) -> DataFrame:
+    """A reported purchase stays pending until confirmed, replaced by a newer report, or a day old; one that lies
+    more than a minute ahead of the clock is refused. A note still open at ``now`` has no outcome: NULL."""
+    late = F.coalesce(F.col("next_us"), now) - F.col("us") >= PENDING_US
+    outcome = (F.when(F.col("us") > now + CLOCK_SLACK_US, "refused").when(late, "expired")
+               .when(F.col("next_what") == "confirm", "confirmed").when(F.col("next_what") == "pending", "replaced"))
+    return notes.select("owner", "event_id", outcome.alias("outcome"))

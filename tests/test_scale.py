@@ -1,16 +1,19 @@
 """The ordered operators on groups cut into many chunks, against plain windows; streams over several files."""
 
 import glob
+import os
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quirework.operators import ordered, pages, purchases
+from quirework.operators import audit, graphs, ordered, pages, purchases, survey
 from quirework.plans.catalog_rules import decisions
 from quirework.plans.catalog_streams import StreamTables
 from quirework.plans.facts import Tables
 from quirework.session import fits_broadcast
+from quirework.sources import scans
 from quirework.streaming import flows
 
 
@@ -26,8 +29,15 @@ def same(a, b):
     return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.fixture(params=[ordered.CHUNK, 40])
+def chunk_rows(request, monkeypatch):
+    """Groups that fit a chunk, and groups of many chunks on several levels."""
+    monkeypatch.setattr(ordered, "CHUNK", request.param)
+    monkeypatch.setattr(ordered, "STEP", 16)
+
+
 @pytest.mark.parametrize("size", [1, 97, 100000])
-def test_running_and_number(skewed, size):
+def test_running_and_number(skewed, size, chunk_rows):
     w = Window.partitionBy("k").orderBy("o")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     chunk = ordered.chunk_of("o", size)
@@ -39,7 +49,7 @@ def test_running_and_number(skewed, size):
 
 
 @pytest.mark.parametrize("ahead", [True, False])
-def test_neighbour(skewed, ahead):
+def test_neighbour(skewed, ahead, chunk_rows):
     w = Window.partitionBy("k").orderBy("o")
     want = skewed.select("k", "o", F.coalesce((F.lead if ahead else F.lag)(F.coalesce("v", F.lit(-5).cast("long"))).over(w), F.lit(-9)))
     got = ordered.neighbours(skewed, ["k"], ["o"], ordered.chunk_of("o", 97), F.col("v"), **({"nxt": "x"} if ahead else {"prev": "x"}))
@@ -71,77 +81,135 @@ def test_broadcast_needs_a_measured_bound(spark, monkeypatch):
     assert not fits_broadcast(small, ["t"])
 
 
-@pytest.fixture(scope="module")
-def split_events(spark, folder, tmp_path_factory):
-    """The events in four files, by arrival, with the first file's deliveries repeated in the last."""
+LAYOUTS = ["one file", "folder", "in time order", "shuffled"]
+
+
+@pytest.fixture(scope="module", params=LAYOUTS)
+def live(request, spark, folder, tmp_path_factory):
+    """The events as one file, as a folder, and as four files one per micro-batch, in time order and not."""
     out = tmp_path_factory.mktemp("events")
     e = spark.read.parquet(f"{folder}/events.parquet")
-    for t in ["pages"]:
-        spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{out}/{t}.parquet")
-    arrival = F.col("event_id") * 7919 % 1000003
-    cuts = [r[0] for r in e.select(arrival.alias("a")).orderBy("a").collect()]
-    n = len(cuts) // 4
-    import shutil
-    import time
-    for i in range(4):
-        lo, hi = cuts[i * n], cuts[(i + 1) * n] if i < 3 else 10 ** 9
-        part = e.where((arrival >= lo) & (arrival < hi)).coalesce(1)
-        part.write.parquet(f"{out}/part{i}")
-        shutil.copy(glob.glob(f"{out}/part{i}/*.parquet")[0], f"{out}/events-{i}.parquet")
-        time.sleep(0.05)
-    return str(out)
-
-
-class FourFiles(StreamTables):
-    @property
-    def events(self):
-        s = self.spark
-        schema = s.read.parquet(f"{self.folder}/events-0.parquet").schema
-        return s.readStream.schema(schema).option("pathGlobFilter", "events-*.parquet").option("maxFilesPerTrigger", 1).parquet(self.folder)
-
-
-def test_purchase_streams_over_several_batches(spark, folder, split_events, tmp_path):
-    want = purchases.purchase_state(decisions(Tables(spark, folder))).select("txn", "status", "uid", "email", "last_event")
-    live = FourFiles(spark, split_events)
-    table = flows.VersionedTable(spark, str(tmp_path / "p"), flows.PURCHASE_ROWS)
-    flows.carry(decisions(live), table, str(tmp_path / "out"), str(tmp_path / "cp"), flows.ledger_step)
-    assert table.last == 3
-    assert same(purchases.purchase_state(table.latest()).select(*want.columns), want)
-    reasons = purchases.delivery_reasons(decisions(Tables(spark, folder))).select("txn", "event_id", "outcome")
-    assert same(spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).select(*reasons.columns), reasons)
-    flows.drain(flows.purchase_status(decisions(FourFiles(spark, split_events))), flows.append_batches(str(tmp_path / "s")), str(tmp_path / "cp2"))
+    at = f"{out}/events.parquet"
+    if request.param == "one file":
+        at = f"{folder}/events.parquet"
+    elif request.param == "folder":
+        e.repartition(3).write.parquet(at)
+    else:
+        order = "ts" if request.param == "in time order" else F.xxhash64("event_id")
+        n = e.count() // 4 + 1
+        ranked = e.withColumn("n", F.row_number().over(Window.orderBy(order, "event_id")) - 1).cache()
+        for i in range(4):
+            ranked.where(F.floor(F.col("n") / n) == i).drop("n").coalesce(1).write.mode("append").parquet(at)
+            time.sleep(0.05)
+
+    class Live(StreamTables):
+        @property
+        def events(self):
+            return scans.event_files(self.spark, at, e.schema, files_per_batch=1)
+
+    return Live(spark, folder)
+
+
+@pytest.fixture(scope="module")
+def whole(spark, folder):
+    return Tables(spark, folder)
+
+
+def test_purchase_streams(spark, live, whole, tmp_path):
+    want = purchases.purchase_state(decisions(whole)).select("txn", "status", "uid", "email", "last_event")
+    table = flows.BucketedTable(spark, str(tmp_path / "p"), flows.PURCHASE_ROWS, "txn")
+    flows.drain(decisions(live), table.upsert(flows.merge_purchases), str(tmp_path / "c1"), "append")
+    again = flows.BucketedTable(spark, str(tmp_path / "p"), flows.PURCHASE_ROWS, "txn")
+    flows.drain(decisions(live), again.upsert(flows.merge_purchases), str(tmp_path / "c1"), "append")  # a restart with nothing new
+    assert same(purchases.purchase_state(again.latest()).select(*want.columns), want)
+    flows.ledger(decisions(live), str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "c2"))
+    reasons = purchases.delivery_reasons(decisions(whole)).select("txn", "event_id", "outcome")
+    assert same(flows.latest_rows(spark, str(tmp_path / "out"), ["txn", "event_id"]).select(*reasons.columns), reasons)
+    flows.drain(flows.purchase_status(decisions(live)), flows.append_batches(str(tmp_path / "s")), str(tmp_path / "c3"))
     assert same(flows.latest_rows(spark, str(tmp_path / "s"), ["txn"]).select(*want.columns), want)
 
 
-def ordered_files(spark, folder, out):
-    import shutil
-    e = spark.read.parquet(f"{folder}/events.parquet")
-    n = e.count() // 4 + 1
-    import time
-    for i in range(4):
-        e.where((F.col("event_id") >= i * n) & (F.col("event_id") < (i + 1) * n)).coalesce(1).write.parquet(f"{out}/part{i}")
-        (out / "src").mkdir(exist_ok=True)
-        shutil.copy(glob.glob(f"{out}/part{i}/*.parquet")[0], f"{out}/src/events-{i}.parquet")
-        time.sleep(0.05)
-
-
-def test_claims_and_notes_over_several_batches(spark, folder, tmp_path):
-    ordered_files(spark, folder, tmp_path)
-    whole = Tables(spark, folder).stash_events
-    t = flows.VersionedTable(spark, str(tmp_path / "st"), flows.STASH_ROWS)
-    flows.carry(FourFiles(spark, str(tmp_path / "src")).stash_events, t, str(tmp_path / "o1"), str(tmp_path / "c1"), flows.stash_step)
-    got = spark.read.option("basePath", str(tmp_path / "o1")).parquet(str(tmp_path / "o1"))
-    assert same(got.select("owner", "event_id", "outcome", "stashed"), flows.stash_outcomes(whole).select("owner", "event_id", "outcome", "stashed"))
-    p = flows.VersionedTable(spark, str(tmp_path / "pn"), flows.STASH_ROWS)
-    flows.carry(FourFiles(spark, str(tmp_path / "src")).stash_events, p, str(tmp_path / "o2"), str(tmp_path / "c2"), flows.pending_step)
-    now = whole.agg(F.unix_micros(F.max("at").cast("timestamp"))).scalar()
-    want = flows.pending_outcomes(whole, now).where("outcome is not null").select("owner", "event_id", "outcome")
-    got = spark.read.option("basePath", str(tmp_path / "o2")).parquet(str(tmp_path / "o2"))
-    assert same(got.select("owner", "event_id", "outcome"), want)
+def test_each_event_once(spark, live, whole, tmp_path):
+    d = decisions(live).select("event_id", "action")
+    flows.drain(flows.once_per_event(d.unionByName(d), "event_id"), flows.append_batches(str(tmp_path / "o")), str(tmp_path / "c"), "append")
+    assert same(spark.read.parquet(str(tmp_path / "o")).select("event_id", "action"), decisions(whole).select("event_id", "action"))
+
+
+def test_survey_answers(spark, live, whole, tmp_path):
+    table = flows.BucketedTable(spark, str(tmp_path / "a"), flows.ANSWERS, "email")
+    flows.drain(survey.cleaned(live.survey), table.upsert(flows.merge_answers), str(tmp_path / "c"), "append")
+    empty = spark.createDataFrame([], flows.ANSWERS)
+    cols = ["email", "profession", "event_id"]
+    assert same(table.latest().select(*cols), flows.merge_answers(empty, survey.cleaned(whole.survey)).select(*cols))
+
+
+def test_claims_and_notes(spark, live, whole, tmp_path):
+    flows.replay(live.stash_events, str(tmp_path / "l1"), str(tmp_path / "o1"), str(tmp_path / "c1"), "owner", flows.stash_outcomes)
+    got = flows.latest_rows(spark, str(tmp_path / "o1"), ["owner", "event_id"])
+    cols = ["owner", "event_id", "outcome", "stashed"]
+    assert same(got.select(*cols).fillna(-1), flows.stash_outcomes(whole.stash_events).select(*cols).fillna(-1))
+    flows.replay(live.stash_events, str(tmp_path / "l2"), str(tmp_path / "o2"), str(tmp_path / "c2"), "owner", flows.pending_notes)
+    now = whole.stash_events.agg(F.unix_micros(F.max("at").cast("timestamp"))).scalar()
+    got = flows.pending_verdict(flows.latest_rows(spark, str(tmp_path / "o2"), ["owner", "event_id"]), now)
+    assert same(got.fillna("open"), flows.pending_verdict(flows.pending_notes(whole.stash_events), now).fillna("open"))
+
+
+def test_counters(spark, live, whole, tmp_path):
+    flows.drain(flows.phase_timeline(live.requests), flows.append_batches(str(tmp_path / "t")), str(tmp_path / "c"))
+    got = flows.latest_rows(spark, str(tmp_path / "t"), ["phase", "host", "rtype"])
+    want = flows.phase_timeline(whole.requests)
+    assert same(got.select(*want.columns), want)
+
+
+def test_old_versions_go(spark, tmp_path):
+    table = flows.BucketedTable(spark, str(tmp_path / "t"), "k long, v long", "k")
+
+    def merge(held, batch):
+        return held.unionByName(batch).groupBy("k").agg(F.max("v").alias("v"))
+
+    write = table.upsert(merge)
+    for n in range(4):
+        write(spark.createDataFrame([(1, n), (100 + n, n)], "k long, v long"), n)
+        write(spark.createDataFrame([(1, n), (100 + n, n)], "k long, v long"), n)  # the same batch once more
+    assert sorted(map(tuple, table.latest().collect())) == [(1, 3), (100, 0), (101, 1), (102, 2), (103, 3)]
+    write(spark.createDataFrame([(k, 9) for k in (1, 100, 101, 102, 103)], "k long, v long"), 4)
+    write(spark.createDataFrame([(k, 10) for k in (1, 100, 101, 102, 103)], "k long, v long"), 5)
+    assert sorted(os.path.basename(x) for x in glob.glob(f"{tmp_path}/t/table_version=*")) == ["table_version=4", "table_version=5"]
+
+
+def test_deep_trees(spark):
+    """Chains of any depth, and circles."""
+    rows = []
+    for doc, depth in ((1, 20), (2, 40), (3, 200)):
+        rows += [(doc, i, i - 1 if i else None, i if i == depth - 1 else None) for i in range(depth)]
+    rows += [(4, 0, None, None), (4, 1, 0, None), (4, 2, 3, 7), (4, 3, 4, None), (4, 4, 2, None)]
+    d = spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, page_index long")
+    levels = {(r[0], r[1]): r[2] for r in graphs.outline_levels(d).collect()}
+    assert levels == {(doc, i): i for doc, i, *_ in rows if doc < 4 or i < 2}
+    kept = graphs.keep_with_survivors(d.withColumn("ok", F.col("page_index").isNotNull()), "ok").select("doc_id", "node_id").collect()
+    assert {tuple(r) for r in kept} == {(doc, i) for doc, i, *_ in rows if doc < 4 or i >= 2}
+    roots = {(r[0], r[1]): r[2] for r in graphs.named_root(d.withColumn("is_field", F.lit(True))).collect()}
+    assert roots == {(doc, i): (0 if doc < 4 or i < 2 else None) for doc, i, *_ in rows}
+
+
+def test_phrases_join_on_equality_only(spark):
+    texts = spark.createDataFrame([(1, "a bc def the ghi"), (2, "xyz"), (3, ""), (4, "the the")], "k long, text string")
+    phrases = spark.createDataFrame([(1, "a"), (2, "bc d"), (3, "c def t"), (4, "yz"), (5, "e t"), (6, ""), (7, "the"), (8, "q")], "phrase_id long, phrase string")
+    want = {(k, p) for k, t in texts.collect() for p, s in phrases.collect() if s and s in t}
+    for fits in (True, False):
+        d = audit.phrase_hits(texts, "k", phrases, fits)
+        assert {tuple(r) for r in d.collect()} == want and d.count() == len(want)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ranges_of_an_empty_set(spark):
+    d = spark.createDataFrame([(1, 3)], "d long, p long")
+    got = pages.describe_ranges(d, ["d"], "p", groups=spark.createDataFrame([(1,), (2,)], "d long")).collect()
+    assert {tuple(r) for r in got} == {(1, "4"), (2, "none")}
 
 
 def test_limit_is_pushed_below_the_shuffle(skewed):
-    from quirework.operators import audit
     d = audit.first_n(skewed, ["k"], "o", 4)
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
