@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are the words of a text and the character 5-grams of its words. ``TERMS`` of them are chosen by their
-chi-square with the label over the examples; a text's vector holds (1 + log count) x idf of its chosen terms, at length
+chi-square with the label over the examples, among those that speak for toxicity: more common among toxic examples,
+and in at most ``STOP`` of the others (the rest is taken for stop words). A text's vector holds (1 + log count) x idf of its chosen terms, at length
 one. The examples are a bounded sample: per label the ``EXAMPLES`` learning rows whose doc_id hashes lowest. Their
 vectors make an inverted index whose postings are cut into blocks of examples; per term and block the largest weight
 bounds what the block can reach, and blocks are scored, best bound first, until no bound beats the ``NEAREST``-th
@@ -32,6 +33,7 @@ from .words import mix
 
 EXAMPLES = 3000  # per label
 TERMS = 1500
+STOP = 0.05
 LEAST_EXAMPLES = 5  # a term must occur in so many examples
 GRAM = 5
 BLOCK = 64
@@ -99,7 +101,9 @@ def chosen_terms(rows: DataFrame, n: dict[int, int], most: int) -> DataFrame:
     df = narrow(rows.select("text", "y")).mapInArrow(count, "term long, pos long, all long").groupBy("term").agg(F.sum("pos").cast("double").alias("a"), F.sum("all").cast("double").alias("d"))
     off = F.col("a") * F.lit(total) - F.col("d") * F.lit(p)
     chi = off * off / (F.col("d") * (F.lit(total) - F.col("d") + 1) * F.lit(max(p * (total - p), 1.0)))
-    ranked = df.where(F.col("d") >= LEAST_EXAMPLES).select("term", F.log(F.lit(total + 1) / F.col("d")).alias("idf"), chi.alias("chi"))
+    clean = F.col("d") - F.col("a")
+    df = df.where((F.col("d") >= LEAST_EXAMPLES) & (off > 0) & (clean <= STOP * (total - p)))
+    ranked = df.select("term", F.log(F.lit(total + 1) / F.col("d")).alias("idf"), chi.alias("chi"))
     return ranked.orderBy(F.desc("chi"), "term").limit(most)
 
 
