@@ -1,4 +1,7 @@
-"""Result sentences, each built from a run's own counts (fixed wording, one branch per case)."""
+"""Result sentences, each built from a run's own counts.
+
+All wording in this file is fixed values: it is what a reader is shown, one branch per case.
+"""
 
 from __future__ import annotations
 

@@ -24,6 +24,7 @@ TITLE_RANGE, DESCRIPTION_RANGE = (15, 70), (50, 165)
 # What every page must carry, as (label, pattern).
 MUST = [("a skip link", r'class="skip-link"'), ("a main landmark", r'<main[^>]*id="main"'), ("exactly one h1", r"<h1"),
         ("a net readout", r"data-netreadout(?![0-9A-Za-z_])"), ("the instrumentation bundle", r"assets/net-[A-Z0-9]{8}\.js")]
+# Inline handlers, and what a page's own script is called.
 INLINE_HANDLER = r"(?i)\son(click|load|error|submit|change)="
 OWN_SCRIPT = r"^/assets/[\w.-]+\.js$"
 # Harness pages that are not part of the site.
@@ -249,9 +250,9 @@ def nearest_gap(pages: DataFrame, key: str, text: str, shapes: dict[str, list[st
     spans = []
     for name, marks in shapes.items():
         at = [F.instr("_t", fold(m)) - 1 for m in marks]
-        last = F.greatest(*at)
-        ends = F.greatest(*[F.when(a == last, a + len(fold(m))) for a, m in zip(at, marks)])
-        spans.append(F.when(F.least(*at) >= 0, F.struct(F.lit(name).alias("shape"), F.least(*at).alias("lo"), ends.alias("hi"))))
+        first, last = F.array_min(F.array(*at)), F.array_max(F.array(*at))
+        ends = F.array_max(F.array(*[F.when(a == last, a + len(fold(m))) for a, m in zip(at, marks)]))
+        spans.append(F.when(first >= 0, F.struct(F.lit(name).alias("shape"), first.alias("lo"), ends.alias("hi"))))
     d = d.select(key, F.explode(F.array_compact(F.array(*spans))).alias("s"), mention_starts(F.col("_t"), fold(line)).alias("starts"))
     lo, hi = F.col("s.lo"), F.col("s.hi")
     gap = F.array_min(F.transform("starts", lambda i: F.when(i.between(lo, hi), 0).when(i < lo, lo - i).otherwise(i - hi))).cast("long")

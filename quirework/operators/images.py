@@ -45,8 +45,11 @@ def placed_images(images: DataFrame, placements: DataFrame, masks: DataFrame) ->
             .withColumn("is_soft_mask", F.coalesce("_mask", F.lit(False))).drop("_mask"))
 
 
-def skip_reason(i: str = "") -> Column:
-    """Why an image is left alone; NULL means it can be re-encoded. Rules in order, first one wins."""
+def skip_reason() -> Column:
+    """Why an image is left alone; NULL means it can be re-encoded. Rules in order, first one wins.
+
+    The wording is fixed values: it is what a reader is shown.
+    """
     filters, space, bpc = F.col("filters"), F.coalesce("color_space", F.lit("")), F.col("bpc")
     bad = F.try_element_at(F.filter(filters, lambda f: f.isin(BAD_FILTERS)), F.lit(1))
     bad_words = first_match([
@@ -94,7 +97,7 @@ def apply_plan(df: DataFrame, plan: Column) -> DataFrame:
 
 
 def outcome(planned: Column, new_bytes: Column, old_bytes: Column) -> Column:
-    """Never hand back something bigger than what was there."""
+    """A new stream takes the place of the old one only when it is smaller."""
     return first_match([(~planned, "kept"), (new_bytes.isNull(), "undecodable"), (new_bytes >= old_bytes, "not-smaller")], "replaced")
 
 
@@ -177,10 +180,10 @@ def size_search(measurements: DataFrame) -> DataFrame:
 
 
 def estimate_quality(df: DataFrame, table: str, base: list[int], out: str = "quality") -> DataFrame:
-    """Quality that explains a 64-entry quantisation table, NULL when one scale does not explain it.
+    """The quality setting behind a 64-entry quantisation table, or NULL.
 
-    Entries of 1 and 255 have lost their information. The upper median of the remaining scales is the
-    table's scale; a residual of more than a step (or 15 %) anywhere means the table is hand-made.
+    Every entry between 2 and 254 gives a scale against the base table (at 1 and 255 it was clipped). Their upper
+    median is tried as the one scale of all: entries further than one step or 15 % from it rule it out.
     """
     luma = F.array(*[F.lit(v) for v in base])
     pairs = F.filter(F.zip_with(table, luma, lambda q, b: F.struct(q.alias("q"), b.alias("b"))), lambda p: (p["q"] > 1) & (p["q"] < 255))

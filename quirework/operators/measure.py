@@ -20,10 +20,12 @@ FLAT_RATIO = 1.1
 def host_summary(requests: DataFrame, own_origin: str) -> DataFrame:
     """Per phase and host: requests, kinds of request, kinds of block, first or third party.
 
-    Kinds fold to one row each before they are joined into text.
+    Requests fold to one row per URL before a URL is taken apart, and kinds to one row each before they are joined
+    into text.
     """
-    r = requests.withColumn("host", url_parts("url")["host"]).withColumn("third", is_third_party("url", own_origin))
-    per = r.groupBy("phase", "host", "rtype", "blocked").agg(F.count("*").alias("n"), F.bool_or("third").alias("third"))
+    r = requests.groupBy("phase", "url", "rtype", "blocked").agg(F.count("*").alias("n"))
+    r = r.select("phase", "rtype", "blocked", "n", url_parts("url")["host"].alias("host"), is_third_party("url", own_origin).alias("third"))
+    per = r.groupBy("phase", "host", "rtype", "blocked").agg(F.sum("n").alias("n"), F.bool_or("third").alias("third"))
     text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return per.groupBy("phase", "host").agg(F.sum("n").alias("requests"), text("rtype").alias("types"),
                                             text("blocked").alias("blocks"), F.bool_or("third").alias("third_party"))

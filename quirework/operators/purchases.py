@@ -13,7 +13,6 @@ EVENT = ("event_id string, event_type string, occurred_at string, data struct<id
          "status string, type string, items array<struct<type string, price struct<id string>>>, "
          "custom_data struct<uid string, email string>>, _corrupt_record string")
 TOLERANCE_SECONDS = 5
-RETRY_WINDOW = "3 days"
 BLOCK = 64
 
 

@@ -19,10 +19,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 def spark():
     builder = SparkSession.builder.master("local[8]").appName("tests").config("spark.ui.enabled", "false")
     builder = builder.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
     s = session.configure(builder).getOrCreate()
     s.sparkContext.setLogLevel("OFF")
-    if s.sparkContext.getCheckpointDir() is None:
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tests-"))
     yield s
     s.stop()
 

@@ -1,4 +1,4 @@
-"""Known inputs and outcomes, and negative controls."""
+"""Known inputs and outcomes (fixed values), and negative controls."""
 
 import datetime as dt
 import hashlib
@@ -88,7 +88,7 @@ def test_levels_depth_and_cycles(spark):
     chain = [(1, i, i - 1 if i else None) for i in range(20)] + [(2, 0, 1), (2, 1, 0), (2, 5, None), (2, 6, 5)]
     o = spark.createDataFrame(chain, "doc_id long, node_id long, parent_id long")
     got = {(r["doc_id"], r["node_id"]): r["level"] for r in graphs.outline_levels(o).collect()}
-    assert got == {**{(1, i): i for i in range(13)}, (2, 5): 0, (2, 6): 1}
+    assert got == {**{(1, i): i for i in range(20)}, (2, 5): 0, (2, 6): 1}
 
 
 def test_reachable_on_a_dense_cyclic_graph(spark):
@@ -103,6 +103,36 @@ def test_field_clash(spark):
     assert sorted(r["new_name"] for r in got) == ["Name", "Name (2)"] and sum(r["renamed"] for r in got) == 1
 
 
+def test_one_bad_file_fails_alone(spark):
+    files = spark.createDataFrame([(1, i, f"f{i}", 10 * i) for i in range(6)], "run_id long, ordinal long, source string, bytes long")
+
+    def work(frame):
+        if (frame["bytes"] == 30).any():
+            raise ValueError("no")
+        return frame.assign(kind="done", reason=None)[["kind", "bytes", "reason"]]
+
+    got = {r["ordinal"]: (r["kind"], r["bytes"], r["reason"]) for r in runs.apply_to_files(files.coalesce(1), work).collect()}
+    assert got == {i: ("failed", None, "ValueError: no") if i == 3 else ("done", 10 * i, None) for i in range(6)}
+
+
+def test_names_keep_their_length(spark):
+    long = "x" * 200
+    r = one(spark, S.safe_name(F.lit(long)), S.safe_name(F.lit(long), 120))
+    assert len(r[0]) == 200 and len(r[1]) == 120
+
+
+def test_nearest_gap_folds_white_space(spark):
+    d = spark.createDataFrame([(1, "<a>\n <b> x the\n line"), (2, "<a> y")], "k long, t string")
+    got = {(r["k"], r["shape"]): (r["gap"], r["near"]) for r in audit.nearest_gap(d, "k", "t", {"two": ["<a> <b>"], "one": ["<a>"]}, "the  line", near=3).collect()}
+    assert got == {(1, "two"): (3, True), (1, "one"): (7, False), (2, "one"): (None, False)}
+
+
+def test_schema_drift(spark):
+    d = spark.createDataFrame([("a", '{"x":1}'), ("a", '{"y":2,"x":null}'), ("b", '{"z":1}')], "kind string, j string")
+    got = {r["kind"]: (r["undeclared"], r["absent"]) for r in audit.schema_drift(d, "kind", "j", ["x", "z"]).collect()}
+    assert got == {"a": ("y", "z"), "b": ("", "x")}
+
+
 def test_merged_size(spark):
     fact, note = sentences.merged_size(F.lit(250000), F.lit(262500))
     assert "12 KB larger" in one(spark, note)[0]
