@@ -24,7 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = cut_lineage(moved.union(least.select("hi", F.col("m").alias("lo"))).distinct())
-        if e.join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty() and e.count() == e.select("hi").distinct().count():
+        hangs = e.select(F.col("hi").alias("lo")).distinct()
+        moving = e.join(hangs, "lo", "left_semi").select("hi").union(e.groupBy("hi").count().where("count > 1").select("hi"))
+        if moving.isEmpty():
             return e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 

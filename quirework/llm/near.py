@@ -3,12 +3,12 @@
 A document's word shingles are hashed to 64 bits. The top bits choose one of ``REGISTERS`` buckets; of the least hash
 in a bucket the register keeps the count of leading zeros and ten mantissa bits, 16 bits in all. Bands of four
 registers propose candidates (a pair of similarity 0.8 is missed with a chance of about 2 in 10,000), the
-collision-corrected estimate from all registers drops hopeless ones (five standard
-deviations off), and the exact
-intersection of the full shingle sets decides. Components follow from distributed union-find.
+collision-corrected estimate from ``FINE`` registers drops pairs that lie ``SPREAD`` standard deviations short of the
+threshold (3 in a million of those at it), and the exact intersection of the full shingle sets decides. Components
+follow from distributed union-find.
 
-Equal sets are one class with its least doc_id before any pair is made, so copies cost one row each; large groups of
-near copies are joined to a few of their members first (see ``links``). A set of fewer than four shingles can only
+Equal sets are one class with its least doc_id before any pair is made, so copies cost one row each; members of a
+large group of near copies are joined to one of them first, and what no link can reach is never paired (``links``). A set of fewer than four shingles can only
 be linked with an equal one at 0.8, so it takes no part in banding.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. With fewer words than a shingle the whole sequence
@@ -30,12 +30,13 @@ from . import links, words
 from .common import cut_lineage, narrow
 
 REGISTERS = 64  # of which bands are made
-FINE = 256  # of which similarity is estimated
+FINE = 512  # of which similarity is estimated
 BANDS = 16
 MANTISSA = 10
 SIMILAR = 80  # percent
 LEAST_SET = 4
 EMPTY = 0xFFFF
+SPREAD = 4.5  # standard deviations short of the threshold at which an estimate drops a pair
 FEW = 32  # an estimate that rests on fewer registers drops nothing
 
 
@@ -117,7 +118,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 
 
 def _hopeful(pairs: DataFrame, similar: int) -> DataFrame:
-    """The pairs whose estimate is not five standard deviations short of the threshold."""
+    """The pairs whose estimate is not far short of the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +127,7 @@ def _hopeful(pairs: DataFrame, similar: int) -> DataFrame:
             regs = [batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, FINE) for c in ("fine_a", "fine_b")]
             got, width = estimate(*regs, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
             t = similar / 100
-            keep = (width < FEW) | (got >= t - 5 * np.sqrt(t * (1 - t) / width))
+            keep = (width < FEW) | (got >= t - SPREAD * np.sqrt(t * (1 - t) / width))
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "a long, b long, n_a long, n_b long")
@@ -168,7 +169,7 @@ def near_components(docs: DataFrame, size: int, similar: int = SIMILAR) -> tuple
     t, used = similar / 100, f"size(filter(zip_with(fine, pfine, (x, y) -> x <> {EMPTY - 2**16} or y <> {EMPTY - 2**16}), z -> z))"
     same = f"size(filter(zip_with(fine, pfine, (x, y) -> x = y and x <> {EMPTY - 2**16}), z -> z))"
     stray = f"sqrt({t * (1 - t)} / {used} * greatest(0.02, 1 - {used} * {1 + t} / (n + pn)))"
-    found = links.linked(members, verify, strength, similar, first=True, likely=f"({used} < {FEW} or {same} >= {used} * ({t} - 5 * {stray}))")
+    found = links.linked(members, verify, strength, similar, first=True, likely=f"({used} < {FEW} or {same} >= {used} * ({t} - {SPREAD} * {stray}))")
     # Rows that share a doc_id but not a text tie their classes together.
     ties = whole.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id")
     ties = cut_lineage(each.join(ties, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
