@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a given tokenizer file; long unsplit texts by tree concatenation.
 
 The default vocabulary drops white space before it merges anything, so what stands between white space is encoded on
-its own, and a task remembers the last ``REMEMBERED`` such pieces. A text with a piece of more than ``LEAF`` characters
+its own, and a worker remembers such pieces. A text with a piece of more than ``LEAF`` characters
 (for a tokenizer that keeps white space: every longer text) is halved down to leaves, which are spread over the cluster
 and encoded in parallel; then neighbours are joined level by level. At a join the text around the cut is encoded again,
 in a window that doubles until its tokens agree with the tokens of both sides; what lies between the two places of
@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import sys
+import types
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -34,23 +36,26 @@ LEAF = 1 << 13
 REMEMBERED = 300_000
 WINDOW = 8
 
-_HELD: dict = {}
-
-
 def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held(what: str, path: str, make):
+    """What a worker process keeps from task to task: made once per tokenizer file."""
+    cache = sys.modules.setdefault("_quirework_llm_held", types.ModuleType("_quirework_llm_held")).__dict__
+    if (what, path) not in cache:
+        cache[what, path] = make()
+    return cache[what, path]
+
+
 def tokenizer(path: str):
     """The tokenizer of a file, loaded once per worker process."""
-    if path not in _HELD:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _HELD[path] = Tokenizer.from_file(path)
-    return _HELD[path]
+    return held("tokenizer", path, lambda: Tokenizer.from_file(path))
 
 
 def special_texts(t) -> list[str]:
@@ -141,20 +146,36 @@ KINDS = {
 
 
 class Pieces:
-    """Encodings of what stands between white space: token ids, the ids in decimal, and the decoded text."""
+    """Encodings of what stands between white space: token ids, the ids in decimal, and the decoded text.
+
+    Two generations of at most ``REMEMBERED`` pieces; what is met again moves to the newer one.
+    """
+
+    def __init__(self, t, special: list[str]):
+        self.t, self.new, self.old = t, {}, {}
+        self.special = [x.encode() for x in special]
 
-    def __init__(self, t):
-        self.t, self.held = t, {}
+    def _cut(self, text: str) -> list[bytes]:
+        """At ASCII white space only. The tokenizer lower-cases; special tokens are read before that."""
+        data = text.encode()
+        if not any(x[:2] in data for x in self.special):
+            data = data.lower()
+        return data.split()
 
     def of(self, texts: list[str]) -> list[list[tuple]]:
-        own = [x.encode().split() for x in texts]  # at ASCII white space only
-        new = list({p for row in own for p in row if p not in self.held})
-        if len(self.held) + len(new) > REMEMBERED:
-            self.held, new = {}, list({p for row in own for p in row})
-        ids = [e.ids for e in self.t.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+        own = [self._cut(x) for x in texts]
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        missing = []
+        for p in set(chain.from_iterable(own)).difference(self.new):
+            if p in self.old:
+                self.new[p] = self.old[p]
+            else:
+                missing.append(p)
+        ids = [e.ids for e in self.t.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)]
         decoded = self.t.decode_batch(ids, skip_special_tokens=False)
-        self.held.update((p, (i, " ".join(map(str, i)), d)) for p, i, d in zip(new, ids, decoded))
-        return [[x for x in map(self.held.__getitem__, row) if x[0]] for row in own]
+        self.new.update((p, (i, " ".join(map(str, i)), d)) for p, i, d in zip(missing, ids, decoded))
+        return [[x for x in map(self.new.__getitem__, row) if x[0]] for row in own]
 
 
 def _sha(s: str) -> str:
@@ -202,7 +223,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, kind: str
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        pieces = Pieces(t)
+        pieces = held("pieces", path, lambda: Pieces(t, special_texts(t)))
         for batch in batches:
             for lo, hi in row_slices(batch.column("text"), 1 << 18):
                 own = batch.slice(lo, hi - lo)
