@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import cut_lineage, narrow, row_slices
 
 LEAF = 1 << 13
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 WINDOW = 8
 
 def vocabulary() -> str:
@@ -146,13 +146,13 @@ KINDS = {
 
 
 class Pieces:
-    """Encodings of what stands between white space: token ids, the ids in decimal, and the decoded text.
+    """Encodings of what stands between white space: token ids or (only as many) the ids in decimal, and the decoded text.
 
     Two generations of at most ``REMEMBERED`` pieces; what is met again moves to the newer one.
     """
 
-    def __init__(self, t, special: list[str]):
-        self.t, self.new, self.old = t, {}, {}
+    def __init__(self, t, special: list[str], keep_ids: bool = True):
+        self.t, self.keep_ids, self.new, self.old = t, keep_ids, {}, {}
         self.special = [x.encode() for x in special]
 
     def _cut(self, text: str) -> list[bytes]:
@@ -174,7 +174,8 @@ class Pieces:
                 missing.append(p)
         ids = [e.ids for e in self.t.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)]
         decoded = self.t.decode_batch(ids, skip_special_tokens=False)
-        self.new.update((p, (i, " ".join(map(str, i)), d)) for p, i, d in zip(missing, ids, decoded))
+        for p, i, d in zip(missing, ids, decoded):
+            self.new[p] = (i, "", d) if self.keep_ids else (range(len(i)), " ".join(map(str, i)), d)
         return [[x for x in map(self.new.__getitem__, row) if x[0]] for row in own]
 
 
@@ -223,7 +224,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, kind: str
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        pieces = held("pieces", path, lambda: Pieces(t, special_texts(t)))
+        pieces = held(f"pieces for {kind}", path, lambda: Pieces(t, special_texts(t), kind != "digests"))
         for batch in batches:
             for lo, hi in row_slices(batch.column("text"), 1 << 18):
                 own = batch.slice(lo, hi - lo)

@@ -63,8 +63,10 @@ def test_query_rows(frame):
 @given(st.lists(ALPHABET, max_size=60))
 def test_pieces_are_the_whole_encoding(parts):
     text = "".join(parts)
-    (n, ids, decoded), = zip(*(a.to_pylist() for a in bpe._from_pieces("digests", bpe.Pieces(T, bpe.special_texts(T)).of([text]))))
+    (n, ids, decoded), = zip(*(a.to_pylist() for a in bpe._from_pieces("digests", bpe.Pieces(T, bpe.special_texts(T), keep_ids=False).of([text]))))
     assert (n, ids, decoded) == direct(text)
+    tokens, = bpe._from_pieces("tokens", bpe.Pieces(T, bpe.special_texts(T)).of([text]))
+    assert tokens.to_pylist() == [T.encode(text, add_special_tokens=False).ids]
 
 
 def test_columns_pass_through(spark, frame):
