@@ -48,8 +48,8 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], strengt
     ``members`` has (key, id); ``verify`` keeps the pairs (a, b) of at least ``similar`` per cent Jaccard similarity;
     ``strength`` gives (id, n, u) for ids: set size, and items that no other of these ids has, and further columns that
     the condition ``likely`` may read (of the other member with ``p`` before their names). All members of a group are
-    compared with one of them and components joined; only groups that still hold several go on. ``first`` asks for the
-    strengths before that, which costs more and then picks a member with few items of its own.
+    compared with one that has few items of its own and components joined; only groups that still hold several go on.
+    Unless strengths come ``first``, which costs more, one round with any member thins out the groups before.
 
     What no link can reach drops out exactly, before it is paired: a and b have at most min(n_a - u_a, n_b - u_b) items
     in common and at least n_a + u_b in their union. So a member goes when even the least u of the group's other
@@ -57,28 +57,36 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], strengt
     compared in full, but only across components, only where the bound and ``likely`` allow a link, and a pair only
     under the least key it shares. So no link is lost, and a large group of near copies never becomes all its pairs.
     """
-    live = members.withColumn("comp", F.col("id"))
-    if first:
-        live = _open(live, similar, strength)
-        rank = F.struct(F.floor(20 * F.col("u") / F.col("n")).alias("g"), F.xxhash64("id").alias("h"), "id", "comp")
-    else:
-        rank = F.struct(F.xxhash64("id").alias("h"), "id", "comp")
-    one = live.groupBy("key").agg(F.min(rank).alias("p"))
-    pairs = cut_lineage(_pairs(live.join(one, "key").where(F.col("comp") != F.col("p.comp")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))))
-    good = cut_lineage(verify(pairs).select("a", "b"))
-    labels = None if good.isEmpty() else components(good)
-    if labels is not None:
-        live = live.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    live = _open(live, similar, None if first else strength)
+    live, tested, good, labels = members.withColumn("comp", F.col("id")), None, None, None
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal live, tested, good, labels
+        pairs = _pairs(pairs) if tested is None else _pairs(pairs).join(tested, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs)
+        found = cut_lineage(verify(pairs).select("a", "b"))
+        tested = pairs if tested is None else tested.union(pairs)
+        if not found.isEmpty():
+            good = found if good is None else good.union(found)
+            labels = components(good)
+            live = live.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def with_one(rank: list) -> DataFrame:
+        one = live.groupBy("key").agg(F.min(F.struct(*rank, F.xxhash64("id").alias("h"), "id", "comp")).alias("p"))
+        return live.join(one, "key").where(F.col("comp") != F.col("p.comp")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))
+
+    if not first:
+        compare(with_one([]))
+    live = _open(live, similar, strength)
+    compare(with_one([F.floor(20 * F.col("u") / F.col("n")).alias("g")]))
+    live = _open(live, similar, None)
     if live.isEmpty():
         return labels
     live = cut_lineage(live.join(live.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"))
-    other = live.select("key", *[F.col(c).alias(f"p{c}") for c in live.columns if c != "key"])
+    other = live.select(*[F.col(c).alias(f"p{c}") for c in live.columns])
     bound = f"100 * least(n - u, pn - pu) >= {similar} * (n + pn - least(n - u, pn - pu))"
-    left = live.join(other.withColumnRenamed("key", "pkey"), F.expr(f"key = pkey and comp < pcomp and {bound} and array_min(array_intersect(keys, pkeys)) = pkey and {likely}"))
-    more = cut_lineage(_pairs(left.select(F.col("id").alias("a"), F.col("pid").alias("b"))).join(pairs, ["a", "b"], "left_anti"))
-    found = cut_lineage(verify(more).select("a", "b"))
-    return labels if found.isEmpty() else components(good.union(found))
+    left = live.join(other, F.expr(f"key = pkey and comp < pcomp and {bound} and array_min(array_intersect(keys, pkeys)) = pkey and {likely}"))
+    compare(left.select(F.col("id").alias("a"), F.col("pid").alias("b")))
+    return labels
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
