@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
 import sys
 import types
 import unicodedata
@@ -145,6 +146,11 @@ KINDS = {
 }
 
 
+# Lower-case ASCII letters, then marks without an apostrophe: the tokenizer itself parts the two.
+_WORD_AND_MARKS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+_PLAIN = re.compile(rb"[a-z]+|[!-&(-/:-@\[-`{-~]+")
+
+
 class Pieces:
     """Encodings of what stands between white space: token ids or (only as many) the ids in decimal, and the decoded text.
 
@@ -152,7 +158,7 @@ class Pieces:
     """
 
     def __init__(self, t, special: list[str], keep_ids: bool = True):
-        self.t, self.keep_ids, self.new, self.old = t, keep_ids, {}, {}
+        self.t, self.keep_ids, self.new, self.old, self.blank = t, keep_ids, {}, {}, False
         self.special = [x.encode() for x in special]
 
     def _cut(self, text: str) -> list[bytes]:
@@ -166,17 +172,31 @@ class Pieces:
         own = [self._cut(x) for x in texts]
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        missing = []
+        missing, split = set(), {}
         for p in set(chain.from_iterable(own)).difference(self.new):
             if p in self.old:
                 self.new[p] = self.old[p]
+            elif m := _WORD_AND_MARKS.fullmatch(p):
+                split[p] = m.groups()
+                missing.update(x for x in m.groups() if x not in self.new)
             else:
-                missing.append(p)
-        ids = [e.ids for e in self.t.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)]
+                missing.add(p)
+        # One word of the tokenizer's own goes to its model at once; everything else through the whole tokenizer.
+        plain = [p for p in missing if _PLAIN.fullmatch(p)]
+        other = list(missing.difference(plain))
+        missing = plain + other
+        model = self.t.model
+        ids = [[x.id for x in model.tokenize(p.decode())] for p in plain]
+        ids += [e.ids for e in self.t.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)]
         decoded = self.t.decode_batch(ids, skip_special_tokens=False)
         for p, i, d in zip(missing, ids, decoded):
             self.new[p] = (i, "", d) if self.keep_ids else (range(len(i)), " ".join(map(str, i)), d)
-        return [[x for x in map(self.new.__getitem__, row) if x[0]] for row in own]
+        for p, (a, b) in split.items():
+            a, b = self.new[a], self.new[b]
+            self.new[p] = (a[0] + b[0] if self.keep_ids else range(len(a[0]) + len(b[0])), f"{a[1]} {b[1]}", f"{a[2]} {b[2]}")
+        self.blank = self.blank or not all(ids)  # some Unicode white space standing alone has no token
+        rows = [list(map(self.new.__getitem__, row)) for row in own]
+        return [[x for x in row if x[0]] for row in rows] if self.blank else rows
 
 
 def _sha(s: str) -> str:
@@ -186,8 +206,8 @@ def _sha(s: str) -> str:
 def _from_pieces(kind: str, rows: list[list[tuple]]) -> list[pa.Array]:
     """The columns of ``KINDS[kind]``. Without a decoder, decoding joins the tokens' texts by one space."""
     if kind == "digests":
-        return [pa.array([sum(len(x[0]) for x in r) for r in rows], pa.int64()), pa.array([_sha(" ".join([x[1] for x in r])) for r in rows], pa.string()),
-                pa.array([_sha(" ".join([x[2] for x in r])) for r in rows], pa.string())]
+        ids = [" ".join([x[1] for x in r]) for r in rows]
+        return [pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()), pa.array([_sha(x) for x in ids], pa.string()), pa.array([_sha(" ".join([x[2] for x in r])) for r in rows], pa.string())]
     ids = pa.array([list(chain.from_iterable(x[0] for x in r)) for r in rows], pa.list_(pa.int32()))
     return [ids] if kind == "tokens" else [ids, pa.array([" ".join([x[2] for x in r]) for r in rows], pa.string())]
 
