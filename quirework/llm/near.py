@@ -165,11 +165,13 @@ def near_components(docs: DataFrame, size: int, similar: int = SIMILAR) -> tuple
         own = links.lone_items(sets.join(some, "id"))
         return own.groupBy("id").agg(F.max("n").alias("n"), F.min("u").alias("u")).join(sets.groupBy("id").agg(F.max("fine").alias("fine")), "id")
 
-    # Registers sample the union without putting back, so the more of it they hold the less the estimate strays.
-    t, used = similar / 100, f"size(filter(zip_with(fine, pfine, (x, y) -> x <> {EMPTY - 2**16} or y <> {EMPTY - 2**16}), z -> z))"
-    same = f"size(filter(zip_with(fine, pfine, (x, y) -> x = y and x <> {EMPTY - 2**16}), z -> z))"
-    stray = f"sqrt({t * (1 - t)} / {used} * greatest(0.02, 1 - {used} * {1 + t} / (n + pn)))"
-    found = links.linked(members, verify, strength, similar, first=True, likely=f"({used} < {FEW} or {same} >= {used} * ({t} - {SPREAD} * {stray}))")
+    # One pass over both register rows: 1000 for each that either set uses, 1 for each that is the same. Registers
+    # sample the union without putting back, so the more of it they hold the less the estimate strays.
+    t, none = similar / 100, EMPTY - 2**16
+    seen = f"aggregate(zip_with(fine, pfine, (x, y) -> if(x <> {none} or y <> {none}, if(x = y, 1001, 1000), 0)), 0, (a, v) -> a + v)"
+    stray = f"sqrt({t * (1 - t)} / (v div 1000) * greatest(0.02, 1 - (v div 1000) * {1 + t} / (n + pn)))"
+    likely = f"exists(array({seen}), v -> if(v div 1000 < {FEW}, true, v % 1000 >= (v div 1000) * ({t} - {SPREAD} * {stray})))"
+    found = links.linked(members, verify, strength, similar, first=True, likely=likely)
     # Rows that share a doc_id but not a text tie their classes together.
     ties = whole.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id")
     ties = cut_lineage(each.join(ties, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
