@@ -1,5 +1,7 @@
 """Learnt models: held-out accuracy on the given tables, edge rows, and what may not change a score."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -79,6 +81,15 @@ def test_toxicity(spark, docs, folder):
     assert toxicity.clean(docs, labels).columns == docs.columns
 
 
+def test_toxic_documents_are_found(spark, folder):
+    """The smallest folder has ten toxic examples, too few to learn from; the next one has forty-five."""
+    larger = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.01")
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.report(docs, labels).collect()}
+    held = [(r["toxic"], got[r["doc_id"]]["predicted"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert sum(a and b for a, b in held) >= 0.8 * sum(a for a, _ in held) and sum(b and not a for a, b in held) <= 0.02 * len(held)
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(4)
     m, n = 40, 700
