@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Mark-up is stripped to lines, one per block element. Scripts, styles, forms, menus, page headers and footers, sidebars,
-adverts, notices and reader comments (by element, role, class or id) leave ``SPAN`` empty lines behind, and outside an
-article so do lines that are mostly link text. Text lengths are summed over windows of ``SPAN`` lines; text starts where
+adverts, notices and reader comments (by element, role, class or id) go without a trace, so text goes on behind them;
+outside an article lines that are mostly link text count as empty. Text lengths are summed over windows of ``SPAN`` lines; text starts where
 that sum surges and ends where it dives to nothing. Inside an ``article`` (or ``main``) element any text is a surge;
 without one the sum must reach ``SURGE`` characters or half the page's largest sum, whichever is less. All lines
 between a surge and its dive are kept.
@@ -56,7 +56,7 @@ def _boilerplate(attributes: str, in_article: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside an article, characters of link text) of each block, and empty lines for what was dropped."""
+    """(text, inside an article, characters of link text) of each block, and empty lines where an article starts or ends."""
     out: list[tuple[str, bool, int]] = []
     text: list[str] = []
     linked = article = in_link = 0
@@ -109,7 +109,7 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
             continue
         if not closing and not attributes.endswith("/") and name not in ("body", "html") and (
                 name in DROPPED or name == "header" and not article or name not in ARTICLE and _boilerplate(attributes, article > 0)):
-            gap()
+            close()
             dropped, depth = name, 1
             continue
         if name == "a":

@@ -24,6 +24,12 @@ def test_without_article_element():
     assert main_text(page) == f"Head\n\n{LONG.strip()}\n\nTail."
 
 
+def test_short_text_behind_what_is_dropped():
+    for gone in ("<div class='ad'>buy</div>", "<form><p>name</p></form>", "<nav><ul><li><a href='/x'>x</a></li></ul></nav>", "<aside>side</aside>"):
+        page = f"<body><div><h2>Head</h2>{gone}<p>{LONG}</p>{gone}<h3>Next</h3>{gone}<p>Short.</p>{gone}<ul><li>one</li></ul>{gone}<p>Closing.</p></div><footer>end</footer></body>"
+        assert main_text(page) == "\n\n".join(["Head", LONG.strip(), "Next", "Short.", "one", "Closing."])
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p>  </p>") == main_text("<script>x") == ""
     assert main_text("just text &lt;b&gt; &am") == "just text <b> &am"
