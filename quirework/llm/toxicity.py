@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted indexes.
+"""Toxicity from the nearest labelled examples, by TF-IDF cosine over chosen terms, exact over these, with block-max inverted indexes.
 
 Terms are the words of a text and the character 5-grams of its words. ``TERMS`` of them are chosen by their
 chi-square with the label over the examples, among those that speak for toxicity: more common among toxic examples,
