@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, lines, near, nearest, quality, repeats, sql, toxicity, whiten
+from . import bpe, decontaminate, html, langid, lines, near, nearest, negatives, quality, repeats, sql, toxicity, whiten
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,11 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
 
 
+@query
+def op12_hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(negatives.shifted_labels(table(spark, folder, "embeddings")), "vec_id % 100 = 0")
+
+
 @query
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten.whiten(table(spark, folder, "embeddings"))
@@ -75,4 +80,4 @@ def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 # Learnt scores, approximate neighbours, page parsing, tokenisation and fuzzy lines have no SQL; tests/llm holds them
 # against brute force, exact round trips or held-out rows.
-ORACLES.update(op2_minhash_near_dedup=sql.NEAR, op6_substring_dedup=sql.REPEATS, op10_benchmark_decontamination=sql.CONTAMINATION)
+ORACLES.update(op2_minhash_near_dedup=sql.NEAR, op6_substring_dedup=sql.REPEATS, op10_benchmark_decontamination=sql.CONTAMINATION, op12_hard_negative_mining=sql.NEGATIVES)
