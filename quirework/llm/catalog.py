@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, lines, near, nearest, negatives, quality, repeats, sql, toxicity, whiten
+from . import bpe, decontaminate, html, langid, lines, near, nearest, negatives, prefixes, quality, repeats, sql, toxicity, whiten
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,11 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
 
 
+@query
+def op11_byte_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.report(table(spark, folder, "documents"))
+
+
 @query
 def op12_hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(negatives.shifted_labels(table(spark, folder, "embeddings")), "vec_id % 100 = 0")

@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_bpe_encoding": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op10_benchmark_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op11_byte_bpe_encoding": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op12_hard_negative_mining": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op13_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
