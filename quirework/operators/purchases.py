@@ -129,14 +129,20 @@ def delivery_reasons(decisions: DataFrame) -> DataFrame:
     d = ordered.running_many(acted, ["txn"], ["arrival_seq"], ordered.chunk_of("arrival_seq"), {
         "_set": ("max", F.struct(F.unix_micros("occurred_at").alias("us"), "arrival_seq", "event_id")),
         "_uids": ("sum", F.col("uid").isNotNull().cast("long")), "_emails": ("sum", F.col("email").isNotNull().cast("long"))}, inclusive=False)
-    status = F.when(F.col("action") == "grant", F.lit("granted")).otherwise(F.lit("revoked"))
     fills = (F.col("uid").isNotNull() & (F.col("_uids") == 0)) | (F.col("email").isNotNull() & (F.col("_emails") == 0))
-    outcome = first_match([
-        (F.col("_set").isNull(), F.concat(status, F.lit("-new"))), (F.col("_set.event_id") == F.col("event_id"), "duplicate-event"),
-        (F.unix_micros("occurred_at") >= F.col("_set.us"), status), (fills, "bound-older-event")], "older-than-current-status")
+    outcome = delivery_outcome(F.col("action"), F.unix_micros("occurred_at"), F.col("event_id"), F.col("_set.us"), F.col("_set.event_id"), fills)
     return d.withColumn("outcome", outcome).drop("_set", "_uids", "_emails")
 
 
+def delivery_outcome(action: Column, us: Column, event: Column, set_us: Column, set_event: Column, fills: Column) -> Column:
+    """What one delivery did, given when and by which event the status had been set, and whether it names an owner first."""
+    status = F.when(action == "grant", F.lit("granted")).otherwise(F.lit("revoked"))
+    # The recorded reasons.
+    return first_match([
+        (set_us.isNull(), F.concat(status, F.lit("-new"))), (set_event == event, "duplicate-event"),
+        (us >= set_us, status), (fills, "bound-older-event")], "older-than-current-status")
+
+
 def entitlements(people: DataFrame, purchases: DataFrame) -> DataFrame:
     """Who owns the product: newest granted purchase by uid, else by verified email (then re-bound).
 

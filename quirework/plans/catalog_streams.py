@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import measure, purchases, survey
 from ..session import run_path
 from ..sources import scans
-from ..streaming import flows
+from ..streaming import flows, keyed
 from .catalog_aggs import EGRESS, STORED
 from .catalog_rules import decisions
 from .catalog_sources import OWN
@@ -51,16 +51,16 @@ def _(t):
 
 @query("q_i01_stream_ledger", f"WITH {REASONS} SELECT * FROM said")
 def _(t):
-    out = run_path(t.spark, "ledger")
-    flows.ledger(decisions(live(t)), run_path(t.spark, "deliveries"), out, run_path(t.spark, "cp"))
-    return flows.latest_rows(t.spark, out, ["txn", "event_id"]).select("txn", "event_id", "outcome")
+    out, checkpoint = run_path(t.spark, "ledger"), run_path(t.spark, "cp")
+    keyed.ledger(decisions(live(t)), out, checkpoint)
+    return keyed.ledger_view(t.spark, out, checkpoint)
 
 
 @query("q_i02_stream_upsert", "SELECT txn, status, uid, email, last_event FROM purchases")
 def _(t):
-    table = flows.BucketedTable(t.spark, run_path(t.spark, "purchases"), flows.PURCHASE_ROWS, "txn")
-    flows.drain(decisions(live(t)), table.upsert(flows.merge_purchases), run_path(t.spark, "cp"), "append")
-    return purchases.purchase_state(table.latest()).select("txn", "status", "uid", "email", "last_event")
+    checkpoint = run_path(t.spark, "cp")
+    flows.keep_in_state(flows.purchase_status(decisions(live(t))), checkpoint)
+    return flows.stored_purchases(t.spark, checkpoint).select("txn", "status", "uid", "email", "last_event")
 
 
 @query("q_i03_once_per_event", "SELECT action, count(*) AS events, sum(event_id)::bigint AS id_sum FROM decisions WHERE reason NOT IN ('unparseable', 'no-occurred-at') GROUP BY 1")
@@ -74,9 +74,9 @@ def _(t):
 
 @query("q_i04_stream_answers", f"WITH {STORED} SELECT email, profession FROM stored")
 def _(t):
-    table = flows.BucketedTable(t.spark, run_path(t.spark, "answers"), flows.ANSWERS, "email")
-    flows.drain(survey.cleaned(live(t).survey), table.upsert(flows.merge_answers), run_path(t.spark, "cp"), "append")
-    return table.latest().select("email", "profession")
+    checkpoint = run_path(t.spark, "cp")
+    flows.keep_in_state(survey.latest_answers(survey.cleaned(live(t).survey)), checkpoint)
+    return flows.stored_answers(t.spark, checkpoint).select("email", "profession")
 
 
 @query("q_i05_stream_egress", f"SELECT session, sent_bytes, sends, unmeasured, third_party_urls = 0 AS clean FROM ({EGRESS})")
@@ -105,9 +105,9 @@ def _(t):
 
 @query("q_i06_stream_claims", f"WITH {CLAIMS} SELECT owner, event_id, outcome, CASE WHEN outcome = 'taken' THEN pe END AS stashed FROM c")
 def _(t):
-    out = run_path(t.spark, "claims")
-    flows.replay(live(t).stash_events, run_path(t.spark, "stash"), out, run_path(t.spark, "cp"), "owner", flows.stash_outcomes)
-    return flows.latest_rows(t.spark, out, ["owner", "event_id"]).select("owner", "event_id", "outcome", "stashed")
+    out, checkpoint = run_path(t.spark, "claims"), run_path(t.spark, "cp")
+    keyed.claims(live(t).stash_events, out, checkpoint)
+    return keyed.claims_view(t.spark, out, checkpoint)
 
 
 NOTES = """a AS (SELECT *, epoch_us(moment) AS us FROM stash_events), m AS (SELECT max(us) - 3600000000 AS now FROM a),
@@ -118,10 +118,21 @@ NOTES = """a AS (SELECT *, epoch_us(moment) AS us FROM stash_events), m AS (SELE
 @query("q_i07_stream_pending", f"WITH {NOTES} SELECT * FROM c WHERE outcome IS NOT NULL")
 def _(t):
     """The clock stands an hour before the last event, so the newest notes lie ahead of it."""
-    out = run_path(t.spark, "notes")
-    flows.replay(live(t).stash_events, run_path(t.spark, "pending"), out, run_path(t.spark, "cp"), "owner", flows.pending_notes)
+    out, checkpoint = run_path(t.spark, "notes"), run_path(t.spark, "cp")
+    keyed.notes(live(t).stash_events, out, checkpoint)
     now = t.stash_events.agg(F.unix_micros(F.max("at").cast("timestamp")) - 3_600_000_000).scalar()
-    return flows.pending_verdict(flows.latest_rows(t.spark, out, ["owner", "event_id"]), now).where("outcome is not null")
+    return flows.pending_verdict(keyed.notes_view(t.spark, out, checkpoint), now).where("outcome is not null")
+
+
+@query("q_i07_stream_expiry", """WITH a AS (SELECT *, epoch_us(moment) AS us FROM stash_events WHERE what IN ('pending', 'confirm')), w AS (SELECT epoch_us(max(moment)) // 1000 - 3600000 AS ms FROM stash_events WHERE what IN ('pending', 'confirm')),
+  b AS (SELECT *, lead(what) OVER o AS nw, lead(us) OVER o AS nu FROM a WINDOW o AS (PARTITION BY owner ORDER BY us, event_id)),
+  c AS (SELECT owner, event_id, CASE WHEN coalesce(nu - us >= 86400000000, true) THEN 'expired' WHEN nw = 'confirm' THEN 'confirmed' ELSE 'replaced' END AS outcome, least(coalesce(nu, us + 86400000000), us + 86400000000) AS us FROM b WHERE what = 'pending')
+  SELECT owner, event_id, outcome, us FROM c WHERE us <= (SELECT ms * 1000 FROM w)""")
+def _(t):
+    """What the clock has ended: events may be an hour late, and a timer closes a note after its day."""
+    path = run_path(t.spark, "expiry")
+    flows.drain(keyed.expiring_notes(live(t).stash_events, "1 hour"), flows.append_batches(path), run_path(t.spark, "cp"), "append")
+    return t.spark.read.option("basePath", path).parquet(path).drop("batch")
 
 
 @query("q_i08_stream_timeline", "SELECT phase, host, rtype, count(*) AS requests, epoch_us(min(moment)) AS first_at, epoch_us(max(moment)) AS last_at FROM requests GROUP BY 1, 2, 3")

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordered, purchases
 from ..operators.rules import is_third_party, url_parts
-from ..session import cut_lineage
 
 STASH_US = 10 * 60 * 1_000_000
 PENDING_US = 24 * 60 * 60 * 1_000_000
 CHUNK_US = 60 * 60 * 1_000_000
 CLOCK_SLACK_US = 60 * 1_000_000
-BUCKETS = 64
 
 
 # -- running a stream to its end -------------------------------------------------------------------
@@ -42,6 +41,28 @@ def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_l")).select(*keys, "_l.*")
 
 
+def stored(spark: SparkSession, checkpoint: str, schema: str, variable: str | None = None) -> DataFrame:
+    """The keys and values a stream holds after its last batch, read from its state store; empty before the first.
+
+    Values are taken by position, so ``schema`` (of key and value fields, in order) may name them as it likes.
+    """
+    reader = spark.read.format("statestore")
+    if variable:
+        reader = reader.option("stateVarName", variable)
+    empty = spark.createDataFrame([], schema)
+    try:
+        held = reader.load(checkpoint)
+    except PySparkException as err:
+        if err.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":
+            raise
+        return empty
+    n = len(held.schema["key"].dataType.fields)
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in empty.schema.fields[n:])
+    names = empty.columns
+    d = held.select("key.*", F.col("value").cast(f"struct<{kinds}>").alias("__v"))
+    return d.select(*[F.col(c).alias(a) for c, a in zip(d.columns[:n], names)], *[F.col("__v")[a].alias(a) for a in names[n:]])
+
+
 # -- declarative state -------------------------------------------------------------------------------
 
 
@@ -82,133 +103,37 @@ def phase_timeline(requests: DataFrame) -> DataFrame:
         F.count("*").alias("requests"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-# -- keyed upserts into a bucketed table ---------------------------------------------------------------
-
-
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-class BucketedTable:
-    """A keyed table in the shared folder, cut into buckets by key. A batch reads and writes only the buckets that
-    its keys fall in, under its own number; the newest version of a bucket, found in the folder, is what counts. A
-    retried batch starts from the versions before its own and writes its own again. Batches carry the key as the
-    table holds it."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
-        self.spark, self.path, self.schema, self.key = spark, path, schema, key
-
-    def _versions(self, before: int) -> DataFrame | None:
-        """(bucket, version) of the newest version of each bucket. Reads the folder's names, no rows."""
-        if not _exists(self.spark, self.path):
-            return None
-        held = self._all().where(F.col("table_version") < before).select("table_bucket", "table_version")
-        return held.groupBy("table_bucket").agg(F.max("table_version").alias("table_version"))
-
-    def _all(self) -> DataFrame:
-        schema = f"{self.schema}, held boolean, table_version int, table_bucket int"
-        return self.spark.read.schema(schema).option("basePath", self.path).parquet(f"{self.path}/table_version=*")
-
-    def read(self, before: int = 2**31 - 1, buckets: DataFrame | None = None) -> DataFrame:
-        """The table as it stood before a batch, or now; only some buckets, if given."""
-        newest = self._versions(before)
-        if newest is None:
-            return self.spark.createDataFrame([], self.schema)
-        if buckets is not None:
-            newest = newest.join(buckets, "table_bucket")
-        rows = self._all().join(F.broadcast(newest), ["table_bucket", "table_version"])  # at most one row per bucket
-        return rows.where("held").drop("held", "table_version", "table_bucket")
-
-    def upsert(self, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-        """``merge(held rows of the touched buckets, batch) -> all rows of those buckets``."""
-        def write(batch: DataFrame, number: int) -> None:
-            touched = cut_lineage(batch.select(bucket_of(self.key).alias("table_bucket")).distinct())
-            merged = merge(self.read(number, touched), batch).withColumn("table_bucket", bucket_of(self.key)).join(F.broadcast(touched), "table_bucket", "left_semi")
-            # One empty row per bucket says that this version replaces the older one even when nothing is left.
-            rows = merged.withColumn("held", F.lit(True)).unionByName(touched.withColumn("held", F.lit(False)), allowMissingColumns=True)
-            rows.write.mode("overwrite").partitionBy("table_bucket").parquet(f"{self.path}/table_version={number}")
-            self._forget(number)
-        return write
-
-    def _forget(self, number: int) -> None:
-        """Removes versions that neither the table nor a repeat of this batch can need."""
-        needed = {r["table_version"] for before in (number, number + 1) for r in self._versions(before).select("table_version").distinct().collect()}
-        have = {r["table_version"] for r in self._all().select("table_version").distinct().collect()}
-        for v in have - needed - {number}:
-            _folder(self.spark, f"{self.path}/table_version={v}", remove=True)
-
-    def latest(self) -> DataFrame:
-        return self.read()
-
-
-def _folder(spark: SparkSession, path: str, remove: bool = False) -> bool:
-    """Whether a folder of the shared storage is there; removes it on request."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.delete(at, True) if remove else fs.exists(at)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    return _folder(spark, path)
+# -- keyed upserts -------------------------------------------------------------------------------------------
+#
+# The table is the state of an update-mode aggregate: a batch touches the keys it has, retries and restarts are Spark's
+# own, and readers take the keys from the state store of the last finished batch.
 
 
-PURCHASE_ROWS = "txn string, action string, uid string, email string, occurred_at timestamp, arrival_seq long, event_id long"
+def keep_in_state(stream: DataFrame, checkpoint: str) -> None:
+    """Run an aggregate to the end of its input for the sake of its state; what changed goes nowhere else."""
+    drain(stream, lambda batch, _: batch.write.format("noop").mode("overwrite").save(), checkpoint)
 
 
-def merge_purchases(held: DataFrame, batch: DataFrame) -> DataFrame:
-    """Keep per transaction only the events that still decide something: the latest one, and the first that
-    named a uid and an email. Any later batch folds over these exactly as over the whole history."""
-    cols = ["action", "uid", "email", "occurred_at", "arrival_seq", "event_id"]
-    both = held.unionByName(batch.where("action <> 'ignore'").select("txn", *cols))
-    row = F.struct(*cols)
-    kept = both.groupBy("txn").agg(
-        F.max_by(row, F.struct("occurred_at", "arrival_seq")).alias("a"),
-        F.min_by(row, F.when(F.col("uid").isNotNull(), F.col("arrival_seq"))).alias("b"),
-        F.min_by(row, F.when(F.col("email").isNotNull(), F.col("arrival_seq"))).alias("c"))
-    each = F.array_distinct(F.array_compact(F.array("a", "b", "c")))
-    return kept.select("txn", F.explode(each).alias("r")).select("txn", "r.*")
+PURCHASES = ("txn string, last struct<status: string, last_event: bigint>, newest struct<occurred_at: timestamp, arrival_seq: bigint>, changed_at timestamp, "
+             "uid string, uid_seq bigint, email string, email_seq bigint")
 
 
-ANSWERS = "email string, profession string, spends_too_long string, cadence string, at timestamp_ntz, event_id long"
+def stored_purchases(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The rows of ``purchase_status`` as its state store holds them."""
+    d = stored(spark, checkpoint, PURCHASES)
+    return d.select("txn", "last.status", "uid", "email", "changed_at", "last.last_event")
 
 
-def merge_answers(held: DataFrame, batch: DataFrame) -> DataFrame:
-    """Later answers replace earlier ones whole, NULLs included. ``batch`` is cleaned: its addresses are the table's keys."""
-    cols = ["profession", "spends_too_long", "cadence", "at", "event_id"]
-    both = held.unionByName(batch.select("email", *cols))
-    return both.groupBy("email").agg(F.max_by(F.struct(*cols), F.struct("at", "event_id")).alias("_l")).select("email", "_l.*")
+ANSWERS = ("email string, last struct<profession: string, spends_too_long: string, cadence: string, at: timestamp_ntz>, "
+           "newest struct<at: timestamp_ntz, event_id: bigint>")
 
 
-# -- order-dependent outcomes ------------------------------------------------------------------------------
-#
-# What an event did depends on the order of its key's events, and files bring them in any order. All events are kept
-# in a log, bucketed by key; a batch works out anew the outcomes of the keys it touches, over their whole history,
-# and the last outcome written for an event counts. So the result is that of the batch form, however the
-# input was cut into files and batches. The ordered operators cut any key into chunks, so a hot key is no task's load.
+def stored_answers(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The rows of ``survey.latest_answers`` as its state store holds them."""
+    return stored(spark, checkpoint, ANSWERS).select("email", "last.*")
 
 
-def replay(stream: DataFrame, log: str, out: str, checkpoint: str, key: str, outcomes: Callable[[DataFrame], DataFrame]) -> None:
-    """Run the stream to its end; ``outcomes(all events of the touched keys)`` is written to ``out`` per batch."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("bucket", bucket_of(key))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
-        held = batch.sparkSession.read.schema(f"{schema}, batch int, bucket int").option("basePath", log).parquet(f"{log}/batch=*").where(F.col("batch") <= number)
-        now = held.where(F.col("batch") == number)
-        touched = now.select("bucket").distinct()
-        history = held.join(F.broadcast(touched), "bucket", "left_semi").join(now.select(key).distinct(), key, "left_semi")  # at most one row per bucket
-        done = outcomes(cut_lineage(history.drop("batch", "bucket").distinct()))
-        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    drain(stream, write, checkpoint, "append")
-
-
-def ledger(decided: DataFrame, log: str, out: str, checkpoint: str) -> None:
-    """What each delivery did to its purchase: (txn, event_id, outcome); read with ``latest_rows``."""
-    cols = ["txn", "action", "uid", "email", "occurred_at", "arrival_seq", "event_id"]
-    acted = decided.where("action <> 'ignore'").select(*cols)
-    replay(acted, log, out, checkpoint, "txn", lambda d: purchases.delivery_reasons(d).select("txn", "event_id", "outcome"))
+# -- order-dependent outcomes, in batch form (``keyed`` has the streams) ------------------------------------------
 
 
 def stash_outcomes(events: DataFrame) -> DataFrame:

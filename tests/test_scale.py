@@ -1,7 +1,9 @@
 """The ordered operators on groups cut into many chunks, against plain windows; streams over several files."""
 
+import datetime
 import glob
 import os
+import shutil
 import time
 
 import pytest
@@ -14,7 +16,7 @@ from quirework.plans.catalog_streams import StreamTables
 from quirework.plans.facts import Tables
 from quirework.session import fits_broadcast
 from quirework.sources import scans
-from quirework.streaming import flows
+from quirework.streaming import flows, keyed
 
 
 @pytest.fixture(scope="module")
@@ -103,9 +105,13 @@ def live(request, spark, folder, tmp_path_factory):
             time.sleep(0.05)
 
     class Live(StreamTables):
+        def __init__(self, spark, folder, at=at):
+            super().__init__(spark, folder)
+            self.at = at
+
         @property
         def events(self):
-            return scans.event_files(self.spark, at, e.schema, files_per_batch=1)
+            return scans.event_files(self.spark, self.at, e.schema, files_per_batch=1)
 
     return Live(spark, folder)
 
@@ -115,16 +121,32 @@ def whole(spark, folder):
     return Tables(spark, folder)
 
 
+def halves(live, spark, run, tmp_path):
+    """Runs a stream over the first two of the files alone and then, with the same checkpoint, over all of them."""
+    files = sorted(glob.glob(f"{live.at}/*.parquet"), key=os.path.getmtime)
+    if len(files) >= 4:
+        os.makedirs(f"{tmp_path}/half/events.parquet")
+        half = type(live)(spark, live.folder, f"{tmp_path}/half/events.parquet")
+        for n in (2, len(files)):
+            for f in files[:n]:
+                at = f"{half.at}/{os.path.basename(f)}"
+                if not os.path.exists(at):
+                    shutil.copy(f, at)
+                    time.sleep(0.02)
+            run(half)
+    else:
+        run(live)
+    run(half if len(files) >= 4 else live)  # a restart with nothing new
+
+
 def test_purchase_streams(spark, live, whole, tmp_path):
     want = purchases.purchase_state(decisions(whole)).select("txn", "status", "uid", "email", "last_event")
-    table = flows.BucketedTable(spark, str(tmp_path / "p"), flows.PURCHASE_ROWS, "txn")
-    flows.drain(decisions(live), table.upsert(flows.merge_purchases), str(tmp_path / "c1"), "append")
-    again = flows.BucketedTable(spark, str(tmp_path / "p"), flows.PURCHASE_ROWS, "txn")
-    flows.drain(decisions(live), again.upsert(flows.merge_purchases), str(tmp_path / "c1"), "append")  # a restart with nothing new
-    assert same(purchases.purchase_state(again.latest()).select(*want.columns), want)
-    flows.ledger(decisions(live), str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "c2"))
+    p = str(tmp_path)
+    halves(live, spark, lambda t: flows.keep_in_state(flows.purchase_status(decisions(t)), f"{p}/c1"), tmp_path / "1")
+    assert same(flows.stored_purchases(spark, f"{p}/c1").select(*want.columns), want)
+    halves(live, spark, lambda t: keyed.ledger(decisions(t), f"{p}/out", f"{p}/c2"), tmp_path / "2")
     reasons = purchases.delivery_reasons(decisions(whole)).select("txn", "event_id", "outcome")
-    assert same(flows.latest_rows(spark, str(tmp_path / "out"), ["txn", "event_id"]).select(*reasons.columns), reasons)
+    assert same(keyed.ledger_view(spark, f"{p}/out", f"{p}/c2"), reasons)
     flows.drain(flows.purchase_status(decisions(live)), flows.append_batches(str(tmp_path / "s")), str(tmp_path / "c3"))
     assert same(flows.latest_rows(spark, str(tmp_path / "s"), ["txn"]).select(*want.columns), want)
 
@@ -136,24 +158,67 @@ def test_each_event_once(spark, live, whole, tmp_path):
 
 
 def test_survey_answers(spark, live, whole, tmp_path):
-    table = flows.BucketedTable(spark, str(tmp_path / "a"), flows.ANSWERS, "email")
-    flows.drain(survey.cleaned(live.survey), table.upsert(flows.merge_answers), str(tmp_path / "c"), "append")
-    empty = spark.createDataFrame([], flows.ANSWERS)
-    cols = ["email", "profession", "event_id"]
-    assert same(table.latest().select(*cols), flows.merge_answers(empty, survey.cleaned(whole.survey)).select(*cols))
-
-
-def test_claims_and_notes(spark, live, whole, tmp_path):
-    flows.replay(live.stash_events, str(tmp_path / "l1"), str(tmp_path / "o1"), str(tmp_path / "c1"), "owner", flows.stash_outcomes)
-    got = flows.latest_rows(spark, str(tmp_path / "o1"), ["owner", "event_id"])
+    halves(live, spark, lambda t: flows.keep_in_state(survey.latest_answers(survey.cleaned(t.survey)), f"{tmp_path}/c"), tmp_path / "1")
+    cols = ["email", "profession", "spends_too_long", "at"]
+    assert same(flows.stored_answers(spark, f"{tmp_path}/c").select(*cols).fillna(""), survey.latest_answers(survey.cleaned(whole.survey)).select(*cols).fillna(""))
+
+
+@pytest.mark.parametrize("deliveries", [keyed.DELIVERIES, 2])
+def test_claims_and_notes(spark, live, whole, tmp_path, monkeypatch, deliveries):
+    monkeypatch.setattr(keyed, "DELIVERIES", deliveries)
+    if deliveries == 2:  # and long chunks of owners
+        monkeypatch.setattr(flows, "CHUNK_US", 40 * flows.PENDING_US)
+        keyed.ledger(decisions(live), f"{tmp_path}/o", f"{tmp_path}/c")
+        assert same(keyed.ledger_view(spark, f"{tmp_path}/o", f"{tmp_path}/c"), purchases.delivery_reasons(decisions(whole)).select("txn", "event_id", "outcome"))
+    p = str(tmp_path)
+    halves(live, spark, lambda t: keyed.claims(t.stash_events, f"{p}/o1", f"{p}/c1"), tmp_path / "1")
+    got = keyed.claims_view(spark, f"{p}/o1", f"{p}/c1")
     cols = ["owner", "event_id", "outcome", "stashed"]
     assert same(got.select(*cols).fillna(-1), flows.stash_outcomes(whole.stash_events).select(*cols).fillna(-1))
-    flows.replay(live.stash_events, str(tmp_path / "l2"), str(tmp_path / "o2"), str(tmp_path / "c2"), "owner", flows.pending_notes)
+    halves(live, spark, lambda t: keyed.notes(t.stash_events, f"{p}/o2", f"{p}/c2"), tmp_path / "2")
     now = whole.stash_events.agg(F.unix_micros(F.max("at").cast("timestamp"))).scalar()
-    got = flows.pending_verdict(flows.latest_rows(spark, str(tmp_path / "o2"), ["owner", "event_id"]), now)
+    got = flows.pending_verdict(keyed.notes_view(spark, f"{p}/o2", f"{p}/c2"), now)
     assert same(got.fillna("open"), flows.pending_verdict(flows.pending_notes(whole.stash_events), now).fillna("open"))
 
 
+def test_a_batch_hands_on_what_it_changes(spark, tmp_path):
+    """However much history there is: one more claim of an old owner changes one row."""
+    at, p = f"{tmp_path}/in", str(tmp_path)
+    hour = lambda h, m: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h, minutes=m)
+    kind = "owner long, event_id long, what string, at timestamp_ntz"
+    history = [(o, o * 1000 + 3 * h + i, what, hour(h, 5 * i)) for o in range(4) for h in range(200) for i, what in enumerate(["stash", "claim", "claim"])]
+    for rows in (history, [(1, 9_999, "claim", hour(7, 6))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(at)
+        stream = spark.readStream.schema(kind).parquet(at)
+        keyed.claims(stream, f"{p}/out", f"{p}/cp")
+    changed = spark.read.parquet(f"{p}/out/batch=1").collect()
+    assert {(r["event_id"], r["outcome"]) for r in changed} == {(9_999, "nothing")} and len(changed) == 1
+    whole = flows.stash_outcomes(spark.read.schema(kind).parquet(at))
+    assert same(keyed.claims_view(spark, f"{p}/out", f"{p}/cp").fillna(-1), whole.select("owner", "event_id", "outcome", "stashed").fillna(-1))
+
+
+def test_timers_end_notes(spark, tmp_path):
+    """Late by less than allowed is put in order; a note's day ends by timer, in the batch whose watermark passes it."""
+    at, p = f"{tmp_path}/in", str(tmp_path)
+    when = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    kind = "owner long, event_id long, what string, at timestamp_ntz"
+    files = [[(1, 1, "pending", when(0)), (2, 2, "pending", when(1)), (3, 3, "pending", when(1)), (4, 4, "confirm", when(1))],
+             [(2, 6, "confirm", when(4)), (2, 5, "pending", when(3)), (9, 7, "confirm", when(6))],
+             [(3, 8, "confirm", when(25.5)), (9, 9, "confirm", when(26))], [(9, 10, "confirm", when(40))], [(1, 11, "pending", when(41)), (9, 12, "confirm", when(90))]]
+    for rows in files:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(at)
+        stream = spark.readStream.schema(kind).parquet(at)
+        flows.drain(keyed.expiring_notes(stream, "2 hours"), flows.append_batches(f"{p}/out"), f"{p}/cp", "append")
+    got = {(r["event_id"], r["outcome"], r["us"] // 3_600_000_000 - 473352) for r in spark.read.parquet(f"{p}/out").collect()}
+    assert got == {(1, "expired", 24), (2, "replaced", 3), (3, "expired", 25), (5, "confirmed", 4), (11, "expired", 65)}
+    left = flows.stored(spark, f"{p}/cp", "owner long, us long, event_id long", "note")
+    assert left.count() == 0
+
+
+def test_state_before_the_first_batch(spark, tmp_path):
+    assert flows.stored_purchases(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_counters(spark, live, whole, tmp_path):
     flows.drain(flows.phase_timeline(live.requests), flows.append_batches(str(tmp_path / "t")), str(tmp_path / "c"))
     got = flows.latest_rows(spark, str(tmp_path / "t"), ["phase", "host", "rtype"])
@@ -161,22 +226,6 @@ def test_counters(spark, live, whole, tmp_path):
     assert same(got.select(*want.columns), want)
 
 
-def test_old_versions_go(spark, tmp_path):
-    table = flows.BucketedTable(spark, str(tmp_path / "t"), "k long, v long", "k")
-
-    def merge(held, batch):
-        return held.unionByName(batch).groupBy("k").agg(F.max("v").alias("v"))
-
-    write = table.upsert(merge)
-    for n in range(4):
-        write(spark.createDataFrame([(1, n), (100 + n, n)], "k long, v long"), n)
-        write(spark.createDataFrame([(1, n), (100 + n, n)], "k long, v long"), n)  # the same batch once more
-    assert sorted(map(tuple, table.latest().collect())) == [(1, 3), (100, 0), (101, 1), (102, 2), (103, 3)]
-    write(spark.createDataFrame([(k, 9) for k in (1, 100, 101, 102, 103)], "k long, v long"), 4)
-    write(spark.createDataFrame([(k, 10) for k in (1, 100, 101, 102, 103)], "k long, v long"), 5)
-    assert sorted(os.path.basename(x) for x in glob.glob(f"{tmp_path}/t/table_version=*")) == ["table_version=4", "table_version=5"]
-
-
 def test_deep_trees(spark):
     """Chains of any depth, and circles."""
     rows = []
