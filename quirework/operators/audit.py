@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scalars as S
 from ..session import cut_lineage, fits_broadcast
@@ -156,42 +160,98 @@ def folded(text: str | Column) -> Column:
 
 
 GRAM = 3
-
-
-def _grams(text: str, n: int) -> Column:
-    """All distinct runs of n characters, each one a key that any phrase starting with it can be joined on."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+GRAM_ROWS = 4096  # texts that meet one key in one task
+KEYS_HELD = 1_000_000  # keys sent to every task to leave out grams that no phrase is looked up by
 
 
 def phrase_hits(texts: DataFrame, key: str, phrases: DataFrame, fits: bool | None = None) -> DataFrame:
     """(key, phrase_id) where the text holds the phrase. ``texts`` has key, text; ``phrases`` phrase_id, phrase.
 
-    A word strictly inside a phrase must stand whole in any text that holds the phrase, so the longest such
-    word is an equality key, and ``contains`` decides among the few candidates. Phrases of one or two words have no
-    inner word; their first three characters (or fewer, if they have fewer) are the key, looked up among the text's
-    own runs of that length. A phrase list measured to be small is broadcast: the texts are read in place, with
-    nothing shuffled. A larger one is shuffled with the keys. Every join is on equality; an empty phrase hits nothing.
+    A phrase list measured to be small goes to every task as one automaton, which reads each text once for all phrases.
+    A larger one is looked up by the phrases' rarest grams. An empty phrase hits nothing.
     """
     if fits is None:
         fits = fits_broadcast(phrases, ["phrase"])
-    inner = F.slice(F.split("phrase", " "), 2, F.greatest(F.size(F.split("phrase", " ")) - 2, F.lit(0)))
-    anchor = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    anchored = phrases.where("phrase <> ''").withColumn("anchor", anchor)
-    long = anchored.where("anchor <> ''").select("phrase_id", "phrase", "anchor")
-    short = anchored.where("anchor = ''").select("phrase_id", "phrase", F.substring("phrase", 1, GRAM).alias("anchor"))
-    words = F.array_distinct(F.split("text", " "))
-    # Only the lengths that some short phrase needs are cut out of the texts.
-    lengths = sorted(r[0] for r in short.select(F.length("anchor")).distinct().collect())
-    grams = F.concat(*[_grams("text", n) for n in lengths]) if lengths else F.array().cast("array<string>")
-
-    def joined(list_: DataFrame, keys: Column) -> DataFrame:
-        if fits:
-            found = texts.select(key, "text", F.explode(keys).alias("anchor")).join(F.broadcast(list_), "anchor")
-        else:
-            found = texts.select(key, F.explode(keys).alias("anchor")).join(list_, "anchor").select(key, "phrase_id", "phrase").join(texts, key)
-        return found.where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
-
-    return joined(long, words).unionByName(joined(short, grams)) if lengths else joined(long, words)
+    phrases = phrases.where("phrase <> ''").select("phrase_id", "phrase")
+    return _by_automaton(texts, key, phrases) if fits else _by_rarest_gram(texts, key, phrases)
+
+
+def _by_automaton(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
+    """One pass over the texts; ``phrases`` is within the bounds of a broadcast."""
+    spark = texts.sparkSession
+    held = spark.sparkContext.broadcast([(r["phrase"], r["phrase_id"]) for r in phrases.collect()])
+    id_type = phrases.schema["phrase_id"].dataType
+    schema = T.StructType([texts.schema[key], T.StructField("phrase_id", id_type)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids: dict[str, list] = {}
+        for phrase, i in held.value:
+            ids.setdefault(phrase, []).append(i)
+        find = ahocorasick.Automaton()
+        for phrase in ids:
+            find.add_word(phrase, phrase)
+        find.make_automaton()
+        for batch in batches:
+            at, hits = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = {p for _, p in find.iter(text)} if text and ids else ()
+                for p in found:
+                    at += [row] * len(ids[p])
+                    hits += ids[p]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hits, to_arrow_type(id_type))], names=schema.names)
+
+    return texts.select(key, "text").mapInArrow(run, schema)
+
+
+def text_grams(text: str, lengths: list[int]) -> Column:
+    """A text's distinct grams: its words, its pairs of neighbouring words, and its runs of the given lengths."""
+    w = F.split(text, " ")
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    runs = [F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.concat(F.lit("\0"), g)) for n in lengths]
+    return F.array_distinct(F.concat(w, pairs, *runs))
+
+
+def phrase_grams(phrase: str) -> Column:
+    """The grams that any text holding the phrase must have: the words strictly inside it and their pairs, or (of one or two
+    words) its runs of three characters, or fewer if it has no more."""
+    w = F.split(phrase, " ")
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    pairs = F.zip_with(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))), F.slice(inner, 2, F.greatest(F.size(inner) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    n = F.least(F.length(phrase), F.lit(GRAM))
+    runs = F.transform(F.sequence(F.lit(1), F.length(phrase) - n + 1), lambda i: F.concat(F.lit("\0"), F.col(phrase).substr(i, n)))
+    return F.array_distinct(F.when(F.size(w) > 2, F.concat(inner, pairs)).otherwise(runs))
+
+
+def keyed_phrases(texts: DataFrame, phrases: DataFrame, lengths: list[int]) -> DataFrame:
+    """(phrase_id, phrase, gram, salts): each phrase with the gram that fewest texts have, and how many parts those texts
+    are cut into. Phrases with a gram that no text has are left out: nothing can hold them."""
+    wanted = phrases.select("phrase_id", "phrase", F.explode(phrase_grams("phrase")).alias("gram"))
+    found = texts.select(F.explode(text_grams("text", lengths)).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
+    d = wanted.join(found, "gram", "left").groupBy("phrase_id", "phrase").agg(
+        F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.min("texts").alias("texts"), F.count_if(F.col("texts").isNull()).alias("absent"))
+    return d.where("absent = 0").select("phrase_id", "phrase", "gram", F.ceil(F.col("texts") / GRAM_ROWS).cast("int").alias("salts"))
+
+
+def _salted(texts: DataFrame, key: str, keys: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, text, gram, salt) of the texts' grams that some phrase is looked up by."""
+    d = texts.select(key, "text", F.explode(text_grams("text", lengths)).alias("gram"))
+    by_gram = keys.groupBy("gram").agg(F.max("salts").alias("salts"))
+    if by_gram.count() <= KEYS_HELD:
+        d = d.join(F.broadcast(by_gram), "gram")
+    else:  # the parts of the common ones alone; grams that no phrase has go on and meet nothing
+        d = d.join(F.broadcast(by_gram.where("salts > 1")), "gram", "left")
+    return d.select(key, "text", "gram", F.pmod(F.xxhash64(key), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+
+
+def _by_rarest_gram(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
+    """Texts and phrases meet on (gram, part); a text travels once per key it has, and equality of the whole decides."""
+    lengths = sorted(r[0] for r in phrases.where(F.size(F.split("phrase", " ")) <= 2).select(F.least(F.length("phrase"), F.lit(GRAM))).distinct().collect())
+    keys = cut_lineage(keyed_phrases(texts, phrases, lengths))
+    parts = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    found = _salted(texts, key, keys, lengths).join(parts.select("gram", "salt", "phrase_id", "phrase"), ["gram", "salt"])
+    return found.where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
 
 
 def hit_rollup(hits: DataFrame, key: str, named: int = 4) -> DataFrame:

@@ -252,6 +252,25 @@ def test_phrases_join_on_equality_only(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_many_phrases_of_common_words(spark, monkeypatch):
+    """100,000 phrases, all of ten words, over texts of the same ten words: pairs of words are the rarest grams, the
+    common ones are cut into parts, and no part is much larger than the others."""
+    monkeypatch.setattr(audit, "GRAM_ROWS", 200)
+    words = ["the", "of", "and", "to", "in", "that", "is", "was", "for", "on"]
+    pick = lambda seed, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(F.array(*map(F.lit, words)), F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(10)).cast("int"))), " ")
+    phrases = spark.range(100_000).select(F.col("id").alias("phrase_id"), pick(1, F.lit(9)).alias("phrase")).cache()
+    texts = spark.range(3000).select(F.col("id").alias("k"), pick(2, F.lit(40)).alias("text")).cache()
+    phrases = phrases.unionByName(texts.where("k % 7 = 0").select((F.col("k") + 1_000_000).alias("phrase_id"), F.substring("text", 11, 60).alias("phrase"))).where("phrase like '% % % %'")
+    keys = audit.keyed_phrases(texts, phrases, []).cache()
+    assert keys.agg(F.max("salts")).first()[0] > 1
+    load = [r[0] for r in audit._salted(texts, "k", keys, []).groupBy("gram", "salt").count().select("count").collect()]
+    assert max(load) <= 3 * sorted(load)[len(load) // 2] and len(load) > 100
+    want = {(r["k"], r["phrase_id"]) for r in audit.phrase_hits(texts, "k", phrases, True).collect()}
+    assert len(want) > 300 and {tuple(r) for r in audit.phrase_hits(texts, "k", phrases, False).collect()} == want
+    monkeypatch.setattr(audit, "KEYS_HELD", 10)
+    assert {tuple(r) for r in audit.phrase_hits(texts, "k", phrases, False).collect()} == want
+
+
 def test_ranges_of_an_empty_set(spark):
     d = spark.createDataFrame([(1, 3)], "d long, p long")
     got = pages.describe_ranges(d, ["d"], "p", groups=spark.createDataFrame([(1,), (2,)], "d long")).collect()
