@@ -90,36 +90,91 @@ def neighbours(df: DataFrame, keys: list[str], order: list, chunk: Column, value
     return local.join(edges, [*keys, "__chunk"]).withColumns(out).drop("__chunk", "__x", *[f"__{p}_{o}" for p in "lb" for o in out])
 
 
-def upper_medians(df: DataFrame, keys: list[str], wanted: dict[str, Column], bin_width: float = 16.0) -> DataFrame:
+SKETCH = 800  # size of a rank sketch
+GRID = 200  # ranks it is asked for
+SALTS = 16
+
+
+def _rank_error(k: int) -> float:
+    """A normalised rank that such a sketch gives is hardly ever further off."""
+    return 3.0 / k**0.9
+
+
+def upper_medians(df: DataFrame, keys: list[str], wanted: dict[str, Column]) -> DataFrame:
     """Per output column, the element at index ``n >> 1`` of the sorted values (the upper one of an even count).
 
-    Exact and skew-safe. Equal values are counted before any shuffle and the counts are written once. A
-    histogram finds the bin that holds the wanted rank; while any group still has more distinct values in
-    its bin than one chunk, that bin is cut finer. Only the last bin is put in order. NULLs do not count.
+    Exact and skew-safe. A group of more than one chunk is sketched (KLL, combined before the shuffle), and the sketch
+    brackets the wanted rank; a second pass counts what lies below the bracket and folds equal values inside it. If the
+    rank is inside and the values there fit a chunk, they decide; else the side that has the rank is sketched again.
+    Smaller groups are all bracket. Nothing is put in order but one chunk's values. NULLs do not count, NaN is the
+    largest number.
     """
     values = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(o).alias("o"), v.cast("double").alias("v"))) for o, v in wanted.items()]))
     rows = df.select(*keys, F.explode(values).alias("__r")).select(*keys, F.col("__r.o").alias("__o"), F.col("__r.v").alias("__v"))
     by = [*keys, "__o"]
-    inside = cut_lineage(rows.groupBy(*by, "__v").agg(F.count("*").alias("__n")))
-    rank = inside.groupBy(*by).agg((F.floor(F.sum("__n") / 2) + 1).alias("__rank"))
-    first = F.col("__upto") - F.col("__n")
-    hit = (F.col("__upto") >= F.col("__rank")) & (first < F.col("__rank"))
+    none = F.lit(None).cast("double")
+    groups = cut_lineage(rows.groupBy(*by).agg(F.count("*").alias("__n")))
+    todo = groups.select(*by, (F.floor(F.col("__n") / 2) + 1).alias("__rank"), (F.col("__n") > CHUNK).alias("__wide"), none.alias("__lo"), none.alias("__hi"))
+    found = None
+    below, above = F.coalesce(F.col("__v") < F.col("__lo"), F.lit(False)), F.coalesce(F.col("__v") > F.col("__hi"), F.lit(False))
     while True:
-        binned = inside.withColumn("__bin", F.floor(F.col("__v") / F.lit(bin_width)))
-        upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = binned.groupBy(*by, "__bin").agg(F.sum("__n").alias("__n"), F.count("*").alias("__c")).withColumn("__upto", F.sum("__n").over(upto))
-        # One row per group: its bin, the rank inside it, and how many distinct values it holds.
-        picked = cut_lineage(bins.join(rank, by).where(hit).select(*by, "__bin", (F.col("__rank") - first).alias("__rank"), "__c"))
-        inside, rank = binned.join(picked.select(*by, "__bin"), [*by, "__bin"], "left_semi").drop("__bin"), picked.select(*by, "__rank")
-        widest = picked.agg(F.max("__c")).first()[0]
-        if widest is None or widest <= CHUNK:
+        if not todo.where("__wide").isEmpty():
+            narrowed = _brackets(_meet(rows, by, todo.where("__wide")), by, ~below & ~above, below)
+            todo = cut_lineage(_bounded(todo.where("not __wide"), by).unionByName(narrowed))
+        else:
+            todo = _bounded(todo, by)
+        side = F.when(below, -1).when(above, 1).otherwise(0)
+        met = _meet(rows, by, todo)
+        folded = cut_lineage(met.groupBy(*by, side.alias("__side"), F.when(side == 0, F.col("__v")).alias("__v")).agg(F.count("*").alias("__n")))
+        seen = folded.groupBy(*by).agg(
+            F.coalesce(F.sum(F.when(F.col("__side") < 0, F.col("__n"))), F.lit(0)).alias("__below"),
+            F.coalesce(F.sum(F.when(F.col("__side") == 0, F.col("__n"))), F.lit(0)).alias("__in"), F.count_if(F.col("__side") == 0).alias("__values"))
+        seen = cut_lineage(todo.join(seen, by))
+        low, high = F.col("__rank") <= F.col("__below"), F.col("__rank") > F.col("__below") + F.col("__in")
+        settled = ~low & ~high & (F.col("__values") <= CHUNK)
+        picked = _pick(folded.where("__side = 0").join(seen.where(settled).select(*by, (F.col("__rank") - F.col("__below")).alias("__rank")), by), by)
+        found = picked if found is None else found.unionByName(picked)
+        left = seen.where(~settled)
+        if left.isEmpty():
             break
-        inside, bin_width = cut_lineage(inside), bin_width / 1024
-    upto = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    found = inside.withColumn("__upto", F.sum("__n").over(upto)).join(rank, by).where(hit)
+        # The side that has the rank; inside, if its values are too many.
+        lo = F.when(low, F.col("__lo0")).when(high, F.col("__hi")).otherwise(F.col("__lo"))
+        hi = F.when(low, F.col("__lo")).when(high, F.col("__hi0")).otherwise(F.col("__hi"))
+        todo = cut_lineage(left.select(*by, "__rank", F.lit(True).alias("__wide"), lo.alias("__lo"), hi.alias("__hi")))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__o") == o, F.col("__v"))).alias(o) for o in wanted])
 
 
+def _bounded(todo: DataFrame, by: list[str]) -> DataFrame:
+    return todo.select(*by, "__rank", "__lo", "__hi", F.col("__lo").alias("__lo0"), F.col("__hi").alias("__hi0"))
+
+
+def _meet(rows: DataFrame, by: list[str], brackets: DataFrame) -> DataFrame:
+    """Rows with their group's bracket. There are few brackets: each stands in every part that its group's rows are cut into."""
+    parts = brackets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")).join(parts, [*by, "__salt"]).drop("__salt")
+
+
+def _brackets(met: DataFrame, by: list[str], inside: Column, below: Column) -> DataFrame:
+    """(rank, lo, hi, and the bounds lo0, hi0 that held so far) of each group from a sketch of what lies between those."""
+    d = met.groupBy(*by, "__rank", "__lo", "__hi").agg(
+        F.kll_sketch_agg_double(F.when(inside, F.col("__v")), SKETCH).alias("__s"), F.count_if(inside).alias("__m"), F.count_if(below).alias("__b"))
+    # A sketch answers for fixed ranks only: the grid points around the wanted one.
+    at, off = (F.col("__rank") - F.col("__b")) / F.col("__m"), F.lit(_rank_error(SKETCH))
+    grid = F.kll_sketch_get_quantile_double("__s", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    d = d.withColumn("__g", F.when(F.col("__m") > 0, grid))
+    lo = F.when(at > off, F.get("__g", F.floor((at - off) * GRID).cast("int")))
+    hi = F.when(at + off < 1, F.get("__g", F.ceil((at + off) * GRID).cast("int")))
+    return d.select(*by, "__rank", F.coalesce(lo, "__lo").alias("__lo"), F.coalesce(hi, "__hi").alias("__hi"), F.col("__lo").alias("__lo0"), F.col("__hi").alias("__hi0"))
+
+
+def _pick(counted: DataFrame, by: list[str]) -> DataFrame:
+    """The value at each group's rank among at most a chunk of counted values."""
+    d = counted.groupBy(*by, "__rank").agg(F.array_sort(F.collect_list(F.struct("__v", "__n"))).alias("__all"))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("v"))
+    pick = F.aggregate("__all", start, lambda a, x: F.when(a["upto"] >= F.col("__rank"), a).otherwise(F.struct((a["upto"] + x["__n"]).alias("upto"), x["__v"].alias("v"))))
+    return d.select(*by, pick["v"].alias("__v"))
+
+
 def text_in_order(df: DataFrame, keys: list[str], order: str, piece: Column, sep: str, out: str) -> DataFrame:
     """One text per group, pieces in order.
 

@@ -42,7 +42,7 @@ def _(t):
 
 @query("q_d03_upper_median", "SELECT l_suppkey, v[len(v) // 2 + 1] AS median_price FROM (SELECT l_suppkey, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1)")
 def _(t):
-    return ordered.upper_medians(t.lineitem, ["l_suppkey"], {"median_price": F.col("l_extendedprice")}, bin_width=1024.0)
+    return ordered.upper_medians(t.lineitem, ["l_suppkey"], {"median_price": F.col("l_extendedprice")})
 
 
 HIST = f"""{ROLLED}, hist AS (SELECT doc_id, skip_reason, count(*) AS n, min((ordinal, image_key)) AS first_seen FROM j WHERE NOT recompressible GROUP BY 1, 2)"""

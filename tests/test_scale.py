@@ -59,10 +59,12 @@ def test_neighbour(skewed, ahead, chunk_rows):
     assert same(got, want)
 
 
-@pytest.mark.parametrize("chunk", [ordered.CHUNK, 3])
-def test_upper_median(skewed, monkeypatch, chunk):
-    """Also with bins so small that they have to be cut finer several times."""
+@pytest.mark.parametrize("chunk, error", [(ordered.CHUNK, None), (3, None), (3, 0.0), (20, 0.3)])
+def test_upper_median(skewed, monkeypatch, chunk, error):
+    """Also with brackets that have to be narrowed, and with ones that miss the rank or are far too wide."""
     monkeypatch.setattr(ordered, "CHUNK", chunk)
+    if error is not None:
+        monkeypatch.setattr(ordered, "_rank_error", lambda k: error)
     got = {r["k"]: r["m"] for r in ordered.upper_medians(skewed, ["k"], {"m": F.col("v")}).collect()}
     rows = {}
     for k, v in skewed.where("v is not null").select("k", "v").collect():
@@ -70,6 +72,20 @@ def test_upper_median(skewed, monkeypatch, chunk):
     assert got == {k: sorted(v)[len(v) // 2] for k, v in rows.items()}
 
 
+@pytest.mark.parametrize("shape", ["sorted", "steep", "ties", "odd"])
+def test_upper_median_of_one_large_group(spark, shape, monkeypatch):
+    """All rows in one group; nothing is put in order but what one chunk holds."""
+    monkeypatch.setattr(ordered, "CHUNK", 2000)
+    d = spark.range(60_001)
+    v = {"sorted": F.col("id") * 1.0, "steep": F.exp(F.col("id") / 100.0), "ties": F.when(F.col("id") % 10 < 7, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) * 1.0),
+         "odd": F.when(F.col("id") % 3 == 0, float("nan")).when(F.col("id") % 3 == 1, float("inf")).otherwise(-1.0 * F.col("id"))}[shape]
+    d = d.select(F.lit(1).alias("k"), v.alias("v")).cache()
+    plan = ordered.upper_medians(d, ["k"], {"m": F.col("v")})
+    want = sorted((r["v"] for r in d.collect()), key=lambda x: (x != x, x))[60_001 // 2]
+    assert plan.first()["m"] == want
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranges_across_chunks(spark):
     d = spark.createDataFrame([(1, p) for p in [0, 1, 2, 4, 65534, 65535, 65536, 65537, 70000]], "d long, p long")
     assert pages.describe_ranges(d, ["d"], "p").first()["ranges"] == "1-3, 5, 65535-65538, 70001"
