@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import pandas as pd
@@ -107,8 +108,9 @@ def allocate_names(done: DataFrame, run: str = "run_id", source: str = "source",
     Set form of that sequential rule. Files of one clean name form a group; a group ``a (k)`` is a child of
     ``a``. A child's first file keeps its literal name exactly when it arrives before the parent's numbering
     reaches k, that is when (parent's files before it) + (smaller numbers already kept by children) < k.
-    Otherwise the parent owns that name and the child starts at its own ``(2)``. So each level needs one
-    count per distinct child name, not per file, and files are numbered by the chunked counter.
+    Otherwise the parent owns that name and the child starts at its own ``(2)``. So each level needs one count per
+    distinct child name, not per file; which children keep their names is found by ``_keepers``, and files are numbered
+    by the chunked counter. No parent's children or files are gathered anywhere.
     """
     d = S.once(done, "_clean", S.safe_name(source))
     base, ext = _split_name(F.col("_clean"), extension)
@@ -122,7 +124,7 @@ def allocate_names(done: DataFrame, run: str = "run_id", source: str = "source",
     parents = names.select(run, F.col("_base").alias("_parent"), "_ext", F.lit(True).alias("_has"))
     children = cut_lineage(names.where("_k is not null").join(parents, [run, "_parent", "_ext"], "left_semi"))
     if children.isEmpty():
-        return _named(d.withColumn("_skips", F.array().cast("array<long>")).withColumn("_extra", F.lit(0).cast("long")))
+        return _named(d, group, None, None)
     marks = children.select(run, F.col("_parent").alias("_base"), "_ext", F.col("_first").alias("_at"), "_k", F.lit(0).cast("long").alias("_one"))
     files = d.join(marks.select(*group).distinct(), group, "left_semi").select(
         *group, F.col(order).alias("_at"), F.lit(None).cast("long").alias("_k"), F.lit(1).cast("long").alias("_one"))
@@ -137,21 +139,98 @@ def allocate_names(done: DataFrame, run: str = "run_id", source: str = "source",
             extra.select(run, F.col("_base").alias("_parent"), "_ext", F.col("_extra").alias("_px")), [run, "_parent", "_ext"], "left")
         ahead = F.col("_before") + F.when(F.col("_before") > 0, F.coalesce("_px", F.lit(0))).otherwise(0)
         counted = counted.withColumn("_ahead", ahead)
-        folded = counted.groupBy(run, "_parent", "_ext").agg(F.array_sort(F.collect_list(F.struct("_k", "_ahead"))).alias("_c"))
-        owned = F.aggregate("_c", F.array().cast("array<long>"), lambda acc, c: F.when(
-            c["_ahead"] + F.size(acc) < c["_k"], F.concat(acc, F.array(c["_k"]))).otherwise(acc))
-        skips = cut_lineage(folded.select(run, F.col("_parent").alias("_base"), "_ext", owned.alias("_skips")))
-        kept = skips if kept is None else kept.unionByName(skips)
-        lost = level.join(skips.select(run, F.col("_base").alias("_parent"), "_ext", "_skips"), [run, "_parent", "_ext"]).where(~F.array_contains("_skips", F.col("_k")))
-        extra = extra.unionByName(cut_lineage(lost.select(*group, F.lit(1).cast("long").alias("_extra"))))
+        decided = cut_lineage(_keepers(counted.select(run, "_parent", "_ext", "_base", "_k", "_ahead"), [run, "_parent", "_ext"]))
+        # The j-th name kept lets the parent's files from k - (j - 1) on pass over one number more.
+        marks = decided.where("_kept").select(run, F.col("_parent").alias("_base"), "_ext", (F.col("_k") - F.col("_before_it")).alias("_at"))
+        kept = marks if kept is None else kept.unionByName(marks)
+        extra = extra.unionByName(decided.where("not _kept").select(*group, F.lit(1).cast("long").alias("_extra")))
         level = cut_lineage(children.join(level.select(run, F.col("_base").alias("_parent"), "_ext"), [run, "_parent", "_ext"], "left_semi"))
-    d = d.join(kept, group, "left").join(extra, group, "left")
-    return _named(d.withColumn("_skips", F.coalesce("_skips", F.array().cast("array<long>"))).withColumn("_extra", F.coalesce("_extra", F.lit(0))))
+    return _named(d, group, kept, extra)
 
 
-def _named(d: DataFrame) -> DataFrame:
-    rank = F.col("_rank") + F.col("_extra")
-    number = F.aggregate("_skips", rank, lambda n, s: F.when(s <= n, n + 1).otherwise(n))
-    label = F.when(rank == 1, F.lit("")).otherwise(F.concat(F.lit(" ("), number, F.lit(")")))
+FOLD = 4096  # children in one step map
+
+
+def step_map(limits: list[int], most: int) -> tuple[int, list[int]]:
+    """What a run of children does to the number of names kept before it, s in 0..most, as (always, places): s becomes
+    s + always + (places above s). Each child turns s into s + 1 where s is below its limit, else leaves it; such maps
+    are closed under composition."""
+    always, places = 0, []
+
+    def after(s: int) -> int:
+        return s + always + len(places) - bisect.bisect_right(places, s)
+
+    for limit in limits:
+        if after(most) < limit:
+            always += 1
+        elif after(0) < limit:
+            lo, hi = 0, most  # the first s that is not kept
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if after(mid) < limit else (lo, mid)
+            bisect.insort(places, hi)
+    return always, places
+
+
+def _keepers(children: DataFrame, parent: list[str]) -> DataFrame:
+    """``children`` (_k, _ahead) with the number of smaller ones that keep their names (_before_it) and whether each does (_kept).
+
+    Chunks of a parent's children become step maps side by side; one pass over the maps, a chunk's in memory at a time,
+    gives every chunk the number it starts from; then the chunks are gone through side by side again.
+    """
+    d = ordered.number(children, parent, ["_k"], ordered.chunk_of("_k"), "_i")
+    d = cut_lineage(d.withColumn("_c", F.floor((F.col("_i") - 1) / FOLD)).withColumn("_limit", F.col("_k") - F.col("_ahead")))
+    at = [*parent, "_c"]
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_k")
+        always, places = step_map(rows["_limit"].tolist(), int(rows["_i"].iloc[0]) - 1)
+        return pd.DataFrame([(*key, always, places)], columns=[*at, "_always", "_places"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in at)
+    maps = d.select(*at, "_k", "_i", "_limit").groupBy(*at).applyInPandas(fold, f"{head}, _always long, _places array<long>")
+    maps = maps.repartition(*parent).sortWithinPartitions(*at)
+
+    def starts(frames):
+        here, s = None, 0
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                key = tuple(row[: len(parent)])
+                if key != here:
+                    here, s = key, 0
+                out.append((*row[: len(at)], s))
+                s += row[len(at)] + int((row[len(at) + 1] > s).sum())
+            yield pd.DataFrame(out, columns=[*at, "_s"])
+
+    first = maps.mapInPandas(starts, f"{head}, _s long")
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_k")
+        s, before, kept = int(rows["_s"].iloc[0]), [], []
+        for limit in rows["_limit"].tolist():
+            before.append(s)
+            kept.append(s < limit)
+            s += s < limit
+        return rows.assign(_before_it=before, _kept=kept)[[*names, "_before_it", "_kept"]]
+
+    names = children.columns
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _before_it long, _kept boolean"
+    return d.join(first, at).groupBy(*at).applyInPandas(decide, schema)
+
+
+def _named(d: DataFrame, group: list[str], kept: DataFrame | None, extra: DataFrame | None) -> DataFrame:
+    """Names from ranks: a file's number is its rank and the marks at or below it."""
+    if kept is None:
+        d = d.withColumn("_number", F.col("_rank"))
+    else:
+        d = cut_lineage(d.join(extra, group, "left").withColumn("_rank", F.col("_rank") + F.coalesce("_extra", F.lit(0))).drop("_extra"))
+        marked = d.join(kept.select(*group).distinct(), group, "left_semi").withColumns({"_at": F.col("_rank"), "_one": F.lit(0).cast("long")})
+        both = marked.unionByName(kept.withColumn("_one", F.lit(1).cast("long")), allowMissingColumns=True)
+        passed = ordered.running(both, group, ["_at", F.desc("_one")], ordered.chunk_of("_at"), F.col("_one"), "_passed")
+        passed = passed.where("_one = 0").withColumn("_number", F.col("_rank") + F.col("_passed")).drop("_at", "_one", "_passed")
+        d = d.join(kept.select(*group).distinct(), group, "left_anti").withColumn("_number", F.col("_rank")).unionByName(passed)
+    label = F.when(F.col("_rank") == 1, F.lit("")).otherwise(F.concat(F.lit(" ("), F.col("_number"), F.lit(")")))
     d = d.withColumn("name", F.concat("_base", label, F.lit("."), "_ext"))
-    return d.drop("_clean", "_base", "_ext", "_rank", "_skips", "_extra")
+    return d.drop("_clean", "_base", "_ext", "_rank", "_number")

@@ -3,14 +3,16 @@
 import datetime
 import glob
 import os
+import random
 import shutil
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quirework.operators import audit, graphs, ordered, pages, purchases, survey
+from quirework.operators import audit, graphs, ordered, pages, purchases, runs, survey
 from quirework.plans.catalog_rules import decisions
 from quirework.plans.catalog_streams import StreamTables
 from quirework.plans.facts import Tables
@@ -312,3 +314,42 @@ def test_parse_runs_once_per_row(spark, folder):
     """The JSON parse and the rule chain stay in their own steps, however many columns read them."""
     p = purchases.purchase_state(decisions(Tables(spark, folder)))
     assert p._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def in_turn(files):
+    """The sequential rule; what is taken only grows, so each name's numbering goes on where it stopped."""
+    taken, upto, out = set(), {}, {}
+    for i, source in files:
+        base = source.removesuffix(".pdf")
+        name, n = f"{base}.pdf", upto.get(base, 2)
+        while name in taken:
+            name, n = f"{base} ({n}).pdf", n + 1
+        upto[base] = n
+        taken.add(name)
+        out[i] = name
+    return out
+
+
+@pytest.mark.parametrize("n, children, fold", [(150_000, 100_000, runs.FOLD), (3000, 900, 7)])
+def test_names_of_one_parent_with_very_many_children(spark, monkeypatch, n, children, fold):
+    monkeypatch.setattr(runs, "FOLD", fold)
+    rnd = random.Random(n)
+    numbers = rnd.sample(range(2, 3 * children // 2), children)
+    files = [f"a ({k}).pdf" for k in numbers] + ["a.pdf"] * (n - children - 60) + [f"a ({k}) (2).pdf" for k in numbers[:30]] * 2
+    rnd.shuffle(files)
+    files = list(enumerate(files[: n // 2] + sorted(files[n // 2 :])))
+    d = spark.createDataFrame(pd.DataFrame(files, columns=["ordinal", "source"])).withColumn("run_id", F.lit(1).cast("long"))
+    got = {r["ordinal"]: r["name"] for r in runs.allocate_names(d).select("ordinal", "name").collect()}
+    assert got == in_turn(files)
+
+
+def test_step_maps_are_the_rule_for_every_start():
+    rnd = random.Random(2)
+    for _ in range(300):
+        most, limits = rnd.randrange(12), [rnd.randrange(-3, 25) for _ in range(rnd.randrange(14))]
+        always, places = runs.step_map(limits, most)
+        for start in range(most + 1):
+            s = start
+            for limit in limits:
+                s += s < limit
+            assert s == start + always + sum(p > start for p in places)
