@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import cut_lineage
+from ..sources import pieces
 from . import ordered
 from .rules import first_match
 
@@ -19,31 +20,91 @@ RESULT = "run_id long, ordinal long, source string, kind string, bytes long, rea
 NUMBERED = r"^(.*) \(([2-9]|[1-9][0-9]+)\)$"
 
 
-def apply_to_files(files: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str = RESULT) -> DataFrame:
+SLICE = 10_000  # rows of one call of a caller's function
+SLICE_STOPPABLE = 200  # the same where a run may be stopped meanwhile
+
+
+def _bisected(work: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame) -> list[pd.DataFrame]:
+    """What ``work`` makes of the rows. Where it raises, the rows are halved until the one that it raises for stands alone:
+    one bad row among n costs about two calls per halving, not n."""
+    try:
+        return [work(rows).reset_index(drop=True)[["kind", "bytes", "reason"]]]
+    except Exception as err:
+        if len(rows) == 1:
+            return [pd.DataFrame({"kind": ["failed"], "bytes": [None], "reason": [f"{type(err).__name__}: {err}"]})]
+    half = len(rows) // 2
+    return [d for part in (rows.iloc[:half], rows.iloc[half:]) for d in _bisected(work, part.reset_index(drop=True))]
+
+
+def stop(stops: str, run: int, ordinal: int) -> None:
+    """Leaves a mark that a run was stopped while a file was worked on. Any process that reaches the folder may do so."""
+    files, root = pieces.store(stops)
+    files.create_dir(root, recursive=True)
+    with files.open_output_stream(f"{root}/{run}_{ordinal}") as f:
+        f.write(b"")
+
+
+def stopped(stops: str) -> dict[int, int]:
+    """The earliest file at which each run was stopped, by the marks that are there now."""
+    from pyarrow import fs
+
+    files, root = pieces.store(stops)
+    out: dict[int, int] = {}
+    for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        run, ordinal = map(int, x.base_name.split("_"))
+        out[run] = min(ordinal, out.get(run, ordinal))
+    return out
+
+
+def apply_to_files(files: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str = RESULT, stops: str | None = None) -> DataFrame:
     """Run a caller's function over file rows. One file's exception is its own failed row, never the job's end.
 
-    ``work`` takes a frame of files and returns kind, bytes and reason for each, in order. Only a frame for which it
-    raised is gone through file by file. Spark spreads the files; frames stream through.
+    ``work`` takes a frame of files and returns kind, bytes and reason for each, in order. A frame for which it raised
+    is halved down to the file at fault. Spark spreads the files; frames stream through.
+
+    ``stops`` names a folder for stop marks (``stop``). A file that ``work`` calls interrupted marks its run; what comes
+    behind a mark is not begun. Tasks see marks late and files are not gone through in order, so the marks decide once
+    more at the end: the marked file is interrupted, all of its run behind it are not attempted, finished or not, and all
+    before it have their outcome. A stopped run names every file.
     """
     names = ["run_id", "ordinal", "source", "kind", "bytes", "reason"]
+    step = SLICE_STOPPABLE if stops else SLICE
 
-    def one(row: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return work(row)
-        except Exception as err:
-            return pd.DataFrame({"kind": ["failed"], "bytes": [None], "reason": [f"{type(err).__name__}: {err}"]})
+    def outcomes(rows: pd.DataFrame) -> pd.DataFrame:
+        done = pd.concat(_bisected(work, rows), ignore_index=True)
+        return pd.concat([rows[["run_id", "ordinal", "source"]], done], axis=1)
 
     def batches(frames):
         for frame in frames:
-            frame = frame.reset_index(drop=True)
-            try:
-                done = work(frame)
-            except Exception:
-                done = pd.concat([one(frame.iloc[i : i + 1].reset_index(drop=True)) for i in range(len(frame))], ignore_index=True)
-            out = pd.concat([frame[["run_id", "ordinal", "source"]], done.reset_index(drop=True)[["kind", "bytes", "reason"]]], axis=1)
-            yield out[names].astype({"bytes": "Int64"})
-
-    return files.mapInPandas(batches, schema)
+            for lo in range(0, len(frame), step):
+                rows = frame.iloc[lo : lo + step].reset_index(drop=True)
+                late = None
+                if stops:
+                    marks = stopped(stops)
+                    behind = rows["ordinal"] > rows["run_id"].map(marks).fillna(float("inf"))
+                    late = rows.loc[behind, ["run_id", "ordinal", "source"]].assign(kind="not-attempted", bytes=None, reason=None)
+                    rows = rows[~behind].reset_index(drop=True)
+                out = outcomes(rows) if len(rows) else late
+                if stops and len(rows):
+                    for r in out[out["kind"] == "interrupted"].itertuples():
+                        stop(stops, r.run_id, r.ordinal)
+                    out = pd.concat([out, late], ignore_index=True) if len(late) else out
+                yield out[names].astype({"bytes": "Int64"})
+
+    results = files.mapInPandas(batches, schema)
+    return settled(cut_lineage(results), stops) if stops else results
+
+
+def settled(results: DataFrame, stops: str) -> DataFrame:
+    """Results as the stop marks have them. One mark per stopped run counts, read where they are few or many."""
+    marks = pieces.read_heads(results.sparkSession, stops, 0) if pieces.exists(stops) else None
+    if marks is None:
+        return results
+    at = marks.select(*[F.split_part("name", F.lit("_"), F.lit(i)).cast("long").alias(c) for i, c in ((1, "run_id"), (2, "_at"))])
+    d = results.join(at.groupBy("run_id").agg(F.min("_at").alias("_at")), "run_id", "left")
+    kind = F.when(F.col("ordinal") == F.col("_at"), "interrupted").when(F.col("ordinal") > F.col("_at"), "not-attempted").otherwise(F.col("kind"))
+    kept = F.col("_at").isNull() | (F.col("ordinal") < F.col("_at"))
+    return d.select(*[{"kind": kind, "bytes": F.when(kept, F.col("bytes")), "reason": F.when(kept, F.col("reason"))}.get(c, F.col(c)).alias(c) for c in results.columns])
 
 
 def outcome_counts(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit, graphs, images, measure, ocr, ordered, pages, purchases, rules, runs, survey
-from ..session import cut_lineage
+from ..session import cut_lineage, run_path
 from .catalog_aggs import ENDS, FLAT, GROWTH, HIST, MARKS, RECOGNISED, ROLLED, STORED, SURVIVED, recognised, results
 from .catalog_joins import KEPT, STARTS, USED, decisions, links, outline_page_map, styled_elements, used_elements
 from .catalog_rules import PLAN, judged
@@ -346,6 +346,19 @@ def _(t):
     return runs.apply_to_files(files, _demo_work).select("run_id", "ordinal", "kind", "bytes", "reason")
 
 
+@query("q_j02_stopped_run", """WITH s AS (SELECT run_id, min(ordinal) FILTER (kind = 'interrupted') AS stop FROM run_results GROUP BY 1),
+  r AS (SELECT run_id, ordinal, bytes, CASE WHEN ordinal = stop THEN 'interrupted' WHEN ordinal > stop THEN 'not-attempted' WHEN bytes < 5000 THEN 'failed' WHEN bytes < 10000 THEN 'left-alone' ELSE 'done' END AS kind FROM run_results JOIN s USING (run_id))
+  SELECT run_id, ordinal, kind, CASE WHEN kind = 'done' THEN bytes // 2 END AS bytes, CASE kind WHEN 'failed' THEN 'ValueError: too small to read' WHEN 'left-alone' THEN 'nothing to gain' END AS reason FROM r""")
+def _(t):
+    """Runs that are stopped at a file: what came before it is finished, what comes after it is not begun."""
+    def work(frame):
+        done = _demo_work(frame)
+        return done.assign(kind=done["kind"].where(~frame["stops"].to_numpy(), "interrupted"))
+
+    files = t.run_results.select("run_id", "ordinal", "source", "bytes", (F.col("kind") == "interrupted").alias("stops"))
+    return runs.apply_to_files(files, work, stops=run_path(t.spark, "stops")).select("run_id", "ordinal", "kind", "bytes", "reason")
+
+
 @query("q_j03_measured_steps", "SELECT step, count(*) AS measured, count(*) FILTER (size <= target) AS fitting FROM size_measurements GROUP BY 1")
 def _(t):
     return t.size_measurements.groupBy("step").agg(F.count("*").alias("measured"), F.count_if(F.col("size") <= F.col("target")).alias("fitting"))

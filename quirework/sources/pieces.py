@@ -49,6 +49,23 @@ def store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def exists(path: str) -> bool:
+    from pyarrow import fs
+
+    files, root = store(path)
+    return files.get_file_info(root).type != fs.FileType.NotFound
+
+
+def isolated(work: Work) -> Work:
+    """``work``, with an exception as the piece's own failure."""
+    def run(piece: dict) -> Outcome:
+        try:
+            return work(piece)
+        except Exception as err:
+            return "failed", None, f"{type(err).__name__}: {err}"
+    return run
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What one task has written."""
@@ -161,7 +178,7 @@ class Pieces(DataSource):
 def work_through(pieces: DataFrame, work: Work, path: str) -> None:
     """Run ``work`` on every row of ``pieces`` (run_id, ordinal, source, and whatever it needs) and keep what came of it.
 
-    What ``work`` raises takes its task down, as a crash would; use ``runs.isolated`` to make it the piece's own failure.
+    What ``work`` raises takes its task down, as a crash would; ``isolated`` makes it the piece's own failure.
     """
     pieces.sparkSession.dataSource.register(Pieces)
     call = base64.b64encode(cloudpickle.dumps(work)).decode()
@@ -247,7 +264,7 @@ class HeadReader(DataSourceReader):
         rows = []
         for path, size in listed():
             head = b""
-            if size:
+            if size and self.size:
                 with files.open_input_file(path) as f:
                     head = f.read_at(min(self.size, size), 0)
             rows.append((path, size, head))

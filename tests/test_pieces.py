@@ -139,3 +139,45 @@ def test_every_file_is_listed_once(spark, tmp_path, monkeypatch, folders, wide):
     got = [(r["path"], r["length"]) for r in pieces.read_heads(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and {(os.path.normpath(p), n) for p, n in got} == want
     assert pieces.read_heads(spark, f"{tmp_path}/d/", 2).agg(F.max(F.length("head"))).first()[0] == 2
+
+
+def test_one_bad_row_costs_few_calls():
+    import pandas as pd
+
+    calls = []
+
+    def work(frame):
+        calls.append(len(frame))
+        if (frame["ordinal"] == 7321).any():
+            raise ValueError("bad")
+        return pd.DataFrame({"kind": ["done"] * len(frame), "bytes": frame["ordinal"], "reason": [None] * len(frame)})
+
+    got = pd.concat(runs._bisected(work, pd.DataFrame({"ordinal": range(10_000)})), ignore_index=True)
+    assert len(calls) < 40 and len(got) == 10_000
+    assert got[got["kind"] == "failed"].index.tolist() == [7321] and got["reason"][7321] == "ValueError: bad"
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_a_stopped_run_names_every_file(spark, tmp_path, parts, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(runs, "SLICE_STOPPABLE", 5)
+    stops = f"{tmp_path}/stops"
+    files = spark.range(300).select((F.col("id") % 3).alias("run_id"), F.col("id").alias("ordinal"), F.lit("f").alias("source")).repartition(parts)
+    runs.stop(stops, 2, 50)  # somebody else's mark, from before
+
+    def work(frame):
+        if (frame["ordinal"] == 31).any():
+            raise ValueError("bad")
+        kind = ["interrupted" if o in (100, 130) else "done" for o in frame["ordinal"]]  # both of run 1
+        return pd.DataFrame({"kind": kind, "bytes": frame["ordinal"], "reason": [None] * len(frame)})
+
+    got = {r["ordinal"]: (r["kind"], r["bytes"]) for r in runs.apply_to_files(files, work, stops=stops).collect()}
+    want = {}
+    for i in range(300):
+        at = {1: 100, 2: 50}.get(i % 3, 1000)
+        want[i] = ("interrupted", None) if i == at else ("not-attempted", None) if i > at else ("failed", None) if i == 31 else ("done", i)
+    assert got == want
+    assert runs.stopped(stops) == {1: 100, 2: 50}
+    none = runs.apply_to_files(files, lambda f: pd.DataFrame({"kind": ["done"] * len(f), "bytes": f["ordinal"], "reason": [None] * len(f)}), stops=f"{tmp_path}/none")
+    assert none.where("kind = 'done'").count() == 300
