@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, run_path
@@ -47,29 +49,75 @@ def named_root(fields: DataFrame) -> DataFrame:
     return climb(edges, ["doc_id"], "node_id", "parent_id").select("doc_id", "node_id", F.when(~F.col("open"), F.col("top")).alias("root_id"))
 
 
+FILTER_MAPS = 4  # bitmaps of 32,768 bits: the filter of visited nodes is 16 KB, whatever the graph's size
+
+
+def _bit(node: str) -> tuple[Column, Column]:
+    """A node's bitmap and its place there."""
+    h = F.pmod(F.xxhash64(node), F.lit(FILTER_MAPS * 32768))
+    return F.floor(h / 32768), h % 32768
+
+
+def _maybe_visited(node: str, maps: list[bytes]) -> Column:
+    """Whether a node's bit is set: never wrong when it says no."""
+    number, at = _bit(node)
+    out = F.lit(0)
+    for i, m in enumerate(maps):
+        byte = F.conv(F.hex(F.substring(F.lit(m), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        out = F.when(number == i, F.getbit(byte, (at % 8).cast("int"))).otherwise(out) if any(m) else out
+    return out == 1
+
+
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes reachable from ``start`` (column ``node``), each once, with the fewest hops to it.
 
-    Breadth first over a table in the shared folder with one partition per hop. A round joins only the
-    last hop with the edges and drops what the table holds, so a dense graph costs its edges once, not
-    its paths; the count that ends the loop comes with the write.
+    Breadth first over two tables in the shared folder, the edges in buckets by source and the nodes found in the same
+    buckets, one partition per hop. The last hop meets the edges bucket by bucket, so a round shuffles only the nodes it
+    leads to, folded before. Those that a filter of all visited nodes does not know are new; it comes back with each
+    write, at a fixed size. Only if it may know some are these held against the nodes found so far, again bucket by bucket
+    and without a shuffle. So a round on a long chain reads its own hop alone, and a dense graph costs its edges once.
     """
     spark = edges.sparkSession
-    table = run_path(spark, "reach")
-
-    def put(nodes: DataFrame, hop: int) -> int:
-        seen = Observation()
-        nodes.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{table}/hop={hop}")
-        return seen.get["n"]
-
-    hop, found = 0, put(start.select("node").distinct(), 0)
-    while found:
-        held = spark.read.parquet(table)
-        frontier = held.where(F.col("hop") == hop).select(F.col("node").alias("src"))
-        step = edges.join(frontier, "src").select(F.col("dst").alias("node")).distinct().join(held.select("node"), "node", "left_anti")
-        hop += 1
-        found = put(step, hop)
-    return spark.read.parquet(table).select("node", F.col("hop").cast("long").alias("hop"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, name = run_path(spark, "reach"), f"reach_{uuid.uuid4().hex}"
+    maps = [bytes(4096) for _ in range(FILTER_MAPS)]
+
+    def save(d: DataFrame, what: str, key: str, *parts: str) -> None:
+        d.write.format("parquet").mode("append").partitionBy(*parts).bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{what}").saveAsTable(f"{name}_{what}")
+
+    def put(nodes: DataFrame, hop: int) -> tuple[int, int]:
+        """Writes (node, sure) as a hop; how many of them are new for sure, how many are not. New ones enter the filter."""
+        seen, (number, at) = Observation(), _bit("node")
+        new = F.col("sure")
+        watched = nodes.observe(seen, F.count_if(new).alias("new"), F.count_if(~new).alias("open"),
+                                *[F.bitmap_construct_agg(F.when(new & (number == i), at)).alias(f"map_{i}") for i in range(FILTER_MAPS)])
+        save(watched.withColumn("hop", F.lit(hop)), "nodes", "node", "hop", "sure")
+        got = seen.get
+        for i in range(FILTER_MAPS):
+            m = got[f"map_{i}"]
+            maps[i] = bytes(x | y for x, y in zip(maps[i], m)) if m else maps[i]
+        return got["new"], got["open"]
+
+    def held() -> DataFrame:
+        return spark.table(f"{name}_nodes")
+
+    sure = F.lit(True).alias("sure")
+    try:
+        save(edges.select("src", "dst"), "edges", "src")
+        hop, (found, _) = 0, put(start.select("node").distinct().select("node", sure), 0)
+        while found:
+            frontier = held().where((F.col("hop") == hop) & F.col("sure")).select(F.col("node").alias("src"))
+            step = spark.table(f"{name}_edges").join(frontier, "src").select(F.col("dst").alias("node")).where("node is not null").distinct()
+            hop += 1
+            found, unsure = put(step.select("node", (~_maybe_visited("node", maps)).alias("sure")), hop)
+            if unsure:
+                doubtful = held().where((F.col("hop") == hop) & ~F.col("sure")).select("node")
+                before = held().where((F.col("hop") < hop) & F.col("sure")).select("node")
+                found += put(doubtful.join(before, "node", "left_anti").select("node", sure), hop)[0]
+        return spark.read.schema(held().schema).parquet(f"{path}/nodes").where("sure").select("node", F.col("hop").cast("long").alias("hop"))
+    finally:
+        for what in ("edges", "nodes"):
+            spark.sql(f"drop table if exists {name}_{what}")  # the names; the files stay in the shared folder
 
 
 def keep_with_survivors(outline: DataFrame, valid: str) -> DataFrame:

@@ -259,6 +259,46 @@ def test_deep_trees(spark):
     assert roots == {(doc, i): (0 if doc < 4 or i < 2 else None) for doc, i, *_ in rows}
 
 
+def hops(edges, start):
+    out, at = {s: 0 for s in start}, list(start)
+    while at:
+        at = [b for a in at for b in edges.get(a, ()) if b not in out and not out.update({b: out[a] + 1})]
+    return out
+
+
+@pytest.mark.parametrize("maps", [graphs.FILTER_MAPS, 1])
+def test_reachable_nodes(spark, monkeypatch, maps):
+    """A long chain, a dense graph and a random one with circles; also with a filter that knows nearly everything."""
+    monkeypatch.setattr(graphs, "FILTER_MAPS", maps)
+    rnd = random.Random(3)
+    shapes = [([(a, b) for a in range(40) for b in range(40)], [0]), ([(rnd.randrange(400), rnd.randrange(400)) for _ in range(700)] + [(None, 1), (5, None)], [1, 2, 2])]
+    if maps > 1:
+        shapes.append(([(i, i + 1) for i in range(200)] + [(200, 0)], [0]))
+    else:
+        monkeypatch.setattr(graphs, "_maybe_visited", lambda node, held: F.col(node) % 2 == 0)  # half of all nodes are held against the table
+        shapes[0] = ([(2 * a, 2 * b) for a in range(20) for b in range(20)] + [(2 * a, 2 * a + 1) for a in range(20)], [0])
+        shapes[1] = ([(a, b) for a, b in shapes[1][0] if b is None or b % 2 == 0], [2, 4])
+    for rows, start in shapes:
+        by = {}
+        for a, b in rows:
+            if a is not None and b is not None:
+                by.setdefault(a, []).append(b)
+        got = graphs.reachable(spark.createDataFrame(rows, "src long, dst long"), spark.createDataFrame([(s,) for s in start], "node long"))
+        if maps > 1 or rows is shapes[1][0]:
+            assert {r["node"]: r["hop"] for r in got.collect()} == hops(by, start) and got.count() == len(hops(by, start))
+
+
+def test_a_hop_shuffles_the_frontier_alone(spark, monkeypatch):
+    plans = []
+    write = type(spark.range(1).write).saveAsTable
+    monkeypatch.setattr(type(spark.range(1).write), "saveAsTable", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **k))[1])
+    edges = spark.createDataFrame([(a, b) for a in range(30) for b in range(30)], "src long, dst long")
+    assert graphs.reachable(edges, spark.createDataFrame([(0,)], "node long")).count() == 30
+    hop, check = plans[2], plans[3]
+    assert hop.count("Exchange hashpartitioning(node") == 1 == hop.count("Exchange hashpartitioning") and "Bucketed: true" in hop
+    assert "Exchange hashpartitioning" not in check and "Bucketed: true" in check
+
+
 def test_phrases_join_on_equality_only(spark):
     texts = spark.createDataFrame([(1, "a bc def the ghi"), (2, "xyz"), (3, ""), (4, "the the")], "k long, text string")
     phrases = spark.createDataFrame([(1, "a"), (2, "bc d"), (3, "c def t"), (4, "yz"), (5, "e t"), (6, ""), (7, "the"), (8, "q")], "phrase_id long, phrase string")
