@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import sentences
 from ..operators import audit, images, measure, ocr, ordered, pages, runs, survey
-from .catalog_joins import HITS, document_hits, links, phrases
+from .catalog_joins import HITS, document_hits, phrases
 from .catalog_rules import OUTCOME, RECOGNISED, ROLLED, judged, recognised, with_outcomes
 from .catalog_sources import HOSTS, OWN
 from .facts import BASE_LUMA
@@ -204,12 +204,11 @@ def _(t):
     SELECT p.page_id, strlen(html) + coalesce(js, 0)::bigint + (SELECT sum(n_nationkey) * 1000 FROM nation)::bigint AS weight FROM pages p
     LEFT JOIN (SELECT page_id, sum(size) AS js FROM used JOIN asset USING (href) GROUP BY 1) u ON p.page_id = u.page_id""")
 def _(t):
-    used = links(t).select("page_id", "href")
-    assets = used.select("href").distinct().withColumn("size", (F.length("href") * 100).cast("long"))
-    js = used.join(assets, "href").groupBy("page_id").agg(F.sum("size").alias("js"))
+    """An asset's size follows from its own name here, so a page's links are weighed inside its row and nothing is joined."""
+    hrefs = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    js = F.aggregate(hrefs, F.lit(0).cast("long"), lambda n, h: n + F.length(h) * 100)
     fonts = t.nation.agg((F.sum("n_nationkey") * 1000).cast("long")).scalar()
-    html = t.pages.select("page_id", F.octet_length("html").cast("long").alias("html"))
-    return html.join(js, "page_id", "left").select("page_id", (F.col("html") + F.coalesce("js", F.lit(0).cast("long")) + fonts).alias("weight"))
+    return t.pages.select("page_id", (F.octet_length("html").cast("long") + js + fonts).alias("weight"))
 
 
 MARKS, LINE = ["<nav>", "<article>", "<footer>"], "the "

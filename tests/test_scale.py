@@ -293,7 +293,12 @@ def test_a_hop_shuffles_the_frontier_alone(spark, monkeypatch):
     write = type(spark.range(1).write).saveAsTable
     monkeypatch.setattr(type(spark.range(1).write), "saveAsTable", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **k))[1])
     edges = spark.createDataFrame([(a, b) for a in range(30) for b in range(30)], "src long, dst long")
-    assert graphs.reachable(edges, spark.createDataFrame([(0,)], "node long")).count() == 30
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to be sent
+    try:
+        assert graphs.reachable(edges, spark.createDataFrame([(0,)], "node long")).count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     hop, check = plans[2], plans[3]
     assert hop.count("Exchange hashpartitioning(node") == 1 == hop.count("Exchange hashpartitioning") and "Bucketed: true" in hop
     assert "Exchange hashpartitioning" not in check and "Bucketed: true" in check
@@ -393,3 +398,25 @@ def test_step_maps_are_the_rule_for_every_start():
             for limit in limits:
                 s += s < limit
             assert s == start + always + sum(p > start for p in places)
+
+
+def test_list_fingerprints(spark):
+    lists = {1: ["a", "b", "c"], 2: ["a", "c", "b"], 3: ["a", "b", "c"], 4: ["a", None, "b"], 5: ["a", "b", None], 6: ["", "a"], 7: ["a"], 8: ["a", "a"], 9: ["x"] * 5000, 10: ["x"] * 5001}
+    rows = spark.createDataFrame([(k, i, x) for k, v in lists.items() for i, x in enumerate(v)], "k long, n int, item string").repartition(5)
+    got = {r["k"]: (r["length"], tuple(r["print"])) for r in audit.list_fingerprints(rows, "k").collect()}
+    for a in lists:
+        for b in lists:
+            assert (got[a] == got[b]) == (lists[a] == lists[b])
+    parts = audit.list_fingerprints(rows.withColumn("k", F.col("k") * 2 + (F.col("n") >= 2).cast("int")).withColumn("n", F.col("n") - F.when(F.col("n") >= 2, 2).otherwise(0)), "k")
+    two = parts.where("k % 2 = 0").select(F.floor(F.col("k") / 2).alias("k"), "length", F.col("print").alias("p")).join(parts.where("k % 2 = 1").select(F.floor(F.col("k") / 2).alias("k"), F.col("print").alias("q")), "k")
+    assert {(r["k"], tuple(r["whole"])) for r in two.select("k", audit.followed_by(F.col("length"), F.col("p"), F.col("q")).alias("whole")).collect()} == {(k, got[k][1]) for k in lists if len(lists[k]) > 2}
+
+
+def test_equal_lists_are_not_joined_by_place(spark, monkeypatch):
+    rows = [(k, i, f"{k}-{i}") for k in range(50) for i in range(20)]
+    a = spark.createDataFrame(rows, "k long, n int, item string")
+    b = spark.createDataFrame([(k, i, "other" if (k, i) in {(7, 3), (7, 4)} else x) for k, i, x in rows if k != 9] + [(51, 0, "z"), (8, 20, "z")], "k long, n int, item string")
+    d = audit.same_order(a, b, "k")
+    assert {tuple(r) for r in d.where("not equal").collect()} == {(7, False, 2), (8, False, 1), (9, False, 20), (51, False, 1)} and d.count() == 51
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("FullOuter") and plan.count("LeftSemi") == 2  # what meets by place went through the filter
