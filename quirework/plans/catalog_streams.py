@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import measure, purchases, survey
-from ..session import run_path
+from ..operators.rules import is_third_party
+from ..session import cut_lineage, run_path
 from ..sources import scans
 from ..streaming import flows, keyed
 from .catalog_aggs import EGRESS, STORED
@@ -79,11 +80,27 @@ def _(t):
     return flows.stored_answers(t.spark, checkpoint).select("email", "profession")
 
 
-@query("q_i05_stream_egress", f"SELECT session, sent_bytes, sends, unmeasured, third_party_urls = 0 AS clean FROM ({EGRESS})")
+@query("q_i05_stream_egress", f"SELECT session, sent_bytes, sends, unmeasured, third_party_urls = 0 AS clean, third_party_urls AS third_party_about FROM ({EGRESS})")
 def _(t):
+    """No session here has more URLs than a sketch counts exactly."""
     path = run_path(t.spark, "egress")
     flows.drain(flows.egress_counter(live(t).requests, OWN), flows.append_batches(path), run_path(t.spark, "cp"))
-    return flows.latest_rows(t.spark, path, ["session"]).select("session", "sent_bytes", "sends", "unmeasured", "clean")
+    about = flows.distinct_about("third_party").alias("third_party_about")
+    return flows.latest_rows(t.spark, path, ["session"]).select("session", "sent_bytes", "sends", "unmeasured", "clean", about)
+
+
+@query("q_i05_stream_sketches", f"""WITH u AS (SELECT DISTINCT phase, url FROM requests WHERE split_part(url, '://', 1) || '://' || host <> '{OWN}')
+  SELECT a.phase, b.phase AS other, count(DISTINCT a.url) AS urls, true AS close FROM u a JOIN u b ON a.url = b.url AND a.phase <= b.phase GROUP BY 1, 2""")
+def _(t):
+    """Sketches kept per session and phase, merged over sessions, intersected over phases, against the exact counts."""
+    path = run_path(t.spark, "sketches")
+    flows.drain(flows.third_party_sketches(live(t).requests, OWN), flows.append_batches(path), run_path(t.spark, "cp"))
+    phases = cut_lineage(flows.united(flows.latest_rows(t.spark, path, ["session", "phase"]), ["phase"]))  # three rows
+    urls = t.requests.where(is_third_party("url", OWN)).select("phase", "url").distinct()
+    exact = urls.join(urls.withColumnRenamed("phase", "other"), "url").where("phase <= other").groupBy("phase", "other").agg(F.count("*").alias("urls"))
+    seen = urls.agg(F.count_distinct("url")).scalar()
+    two = exact.join(phases, "phase").join(phases.select(F.col("phase").alias("other"), F.col("third_party").alias("second")), "other")
+    return two.select("phase", "other", "urls", flows.close_enough(flows.shared_about("third_party", "second"), F.col("urls"), seen).alias("close"))
 
 
 @query("q_i05_stream_third_party", f"SELECT session, third_party_urls FROM ({EGRESS}) WHERE third_party_urls > 0")

@@ -81,15 +81,45 @@ def once_per_event(decisions: DataFrame, event: str) -> DataFrame:
     return decisions.dropDuplicates([event])
 
 
+SKETCH_BITS = 12  # up to 4,096 distinct values are counted exactly, beyond that within about 1.6 % (one standard error)
+
+
 def egress_counter(requests: DataFrame, own_origin: str) -> DataFrame:
-    """Bytes and sends per session while they happen; distinct URLs counted by a fixed-size sketch.
+    """Bytes and sends per session while they happen; distinct third-party URLs as a sketch of bounded size, which
+    ``distinct_about`` reads and ``united`` merges.
 
     A streaming aggregate cannot first fold to one row per URL; the batch form (measure.egress) is exact.
     """
     third = F.when(is_third_party("url", own_origin), F.col("url"))
     return requests.groupBy("session").agg(
         F.sum(F.greatest(F.col("bytes"), F.lit(0).cast("long"))).alias("sent_bytes"), F.count_if(F.col("bytes") != 0).alias("sends"),
-        F.count_if(F.col("bytes") < 0).alias("unmeasured"), (F.count(third) == 0).alias("clean"), F.approx_count_distinct(third, 0.01).alias("third_party_about"))
+        F.count_if(F.col("bytes") < 0).alias("unmeasured"), (F.count(third) == 0).alias("clean"), F.theta_sketch_agg(third, SKETCH_BITS).alias("third_party"))
+
+
+def third_party_sketches(requests: DataFrame, own_origin: str) -> DataFrame:
+    """The same sketch per session and phase."""
+    third = F.when(is_third_party("url", own_origin), F.col("url"))
+    return requests.groupBy("session", "phase").agg(F.theta_sketch_agg(third, SKETCH_BITS).alias("third_party"))
+
+
+def united(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches merged to one per group of keys: what any of them has seen, each value once."""
+    return sketches.groupBy(*keys).agg(F.theta_union_agg("third_party", SKETCH_BITS).alias("third_party"))
+
+
+def distinct_about(sketch: str | Column) -> Column:
+    return F.theta_sketch_estimate(sketch)
+
+
+def shared_about(a: str, b: str) -> Column:
+    """Distinct values that both sketches have seen."""
+    return F.theta_sketch_estimate(F.theta_intersection(a, b))
+
+
+def close_enough(about: Column, exact: Column, of: Column) -> Column:
+    """Whether an estimate is as good as it has to be: exact while all ``of`` values fit the sketch, else within three
+    standard errors of the whole."""
+    return F.when(of <= 1 << SKETCH_BITS, about == exact).otherwise(F.abs(about - exact) <= of * 3 / 2 ** (SKETCH_BITS / 2))
 
 
 def third_party_urls(requests: DataFrame, own_origin: str) -> DataFrame:

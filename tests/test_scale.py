@@ -420,3 +420,18 @@ def test_equal_lists_are_not_joined_by_place(spark, monkeypatch):
     assert {tuple(r) for r in d.where("not equal").collect()} == {(7, False, 2), (8, False, 1), (9, False, 20), (51, False, 1)} and d.count() == 51
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") > plan.index("FullOuter") and plan.count("LeftSemi") == 2  # what meets by place went through the filter
+
+
+def test_sketches_are_united_and_intersected(spark):
+    d = spark.range(60_000).select((F.col("id") % 7).alias("session"), F.when(F.col("id") % 3 == 0, "open").otherwise("pay").alias("phase"), F.concat(F.lit("https://x"), F.col("id") % 20_000, F.lit(".test/")).alias("url"))
+    d = d.unionByName(d.limit(500))
+    by = flows.united(flows.third_party_sketches(d, "https://own.test"), ["phase"])
+    about = {r["phase"]: r["n"] for r in by.select("phase", flows.distinct_about("third_party").alias("n")).collect()}
+    exact = {r["phase"]: r["n"] for r in d.groupBy("phase").agg(F.count_distinct("url").alias("n")).collect()}
+    assert all(abs(about[p] - exact[p]) < 0.05 * exact[p] for p in exact) and about != exact
+    both = by.where("phase = 'open'").select(F.col("third_party").alias("a")).crossJoin(by.where("phase = 'pay'").select(F.col("third_party").alias("b")))
+    shared = d.where("phase = 'open'").select("url").distinct().join(d.where("phase = 'pay'").select("url").distinct(), "url").count()
+    row = both.select(flows.shared_about("a", "b").alias("n"), flows.close_enough(flows.shared_about("a", "b"), F.lit(shared), F.lit(20_000)).alias("ok"), flows.close_enough(F.lit(shared + 3000), F.lit(shared), F.lit(20_000)).alias("bad")).first()
+    assert row["ok"] and not row["bad"]
+    small = flows.egress_counter(d.where("url like '%1.test/'").withColumn("bytes", F.lit(1).cast("long")), "https://own.test")
+    assert {(r["n"],) for r in small.select(flows.distinct_about("third_party").alias("n")).collect()} == {(r["n"],) for r in d.where("url like '%1.test/'").groupBy("session").agg(F.count_distinct("url").alias("n")).collect()}
