@@ -87,6 +87,14 @@ def template_pattern(source: str | Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(escaped, ".+?"), F.lit("$"))
 
 
+def matches_source(served: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """(…, matches): whether a served text is what its source says, tokens aside. ``sources`` has one source per key; a
+    text without one does not match."""
+    d = served.join(sources.select(key, "source"), key, "left")
+    hit = F.rlike(F.trim(normalise("text")), template_pattern("source"))
+    return d.withColumn("matches", F.coalesce(hit, F.lit(False))).drop("source")
+
+
 # -- page rules --------------------------------------------------------------------------------
 
 

@@ -231,19 +231,39 @@ MERGE = f"""per AS (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM or
   z AS (SELECT o_custkey, count(*) AS n_sizes, string_agg(label, ' and ' ORDER BY label) AS sizes_text FROM lab GROUP BY 1)"""
 
 
-def merge_summary(t):
-    """Counts fold per file; a run's text names each of its files by definition."""
+def merged_files(t):
+    """The pieces of every merge: one row per file with its pages."""
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    files = t.orders.select("o_custkey", "o_orderkey").join(lines, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return t.orders.select("o_custkey", "o_orderkey").join(lines, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def merge_summary(t):
+    """Counts fold per file; the text that names each of a run's files is put together for those who ask for it."""
+    files = merged_files(t)
     text = ordered.text_in_order(files, ["o_custkey"], "o_orderkey", F.col("n").cast("string"), " + ", "pages_text")
+    return merge_counts(t, files).join(text, "o_custkey").select("o_custkey", "files", "pages", "pages_text", "bookmarks", "n_sizes", "sizes_text")
+
+
+def merge_counts(t, files):
     g = files.groupBy("o_custkey").agg(F.count("*").alias("files"), F.sum("n").alias("pages"), F.count_if(F.col("n") > 2).alias("bookmarks"))
-    g = g.join(text, "o_custkey").select("o_custkey", "files", "pages", "pages_text", "bookmarks")
     labels = t.file_pages.select(F.col("doc_id").alias("o_orderkey"), S.page_size_name("width_pt", "height_pt").alias("label")).distinct()
     labels = labels.join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_custkey", "label").distinct()
     z = labels.groupBy("o_custkey").agg(F.count("*").alias("n_sizes"), F.array_join(F.array_sort(F.collect_list("label")), " and ").alias("sizes_text"))
     return g.join(z, "o_custkey", "left")
 
 
+@query("q_d25_merge_pieces", f"WITH {MERGE} SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, n AS pages FROM per")
+def _(t):
+    """The pieces in order, for runs of any number of files."""
+    placed = ordered.number(merged_files(t), ["o_custkey"], ["o_orderkey"], ordered.chunk_of("o_orderkey"), "place")
+    return placed.select("o_custkey", "o_orderkey", "place", F.col("n").alias("pages"))
+
+
+@query("q_d25_merge_counts", f"WITH {MERGE} SELECT g.* EXCLUDE (pages_text), n_sizes, sizes_text FROM g LEFT JOIN z USING (o_custkey)")
+def _(t):
+    return merge_counts(t, merged_files(t))
+
+
 @query("q_d25_merge_summary", f"WITH {MERGE} SELECT g.*, n_sizes, sizes_text FROM g LEFT JOIN z USING (o_custkey)")
 def _(t):
     return merge_summary(t)
@@ -252,12 +272,22 @@ def _(t):
 SPLIT = "part AS (SELECT doc_id, page_index // 3 + 1 AS no, count(*) AS n FROM doc_page_index GROUP BY 1, 2), sp AS (SELECT doc_id, count(*) AS parts, sum(n)::bigint AS pages, string_agg(n, ' + ' ORDER BY no) AS pages_text FROM part GROUP BY 1)"
 
 
+def split_parts(t):
+    return pages.split_every(t.doc_page_index, 3).groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+
+
 def split_summary(t):
-    part = pages.split_every(t.doc_page_index, 3).groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    part = split_parts(t)
     text = ordered.text_in_order(part, ["doc_id"], "part", F.col("n").cast("string"), " + ", "pages_text")
     return part.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n").alias("pages")).join(text, "doc_id")
 
 
+@query("q_d26_split_pieces", f"WITH {SPLIT} SELECT doc_id, no AS place, n AS pages FROM part")
+def _(t):
+    """The parts one by one, for documents of any number of them."""
+    return split_parts(t).select("doc_id", F.col("part").cast("long").alias("place"), F.col("n").alias("pages"))
+
+
 @query("q_d26_split_summary", f"WITH {SPLIT} SELECT * FROM sp")
 def _(t):
     return split_summary(t)

@@ -204,15 +204,32 @@ def _(t):
                            (rules.is_fresh("ts", now, "24 hours", "60 seconds") & (F.col("ts") != now - F.expr("INTERVAL 24 hours"))).alias("pending"))
 
 
-@query("q_b20_licence_gate", """SELECT name, CASE WHEN regexp_matches(licence, '(^|[^A-Za-z])A?GPL') THEN 'forbidden' WHEN licence IN ('MIT', 'Apache-2.0', 'BSD-3-Clause') THEN 'allowed' ELSE 'unclear' END AS verdict FROM packages""")
+MIXED = ["MIT AND Custom-1.0", "Custom-1.0 OR Other-2.0", "(GPL-3.0 OR MIT)", "(Custom-1.0 or Apache-2.0)", "UNKNOWN", "LGPL-2.1", "MIT", "Custom-1.0"]
+
+
+@query("q_b20_licence_gate", f"""SELECT name, CASE WHEN regexp_matches(licence, '(^|[^A-Za-z])A?GPL') THEN 'forbidden' WHEN licence IN ('MIT', 'Apache-2.0', 'BSD-3-Clause') THEN 'allowed' ELSE 'unclear' END AS verdict FROM packages
+    UNION ALL SELECT 'mixed-' || p_partkey, ['allowed', 'unclear', 'forbidden', 'allowed', 'unclear', 'unclear', 'allowed', 'unclear'][p_partkey % 8 + 1] FROM part""")
 def _(t):
-    return t.packages.select("name", rules.licence_verdict("licence").alias("verdict"))
+    """Single licences and expressions of several, some of them known in part."""
+    mixed = t.part.select(F.concat(F.lit("mixed-"), "p_partkey").alias("name"), choose(F.col("p_partkey") % 8, MIXED).alias("licence"))
+    return t.packages.select("name", "licence").unionByName(mixed).select("name", rules.licence_verdict("licence").alias("verdict"))
+
 
+GOOD_TITLE, GOOD_DESCRIPTION = "A title of fitting length", "A description that is neither too short nor too long for a result list."
+HEADS = [f'<title>{GOOD_TITLE}</title><meta name="description" content="{GOOD_DESCRIPTION}"><link rel="canonical" href="/"><meta property="og:title" content="x">',
+         f'<title>Too short</title><meta name="description" content="{GOOD_DESCRIPTION}"><link rel="canonical" href="/"><meta property="og:title" content="x">',
+         f'<title>{GOOD_TITLE}</title><meta name="description" content="Too short."><link rel="canonical" href="/"><meta property="og:title" content="x">',
+         f'<title>{GOOD_TITLE}</title><meta name="description" content="{GOOD_DESCRIPTION}"><meta property="og:title" content="x">',
+         f'<title>{GOOD_TITLE}</title><meta name="description" content="{GOOD_DESCRIPTION}"><link rel="canonical" href="/">', ""]
 
-@query("q_b21_metadata_audit", f"""SELECT page_id, length({TITLE}) AS title_chars, length(regexp_extract(html, 'name="description" content="([^"]*)"', 1)) AS description_chars,
-    contains(html, 'rel="canonical"') AS canonical, contains(html, 'property="og:title"') AS og, {js_round('strlen(html) / 1024.0::double')} AS kb, true AS flagged FROM pages""")
+
+@query("q_b21_metadata_audit", f"""WITH p AS (SELECT page_id, {HEADS}[page_id % 6 + 1] || html AS html FROM pages),
+    m AS (SELECT page_id, length({TITLE}) AS title_chars, length(regexp_extract(html, 'name="description" content="([^"]*)"', 1)) AS description_chars,
+      contains(html, 'rel="canonical"') AS canonical, contains(html, 'property="og:title"') AS og, {js_round('strlen(html) / 1024.0::double')} AS kb FROM p)
+    SELECT *, NOT (title_chars BETWEEN 15 AND 70 AND description_chars BETWEEN 50 AND 165 AND canonical AND og) AS flagged FROM m""")
 def _(t):
-    return audit.metadata_audit(t.pages)
+    """A sixth of the pages carries all it should; the others each lack something."""
+    return audit.metadata_audit(t.pages.withColumn("html", F.concat(choose(F.col("page_id") % 6, HEADS), F.col("html"))))
 
 
 @query("q_b22_invariants", r"""SELECT page_id, unnest(list_filter(['missing a skip link', CASE WHEN NOT regexp_matches(html, '<main[^>]*id="main"') THEN 'missing a main landmark' END,
@@ -223,9 +240,17 @@ def _(t):
     return audit.invariant_problems(t.pages)
 
 
-@query("q_b23_foreign_scripts", "SELECT page_id, 'inline script' AS script FROM pages WHERE contains(html, '<script>') GROUP BY 1")
+DATA = '<script type="application/ld+json">'
+TAGS = ['<script src="/assets/net-ABCD1234.js"></script>', '<script defer src="https://cdn.example.net/x.js"></script><script src="/assets/own.js"></script>',
+        '<script src="/assets/deep/own.js"></script><script>', ""]
+
+
+@query("q_b23_foreign_scripts", """SELECT page_id, unnest(CASE page_id % 4 WHEN 1 THEN ['https://cdn.example.net/x.js'] WHEN 2 THEN ['/assets/deep/own.js', 'inline script'] WHEN 3 THEN CASE WHEN contains(html, '<script>') THEN ['inline script'] ELSE [] END ELSE [] END) AS script FROM pages""")
 def _(t):
-    return audit.foreign_scripts(t.pages)
+    """Own scripts and structured data pass; foreign ones and code inside the page do not."""
+    k = F.col("page_id") % 4
+    html = F.when(k < 3, F.concat(choose(k, TAGS), F.replace("html", F.lit("<script>"), F.lit(DATA)))).otherwise(F.col("html"))
+    return audit.foreign_scripts(t.pages.withColumn("html", html))
 
 
 CLAIM, NEGATED = r"\b(this|that|will|qui|der|la)\b", r"\b(not|never|nothing|no)\b"

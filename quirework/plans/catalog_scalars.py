@@ -123,13 +123,17 @@ def _(t):
                           audit.meta_of("html", "description").alias("description"), audit.build_of("html", "build").alias("build"))
 
 
-@query("q_h15_template_match", f"""SELECT page_id, length(title) >= 9 AND NOT (page_id % 3 = 0) AS matches FROM (SELECT page_id, {normalise(TITLE)} AS title FROM pages)""")
-def _(t):
-    title = F.trim(audit.normalise(audit.title_of("html")))
-    d = t.pages.select("page_id", title.alias("title"))
-    wrong = F.when(F.col("page_id") % 3 == 0, F.lit("~")).otherwise(F.lit(""))
-    source = F.concat(F.substring("title", 1, 5), wrong, F.lit("{{name}}"), F.right("title", F.lit(3)))
-    return d.select("page_id", F.rlike("title", audit.template_pattern(source)).alias("matches"))
+@query("q_h15_template_match", f"""WITH s AS (SELECT page_id, trim({normalise(TITLE)}) AS title, page_id % 30 AS k FROM pages)
+    SELECT page_id, CASE WHEN n_nationkey IS NULL THEN false WHEN k % 5 = 0 THEN regexp_full_match(title, '.+?[.]') WHEN k % 5 = 1 THEN starts_with(title, substr(n_name, 1, 1)) AND length(title) > 1
+      WHEN k % 5 = 2 THEN regexp_full_match(title, '.+? the .+?') WHEN k % 5 = 3 THEN regexp_full_match(title, 'T.+?e.+?') ELSE title = n_name END AS matches FROM s LEFT JOIN nation ON n_nationkey = k""")
+def _(t):
+    """Titles against the templates of another table, one per section; some sections have none."""
+    letter = F.substring("n_name", 1, 1)
+    k = F.col("n_nationkey") % 5
+    source = (F.when(k == 0, "{{rest}}.").when(k == 1, F.concat(letter, F.lit("{{rest}}"))).when(k == 2, "{{a}} the {{b}}").when(k == 3, "T{{a}}e{{b}}").otherwise(F.col("n_name")))
+    sources = t.nation.select(F.col("n_nationkey").cast("long").alias("section"), source.alias("source"))
+    served = t.pages.select("page_id", (F.col("page_id") % 30).alias("section"), audit.title_of("html").alias("text"))
+    return audit.matches_source(served, sources, "section").select("page_id", "matches")
 
 
 @query("q_h16_slug", rf"SELECT page_id, regexp_replace(trim(regexp_replace(lower({TITLE}), '[^\w\s-]', '', 'g')), '\s', '-', 'g') AS slug FROM pages")
