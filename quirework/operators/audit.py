@@ -213,38 +213,54 @@ def _by_automaton(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     return texts.select(key, "text").mapInArrow(run, schema)
 
 
-def text_grams(text: str, lengths: list[int]) -> Column:
-    """A text's distinct grams: its words, its pairs of neighbouring words, and its runs of the given lengths."""
-    w = F.split(text, " ")
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    runs = [F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.concat(F.lit("\0"), g)) for n in lengths]
-    return F.array_distinct(F.concat(w, pairs, *runs))
+def _pairs(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def gram_kinds(phrases: DataFrame) -> tuple[bool, bool, list[int]]:
+    """Which grams the phrases are looked up by: words (phrases of three), pairs (of more), runs of these lengths (of fewer)."""
+    words = F.size(F.split("phrase", " "))
+    run = F.when(words <= 2, F.least(F.length("phrase"), F.lit(GRAM)))
+    got = phrases.select(F.least(words, F.lit(4)).alias("w"), run.alias("n")).distinct().collect()
+    return any(r["w"] == 3 for r in got), any(r["w"] == 4 for r in got), sorted({r["n"] for r in got if r["n"]})
+
+
+def text_grams(text: str, kinds: tuple[bool, bool, list[int]]) -> Column:
+    """A text's distinct grams of these kinds."""
+    w, (words, pairs, lengths) = F.split(text, " "), kinds
+    parts = [w] * words + [_pairs(w)] * pairs
+    parts += [F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.concat(F.lit("\0"), g)) for n in lengths]
+    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
 def phrase_grams(phrase: str) -> Column:
-    """The grams that any text holding the phrase must have: the words strictly inside it and their pairs, or (of one or two
-    words) its runs of three characters, or fewer if it has no more."""
+    """The grams that any text holding the phrase must have: the pairs of words strictly inside it (the word, if there is
+    one), or of one or two words its runs of three characters, or fewer if it has no more."""
     w = F.split(phrase, " ")
     inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    pairs = F.zip_with(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))), F.slice(inner, 2, F.greatest(F.size(inner) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     n = F.least(F.length(phrase), F.lit(GRAM))
     runs = F.transform(F.sequence(F.lit(1), F.length(phrase) - n + 1), lambda i: F.concat(F.lit("\0"), F.col(phrase).substr(i, n)))
-    return F.array_distinct(F.when(F.size(w) > 2, F.concat(inner, pairs)).otherwise(runs))
+    return F.array_distinct(F.when(F.size(w) == 3, inner).when(F.size(w) > 3, _pairs(inner)).otherwise(runs))
 
 
-def keyed_phrases(texts: DataFrame, phrases: DataFrame, lengths: list[int]) -> DataFrame:
+def keyed_phrases(texts: DataFrame, phrases: DataFrame, kinds: tuple[bool, bool, list[int]]) -> DataFrame:
     """(phrase_id, phrase, gram, salts): each phrase with the gram that fewest texts have, and how many parts those texts
     are cut into. Phrases with a gram that no text has are left out: nothing can hold them."""
     wanted = phrases.select("phrase_id", "phrase", F.explode(phrase_grams("phrase")).alias("gram"))
-    found = texts.select(F.explode(text_grams("text", lengths)).alias("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
+    asked = cut_lineage(wanted.select("gram").distinct())
+    found = texts.select(F.explode(text_grams("text", kinds)).alias("gram"))
+    if asked.count() <= KEYS_HELD:  # so that grams no phrase has are not even counted
+        found = found.join(F.broadcast(asked), "gram", "left_semi")
+    found = found.groupBy("gram").agg(F.count("*").alias("texts"))
     d = wanted.join(found, "gram", "left").groupBy("phrase_id", "phrase").agg(
         F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.min("texts").alias("texts"), F.count_if(F.col("texts").isNull()).alias("absent"))
     return d.where("absent = 0").select("phrase_id", "phrase", "gram", F.ceil(F.col("texts") / GRAM_ROWS).cast("int").alias("salts"))
 
 
-def _salted(texts: DataFrame, key: str, keys: DataFrame, lengths: list[int]) -> DataFrame:
+def _salted(texts: DataFrame, key: str, keys: DataFrame, kinds: tuple[bool, bool, list[int]]) -> DataFrame:
     """(key, text, gram, salt) of the texts' grams that some phrase is looked up by."""
-    d = texts.select(key, "text", F.explode(text_grams("text", lengths)).alias("gram"))
+    d = texts.select(key, "text", F.explode(text_grams("text", kinds)).alias("gram"))
     by_gram = keys.groupBy("gram").agg(F.max("salts").alias("salts"))
     if by_gram.count() <= KEYS_HELD:
         d = d.join(F.broadcast(by_gram), "gram")
@@ -255,10 +271,10 @@ def _salted(texts: DataFrame, key: str, keys: DataFrame, lengths: list[int]) ->
 
 def _by_rarest_gram(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     """Texts and phrases meet on (gram, part); a text travels once per key it has, and equality of the whole decides."""
-    lengths = sorted(r[0] for r in phrases.where(F.size(F.split("phrase", " ")) <= 2).select(F.least(F.length("phrase"), F.lit(GRAM))).distinct().collect())
-    keys = cut_lineage(keyed_phrases(texts, phrases, lengths))
+    kinds = gram_kinds(phrases)
+    keys = cut_lineage(keyed_phrases(texts, phrases, kinds))
     parts = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    found = _salted(texts, key, keys, lengths).join(parts.select("gram", "salt", "phrase_id", "phrase"), ["gram", "salt"])
+    found = _salted(texts, key, keys, kinds).join(parts.select("gram", "salt", "phrase_id", "phrase"), ["gram", "salt"])
     return found.where(F.contains("text", F.col("phrase"))).select(key, "phrase_id")
 
 

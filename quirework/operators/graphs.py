@@ -104,15 +104,21 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     sure = F.lit(True).alias("sure")
     try:
         save(edges.select("src", "dst"), "edges", "src")
-        hop, (found, _) = 0, put(start.select("node").distinct().select("node", sure), 0)
+        hop, (found, doubts) = 0, put(start.select("node").distinct().select("node", sure), 0)
         while found:
             frontier = held().where((F.col("hop") == hop) & F.col("sure")).select(F.col("node").alias("src"))
             step = spark.table(f"{name}_edges").join(frontier, "src").select(F.col("dst").alias("node")).where("node is not null").distinct()
             hop += 1
-            found, unsure = put(step.select("node", (~_maybe_visited("node", maps)).alias("sure")), hop)
-            if unsure:
+            before = held().where((F.col("hop") < hop) & F.col("sure")).select("node")
+            maybe = _maybe_visited("node", maps)
+            if doubts:  # where the last hop had some, all are held against the table at once
+                asked = Observation()
+                step = step.observe(asked, F.count_if(maybe).alias("open")).join(before, "node", "left_anti")
+                found, doubts = put(step.select("node", sure), hop)[0], asked.get["open"]
+                continue
+            found, doubts = put(step.select("node", (~maybe).alias("sure")), hop)
+            if doubts:
                 doubtful = held().where((F.col("hop") == hop) & ~F.col("sure")).select("node")
-                before = held().where((F.col("hop") < hop) & F.col("sure")).select("node")
                 found += put(doubtful.join(before, "node", "left_anti").select("node", sure), hop)[0]
         return spark.read.schema(held().schema).parquet(f"{path}/nodes").where("sure").select("node", F.col("hop").cast("long").alias("hop"))
     finally:

@@ -242,43 +242,53 @@ def _keepers(children: DataFrame, parent: list[str]) -> DataFrame:
     d = ordered.number(children, parent, ["_k"], ordered.chunk_of("_k"), "_i")
     d = cut_lineage(d.withColumn("_c", F.floor((F.col("_i") - 1) / FOLD)).withColumn("_limit", F.col("_k") - F.col("_ahead")))
     at = [*parent, "_c"]
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_k")
-        always, places = step_map(rows["_limit"].tolist(), int(rows["_i"].iloc[0]) - 1)
-        return pd.DataFrame([(*key, always, places)], columns=[*at, "_always", "_places"])
-
+    n, names = len(at), children.columns
     kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
     head = ", ".join(f"`{c}` {kinds[c]}" for c in at)
-    maps = d.select(*at, "_k", "_i", "_limit").groupBy(*at).applyInPandas(fold, f"{head}, _always long, _places array<long>")
-    maps = maps.repartition(*parent).sortWithinPartitions(*at)
+
+    # Frames hold many small chunks or part of a large one; rows come sorted, and what is held is one chunk's limits.
+    def fold(frames):
+        here, first, limits = None, 0, []
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[:n] != here:
+                    if here is not None:
+                        out.append((*here, *step_map(limits, first - 1)))
+                    here, first, limits = row[:n], row[n], []
+                limits.append(row[n + 1])
+            yield pd.DataFrame(out, columns=[*at, "_always", "_places"])
+        if here is not None:
+            yield pd.DataFrame([(*here, *step_map(limits, first - 1))], columns=[*at, "_always", "_places"])
 
     def starts(frames):
         here, s = None, 0
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False):
-                key = tuple(row[: len(parent)])
-                if key != here:
-                    here, s = key, 0
-                out.append((*row[: len(at)], s))
-                s += row[len(at)] + int((row[len(at) + 1] > s).sum())
+            for row in frame.itertuples(index=False, name=None):
+                if row[: n - 1] != here:
+                    here, s = row[: n - 1], 0
+                out.append((*row[:n], s))
+                s += row[n] + int((row[n + 1] > s).sum())
             yield pd.DataFrame(out, columns=[*at, "_s"])
 
-    first = maps.mapInPandas(starts, f"{head}, _s long")
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_k")
-        s, before, kept = int(rows["_s"].iloc[0]), [], []
-        for limit in rows["_limit"].tolist():
-            before.append(s)
-            kept.append(s < limit)
-            s += s < limit
-        return rows.assign(_before_it=before, _kept=kept)[[*names, "_before_it", "_kept"]]
-
-    names = children.columns
+    def decide(frames):
+        here, s = None, 0
+        for frame in frames:
+            before, kept = [], []
+            for row in frame[[*at, "_limit", "_s"]].itertuples(index=False, name=None):
+                if row[:n] != here:
+                    here, s = row[:n], row[n + 1]
+                before.append(s)
+                kept.append(s < row[n])
+                s += s < row[n]
+            yield frame.assign(_before_it=before, _kept=kept)[[*names, "_before_it", "_kept"]]
+
+    d = d.repartition(*at).sortWithinPartitions(*at, "_k")
+    maps = d.select(*at, "_i", "_limit").mapInPandas(fold, f"{head}, _always long, _places array<long>")
+    first = maps.repartition(*parent).sortWithinPartitions(*at).mapInPandas(starts, f"{head}, _s long")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _before_it long, _kept boolean"
-    return d.join(first, at).groupBy(*at).applyInPandas(decide, schema)
+    return d.join(first, at).repartition(*at).sortWithinPartitions(*at, "_k").mapInPandas(decide, schema)
 
 
 def _named(d: DataFrame, group: list[str], kept: DataFrame | None, extra: DataFrame | None) -> DataFrame:

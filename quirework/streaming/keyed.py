@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..operators import ordered, purchases
 from . import flows
 
-DELIVERIES = 4096  # arrivals in one chunk of a transaction
+DELIVERIES = 65_536  # arrivals in one chunk of a transaction
 
 
 def _maker(schema: str) -> Row:

@@ -324,9 +324,9 @@ def test_many_phrases_of_common_words(spark, monkeypatch):
     phrases = spark.range(100_000).select(F.col("id").alias("phrase_id"), pick(1, F.lit(9)).alias("phrase")).cache()
     texts = spark.range(3000).select(F.col("id").alias("k"), pick(2, F.lit(40)).alias("text")).cache()
     phrases = phrases.unionByName(texts.where("k % 7 = 0").select((F.col("k") + 1_000_000).alias("phrase_id"), F.substring("text", 11, 60).alias("phrase"))).where("phrase like '% % % %'")
-    keys = audit.keyed_phrases(texts, phrases, []).cache()
+    keys = audit.keyed_phrases(texts, phrases, (False, True, [])).cache()
     assert keys.agg(F.max("salts")).first()[0] > 1
-    load = [r[0] for r in audit._salted(texts, "k", keys, []).groupBy("gram", "salt").count().select("count").collect()]
+    load = [r[0] for r in audit._salted(texts, "k", keys, (False, True, [])).groupBy("gram", "salt").count().select("count").collect()]
     assert max(load) <= 3 * sorted(load)[len(load) // 2] and len(load) > 100
     want = {(r["k"], r["phrase_id"]) for r in audit.phrase_hits(texts, "k", phrases, True).collect()}
     assert len(want) > 300 and {tuple(r) for r in audit.phrase_hits(texts, "k", phrases, False).collect()} == want
