@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 Mark-up is stripped to lines, one per block element. Scripts, styles, forms, menus, page headers and footers, sidebars,
-adverts, notices and reader comments (by element, role, class or id) go without a trace, so text goes on behind them;
-outside an article lines that are mostly link text count as empty. Text lengths are summed over windows of ``SPAN`` lines; text starts where
-that sum surges and ends where it dives to nothing. Inside an ``article`` (or ``main``) element any text is a surge;
-without one the sum must reach ``SURGE`` characters or half the page's largest sum, whichever is less. All lines
-between a surge and its dive are kept.
+adverts, notices and reader comments (by element or role, or by a class or id that is such a word or starts or ends with
+one; never a heading or paragraph by its class or id, a section only by a whole name) go without a trace, so text goes on
+behind them; outside an article lines that are mostly link text count as empty. Text lengths are summed over windows of
+``SPAN`` lines; text starts where that sum surges, with the lines that lead up to it, and ends where it dives to nothing.
+Inside an ``article`` (or ``main``) element any text is a surge; without one the sum must reach ``SURGE`` characters or
+half the page's largest sum, whichever is less. All lines between a surge and its dive are kept. Articles of mostly link
+text are announcements of others and count only where a page has nothing else.
 
 White space inside a block is one space, blocks are trimmed and joined by a blank line. Null, empty and text-free pages
 give the empty string; unclosed elements end with the page or where an article starts. Pages are read row by row, so
@@ -15,6 +17,7 @@ repeated rows, ties and further columns do not matter.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,8 +29,8 @@ from .common import narrow
 SPAN = 3
 SURGE = 80
 
-# Attributes end at the first > outside quotes; a tag whose quotes never close ends at the first > of all.
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
+# A tag ends at the first > outside quoted values; a quote counts directly behind = and if it is closed.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -42,36 +45,52 @@ SPACED = {"br", "td", "th", "img", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 BOILERPLATE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice",
                "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "footer", "masthead", "comment", "comments", "disqus", "replies", "respond", "share", "sharing",
-               "social", "related", "recommended", "newsletter", "subscribe", "popup", "modal", "login", "signup", "pagination", "pager", "toolbar", "copyright"}
+               "social", "related", "recommended", "newsletter", "subscribe", "popup", "modal", "login", "signup", "pagination", "pager", "toolbar", "copyright", "teaser", "teasers"}
 
 
-def _boilerplate(attributes: str, in_article: bool) -> bool:
+# Parts that make a name say something about the page around it, or about what is not there.
+AROUND = {"has", "no", "not", "with", "without", "is", "hide", "layout", "page", "wrap", "wrapper", "container", "main", "grid", "template"}
+# Headings and paragraphs get their ids from their own words; sections only count by a whole name.
+PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def _boilerplate(element: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element's attributes say that it is no main text: by whole class and id names, or their first or last part."""
     if _HIDDEN.search(attributes):
         return True
+    if element in PLAIN:
+        return False
+    words = BOILERPLATE if in_article else BOILERPLATE | {"header"}
     for name, *values in _NAMES.findall(attributes):
-        found = set(_WORD.findall("".join(values).lower()))
-        if found & (ROLES if name.lower() == "role" else BOILERPLATE) or (not in_article and "header" in found):
-            return True
+        for token in "".join(values).lower().split():
+            if name.lower() == "role":
+                if token in ROLES:
+                    return True
+                continue
+            parts = _WORD.findall(token)
+            if token in words or element not in ("section", "article") and parts and {parts[0], parts[-1]} & words and not AROUND.intersection(parts):
+                return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside an article, characters of link text) of each block, and empty lines where an article starts or ends."""
-    out: list[tuple[str, bool, int]] = []
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, the number of the outermost article it is in or 0, characters of link text) of each block, and empty lines
+    where an article starts or ends."""
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
-    linked = article = in_link = 0
+    linked = article = articles = in_link = 0  # article: how many are open
     at, end = 0, len(page)
 
     def close() -> None:
         nonlocal text, linked
         whole = " ".join("".join(text).split())
         if whole:
-            out.append((whole, article > 0, linked))
+            out.append((whole, articles if article else 0, linked))
         text, linked = [], 0
 
     def gap() -> None:
         close()
-        out.extend([("", article > 0, 0)] * SPAN)
+        out.extend([("", articles if article else 0, 0)] * SPAN)
 
     dropped, depth = "", 0  # the element being dropped, and how many of its name are open
     while at < end:
@@ -108,7 +127,7 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                 close()
             continue
         if not closing and not attributes.endswith("/") and name not in ("body", "html") and (
-                name in DROPPED or name == "header" and not article or name not in ARTICLE and _boilerplate(attributes, article > 0)):
+                name in DROPPED or name == "header" and not article or name != "main" and _boilerplate(name, attributes, article > 0)):
             close()
             dropped, depth = name, 1
             continue
@@ -121,25 +140,35 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
             if name in ARTICLE:
                 if not article and not closing:
                     gap()
+                    articles += 1
                 article = max(0, article + (-1 if closing else 1))
                 if not article and closing:
-                    out.extend([("", False, 0)] * SPAN)
+                    out.extend([("", 0, 0)] * SPAN)
     close()
     return out
 
 
 def main_text(page: str | None) -> str:
     rows = lines(page or "")
-    in_article = any(inside and text for text, inside, _ in rows)
-    size = [0 if not text or (in_article and not inside) or (not in_article and 2 * linked > len(text)) else len(text) for text, inside, linked in rows]
+    # Articles of mostly link text announce others; they count only where there is nothing else.
+    length, links = Counter(), Counter()
+    for text, article, linked in rows:
+        length[article] += len(text)
+        links[article] += linked
+    inside = {k for k in length if k and length[k]}
+    inside = {k for k in inside if 2 * links[k] <= length[k]} or inside
+    size = [0 if not text or (inside and article not in inside) or (not inside and 2 * linked > len(text)) else len(text) for text, article, linked in rows]
     sums = [sum(size[i : i + SPAN]) for i in range(len(size))]
-    surge = 1 if in_article else max(1, min(SURGE, max(sums, default=0) / 2))
+    surge = 1 if inside else max(1, min(SURGE, max(sums, default=0) / 2))
     kept, on = [], False
     for i, total in enumerate(sums):
         if on and not total:
             on = False
         elif not on and total >= surge:
-            on = True
+            on, first = True, i
+            while first and size[first - 1]:
+                first -= 1
+            kept += [rows[j][0] for j in range(first, i)]
         if on and size[i]:
             kept.append(rows[i][0])
     return "\n\n".join(kept)

@@ -30,6 +30,26 @@ def test_short_text_behind_what_is_dropped():
         assert main_text(page) == "\n\n".join(["Head", LONG.strip(), "Next", "Short.", "one", "Closing."])
 
 
+def test_names_are_evidence_not_verdicts():
+    assert main_text(f'<div class="content has-sidebar"><p>{LONG}</p></div>') == LONG.strip()
+    assert main_text(f'<div class="page with-ads no-sidebar"><p>{LONG}</p><div class="sidebar-left"><p>{LONG}</p></div><div class="cookie-notice">We use</div></div>') == LONG.strip()
+    page = f'<article><p>{LONG}</p><section id="related-work"><h2 id="social-history">Social history</h2><p>Text.</p></section><p class="copyright">Mine.</p><section class="comments"><p>Nice!</p></section></article>'
+    assert main_text(page) == "\n\n".join([LONG.strip(), "Social history", "Text.", "Mine."])
+    assert main_text("<article><p title=it's>first one</p><p>don't stop</p><p data-x = 'a>b' y=\"c>d\">end</p></article>") == "first one\n\ndon't stop\n\nend"
+
+
+def test_teasers_are_not_the_article():
+    page = f'<article class="teaser"><h2>Other news</h2><p>Short.</p></article><article><h1>Head</h1><p>{LONG}</p><p>Tail.</p><article class="comment"><p>First!</p></article></article><article><h3><a href="y">Read this one next</a></h3></article>'
+    assert main_text(page) == f"Head\n\n{LONG.strip()}\n\nTail."
+    assert main_text('<article><a href="y">Read this</a></article><article><a href="z">Or that</a></article>') == "Read this\n\nOr that"
+    assert main_text("<article><p>One part.</p></article><article><p>Another part.</p></article>") == "One part.\n\nAnother part."
+
+
+def test_given_pages_without_article_elements(spark, folder):
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        assert main_text(re.sub(r"(</?)article", r"\1div", r["html"])) == main_text(r["html"])
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p>  </p>") == main_text("<script>x") == ""
     assert main_text("just text &lt;b&gt; &am") == "just text <b> &am"
