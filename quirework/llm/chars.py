@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,9 @@ import pyarrow as pa
 from .common import row_slices
 from .words import mix
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Word characters that are numbers and no letters (superscripts, fractions, Roman and circled numbers).
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
 _STEP = np.uint64(0x5851F42D4C957F2D)
 
 
