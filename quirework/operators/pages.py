@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,19 @@ from .rules import first_match
 # What a reader is told, and the shape of one part of a typed range.
 NO_RANGES = "none"
 NO_PAGES = "Type which pages you want, for example 1-4, 7."
+NOT_A_RANGE = "{part} is not a page or a range. Use numbers like 3 or 5-9."
+BELOW_ONE = "Pages are numbered from 1."
+PAST_THE_END = "This document has {pages} pages, so {page} does not exist."
+BACKWARDS = "{part} runs backwards. Write it as {hi}-{lo}."
 RANGE_PART = r"^(\d+)\s*(?:[-–—]\s*(\d+))?$"
 
 
+def said(words: str, **values: Column) -> Column:
+    """Fixed words with values in their places."""
+    parts = re.split(r"\{(\w+)\}", words)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
 # -- ranges -----------------------------------------------------------------------------------
 
 
@@ -33,8 +45,8 @@ def range_label(first: Column, last: Column) -> Column:
 
 def describe_ranges(pages: DataFrame, keys: list[str], page: str, out: str = "ranges", groups: DataFrame | None = None) -> DataFrame:
     """"1-3, 5" per group, from the runs already folded from pages; ``none`` for those of ``groups`` without a page."""
-    said = ordered.text_in_order(islands(pages, keys, page), keys, "first", range_label(F.col("first"), F.col("last")), ", ", out)
-    return said if groups is None else groups.join(said, keys, "left").select(*keys, F.coalesce(out, F.lit(NO_RANGES)).alias(out))
+    text = ordered.text_in_order(islands(pages, keys, page), keys, "first", range_label(F.col("first"), F.col("last")), ", ", out)
+    return text if groups is None else groups.join(text, keys, "left").select(*keys, F.coalesce(out, F.lit(NO_RANGES)).alias(out))
 
 
 def parse_ranges(requests: DataFrame, key: str, text: str, page_count: str) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +62,10 @@ def parse_ranges(requests: DataFrame, key: str, text: str, page_count: str) -> t
     n = F.col(page_count)
     quoted = F.concat(F.lit('"'), F.col("part"), F.lit('"'))
     parts = parts.withColumn("error", first_match([
-        (~F.col("part").rlike(RANGE_PART), F.concat(quoted, F.lit(" is not a page or a range. Use numbers like 3 or 5-9."))),
-        ((F.col("lo") < 1) | (F.col("hi") < 1), "Pages are numbered from 1."),
-        ((F.col("lo") > n) | (F.col("hi") > n), F.concat(F.lit("This document has "), n, F.lit(" pages, so "), F.greatest("lo", "hi"), F.lit(" does not exist."))),
-        (F.col("hi") < F.col("lo"), F.concat(quoted, F.lit(" runs backwards. Write it as "), F.col("hi"), F.lit("-"), F.col("lo"), F.lit(".")))]))
+        (~F.col("part").rlike(RANGE_PART), said(NOT_A_RANGE, part=quoted)),
+        ((F.col("lo") < 1) | (F.col("hi") < 1), BELOW_ONE),
+        ((F.col("lo") > n) | (F.col("hi") > n), said(PAST_THE_END, pages=n.cast("string"), page=F.greatest("lo", "hi").cast("string"))),
+        (F.col("hi") < F.col("lo"), said(BACKWARDS, part=quoted, hi=F.col("hi").cast("string"), lo=F.col("lo").cast("string")))]))
     seen = parts.groupBy(key).agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("part_no"))).alias("error"))
     status = requests.select(key).join(seen.withColumn("_some", F.lit(True)), key, "left").select(
         key, F.when(F.col("_some").isNull(), F.lit(NO_PAGES)).otherwise(F.col("error")).alias("error"))

@@ -117,6 +117,7 @@ def cancelled() -> Column:
 
 
 def run_head() -> Column:
+    # The words of a run's result, here and below.
     done, files = F.col("done"), F.col("files")
     some = F.when(done == 1, F.lit(" file")).otherwise(F.lit(" files"))
     return first_match([
