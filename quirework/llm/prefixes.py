@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .bpe import held
 from .common import narrow, row_slices
 
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 REMEMBERED_CHARS = 64
 PAIRS = 300_000
 SHORT = 256  # bytes of a match
