@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +11,15 @@ import pyarrow as pa
 from .common import row_slices
 from .words import mix
 
-# Word characters that are numbers and no letters (superscripts, fractions, Roman and circled numbers).
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _STEP = np.uint64(0x5851F42D4C957F2D)
 
 
 def letters(text: str | None) -> str:
     """The lower-case words of letters, with one space before, between and behind; empty without a letter."""
     out = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if out and not out.replace(" ", "").isalpha():  # superscripts, fractions, Roman and circled numbers are word characters
+        out = " ".join("".join(c if c.isalpha() else " " for c in out).split())
     return f" {out} " if out else ""
 
 

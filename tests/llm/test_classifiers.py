@@ -110,3 +110,10 @@ def test_toxicity_without_labels(frame):
     none = frame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.report(frame([(1, "a b")]), none).collect()] == [0.0]
     assert toxicity.report(frame([]), none).count() == 0
+
+
+def test_numbers_are_no_letters(frame):
+    from quirework.llm import chars
+    assert chars.letters("½ ² ① Ⅷ") == "" and chars.letters("x²y, 3½ Ⅷb") == " x y b "
+    got = langid.report(frame([(i, t, "en") for i, t in enumerate(["½ ² ① Ⅷ", "the words", "and more"])], "doc_id long, text string, lang string"))
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()}[0] == "und"
